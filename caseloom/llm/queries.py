@@ -8,10 +8,32 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import license_scan, packing, quality, token_counts, token_store
+from . import chat, html_extract, license_scan, packing, quality, secrets, token_counts, token_store
 from ._common import read_table, scratch
 
 
+def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ok = "</s>[INST] ok [/INST]"
+    turns = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    turns = turns.unionByName(spark.createDataFrame([(-1, 0, "user", ok), (-1, 1, "assistant", ok)], turns.schema))
+    out = chat.format_trees(chat.nodes_of_turns(turns), per_tree=None).withColumn("parts", chat.segments(F.col("formatted")))
+    read = out.select(
+        F.col("tree_id").alias("conv_id"),
+        F.size("parts").cast("long").alias("n_turns"),
+        F.transform("parts", chat.parse).alias("turns"),
+        F.array_join(chat.loss_texts(F.col("parts"), F.col("loss_spans")), "").alias("loss"),
+        F.length("formatted").cast("long").alias("formatted_chars"),
+    )
+    return read.select(
+        "conv_id",
+        "n_turns",
+        F.sha2(F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), ""), 256).alias("turns_sha256"),
+        F.length("loss").cast("long").alias("loss_chars"),
+        F.sha2("loss", 256).alias("loss_sha256"),
+        "formatted_chars",
+    )
+
+
 def op2_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch(spark, "token-store")
     token_store.write_store(read_table(spark, sf_dir, "documents"), path, public_tokenizers.path("byte_bpe_50k.json"), end_id=0)
@@ -22,6 +44,21 @@ def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan_licenses(read_table(spark, sf_dir, "documents"))
 
 
+def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan_secrets(read_table(spark, sf_dir, "documents"))
+    n = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long")
+    base = F.filter("spans", lambda s: s["kind"] < 3)
+    return found.select(
+        "doc_id",
+        n(0).alias("n_assign"),
+        n(1).alias("n_access"),
+        n(2).alias("n_hex"),
+        F.sha2(secrets.written(base), 256).alias("base_sha256"),
+        secrets.written(F.col("spans")).alias("spans"),
+        F.size(F.filter("live", lambda x: x)).cast("long").alias("n_live"),
+    )
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_rules(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels")).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "score"
@@ -32,16 +69,23 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=1)
 
 
+def op9_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(read_table(spark, sf_dir, "pages"))
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_chat_format": op1_chat_format,
         "op2_token_store": op2_token_store,
         "op3_license_scan": op3_license_scan,
+        "op4_secret_scan": op4_secret_scan,
         "op7_quality_rules": op7_quality_rules,
         "op8_packing": op8_packing,
+        "op9_html_extract": op9_html_extract,
         "op10_token_counts": op10_token_counts,
     }
 
