@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, html_extract, license_scan, packing, quality, secrets, token_counts, token_store
+from . import chat, decontaminate, html_extract, license_scan, ngram_join, packing, quality, secrets, token_counts, token_store
 from ._common import read_table, scratch
 
 
@@ -59,6 +59,14 @@ def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_leaks(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
+def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.similarity_components(read_table(spark, sf_dir, "documents"))
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_rules(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels")).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "score"
@@ -83,6 +91,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_token_store": op2_token_store,
         "op3_license_scan": op3_license_scan,
         "op4_secret_scan": op4_secret_scan,
+        "op5_decontaminate": op5_decontaminate,
+        "op6_ngram_join": op6_ngram_join,
         "op7_quality_rules": op7_quality_rules,
         "op8_packing": op8_packing,
         "op9_html_extract": op9_html_extract,
