@@ -42,7 +42,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import table, to_batch
+from ._common import arrow_batches, table, to_batch
 from .components import connected_components
 from .shingles import mix, set_id, shingle_sets
 
@@ -51,10 +51,13 @@ RARE_MAX = 16
 #: Bound of the broadcast frequent tokens (8 bytes each): the most frequent ones are taken.
 MAX_FREQUENT = 500_000
 #: Tokens to a bucket of the packed shuffles, about.
-BUCKET_TOKENS = 2_000_000
+BUCKET_TOKENS = 1_000_000
 #: Up to so many node names (8 bytes each) are broadcast to pick the sets to verify.
 MAX_PICKED = 1_000_000
-_FLUSH = 1_500_000
+_FLUSH = 800_000
+#: Rows in an Arrow batch: documents, and pairs of sets.
+DOC_ROWS = 1000
+PAIR_ROWS = 200
 
 
 def least_overlap(n):
@@ -105,6 +108,37 @@ def _distinct_sets(batches) -> Iterator[tuple[int, np.ndarray]]:
                 yield node, s
 
 
+# --- packing ----------------------------------------------------------------------
+
+
+def _packed(sorted_low: np.ndarray) -> bytes:
+    """Sorted 32-bit integers as compressed differences: about two bytes each where a bucket is full."""
+    import zstandard
+
+    steps = np.diff(sorted_low.astype("<u4"), prepend=np.uint32(0)).astype("<u4")
+    return zstandard.ZstdCompressor(level=1).compress(steps.view(np.uint8).reshape(-1, 4).T.tobytes())
+
+
+def _unpacked(blobs: list[bytes]) -> list[np.ndarray]:
+    import zstandard
+
+    press = zstandard.ZstdDecompressor()
+    planes = (np.frombuffer(press.decompress(b), np.uint8).reshape(4, -1) for b in blobs)
+    return [np.cumsum(np.ascontiguousarray(p.T).view("<u4")[:, 0], dtype=np.uint32) for p in planes]
+
+
+def _six_bytes(tokens: np.ndarray) -> bytes:
+    """The leading 48 bits of sorted tokens: two sets of ten thousand differ in what they share once in millions of pairs."""
+    return np.ascontiguousarray(tokens.astype("<u8").view(np.uint8).reshape(-1, 8)[:, 2:]).tobytes()
+
+
+def _from_six(data: bytes) -> np.ndarray:
+    own = np.frombuffer(data, np.uint8).reshape(-1, 6)
+    out = np.zeros((len(own), 8), np.uint8)
+    out[:, :6] = own
+    return out.view("<u8")[:, 0]
+
+
 # --- 2. classes of tokens ---------------------------------------------------------
 
 
@@ -129,7 +163,7 @@ def _count_blobs(batches, bits: int):
         keys, counts = np.unique(_short(np.concatenate(held), bits), return_counts=True)
         for b, s in _by_bucket(keys, bits):
             low, n = keys[s].astype("<u4"), counts[s]
-            yield b, low[n == 1].tobytes(), low[n > 1].tobytes(), n[n > 1].astype("<u4").tobytes()
+            yield b, _packed(low[n == 1]), _packed(low[n > 1]), n[n > 1].astype("<u4").tobytes()
 
     held, size = [], 0
     for _, s in _distinct_sets(batches):
@@ -143,8 +177,8 @@ def _count_blobs(batches, bits: int):
 
 
 def _sum_counts(key: tuple[pa.Scalar, ...], given: pa.Table) -> pa.Table:
-    one = np.frombuffer(b"".join(given["tokens"].to_pylist()), "<u4")
-    more = np.frombuffer(b"".join(given["more"].to_pylist()), "<u4")
+    one = np.concatenate(_unpacked(given["tokens"].to_pylist()))
+    more = np.concatenate(_unpacked(given["more"].to_pylist()))
     counts = np.frombuffer(b"".join(given["counts"].to_pylist()), "<u4")
     tokens, place = np.unique(np.concatenate([one, more]), return_inverse=True)
     total = np.bincount(place, np.concatenate([np.ones(len(one)), counts.astype(float)]), len(tokens)).astype(np.int64)
@@ -230,7 +264,7 @@ def frequent_keys(own: np.ndarray, often: np.ndarray) -> Iterator[tuple[np.ndarr
 
 
 def _rare_blobs(batches, bits: int, classes):
-    arrow = pa.schema([("bucket", pa.int32()), ("keys", pa.binary()), ("nodes", pa.binary())])
+    arrow = pa.schema([("bucket", pa.int32()), ("keys", pa.binary()), ("nodes", pa.binary()), ("places", pa.binary())])
     own_classes = Classes(classes.value, bits)
 
     def flush(held, nodes):
@@ -239,7 +273,8 @@ def _rare_blobs(batches, bits: int, classes):
         order = np.argsort(keys, kind="stable")
         keys, owner = keys[order], owner[order]
         for b, s in _by_bucket(keys, bits):
-            yield b, keys[s].astype("<u4").tobytes(), owner[s].tobytes()
+            names, place = np.unique(owner[s], return_inverse=True)
+            yield b, _packed(keys[s].astype("<u4")), names.tobytes(), place.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
 
     held, nodes, size = [], [], 0
     for node, s in _distinct_sets(batches):
@@ -260,8 +295,9 @@ def _rare_members(key: tuple[pa.Scalar, ...], given: pa.Table) -> pa.Table:
 
     A rare token is in few documents, so the lists here are short by construction.
     """
-    keys = np.frombuffer(b"".join(given["keys"].to_pylist()), "<u4")
-    nodes = np.frombuffer(b"".join(given["nodes"].to_pylist()), "<i8")
+    keys = np.concatenate(_unpacked(given["keys"].to_pylist()))
+    place = (np.ascontiguousarray(np.frombuffer(b, np.uint8).reshape(4, -1).T).view("<u4")[:, 0] for b in given["places"].to_pylist())
+    nodes = np.concatenate([np.frombuffer(n, "<i8")[p] for n, p in zip(given["nodes"].to_pylist(), place)])
     order = np.lexsort((nodes, keys))
     keys, nodes = keys[order], nodes[order]
     new = np.ones(len(keys), bool)  # one node of a key once
@@ -301,7 +337,7 @@ def _frequent_rows(batches, bits: int, classes):
 
 def _frequent_members(rows: DataFrame) -> DataFrame:
     """As ``_rare_members``.  The pivot is the set with the smallest share of rare tokens that may be the smaller partner."""
-    rows = rows.groupBy("key", "node").agg(F.max("small").alias("small"), F.min("spare").alias("spare"))
+    rows = table(rows.groupBy("key", "node").agg(F.max("small").alias("small"), F.min("spare").alias("spare")), "frequent-keys")
     stats = rows.groupBy("key").agg(
         F.min(F.when(F.col("small"), F.struct("spare", "node")))["node"].alias("pivot"), F.count("*").alias("n")
     )
@@ -312,18 +348,23 @@ def _frequent_members(rows: DataFrame) -> DataFrame:
 
 
 def _picked_sets(batches, picked):
+    """Sets of the picked nodes, each from the row with its first document's id."""
     arrow = pa.schema([("node", pa.int64()), ("tokens", pa.binary())])
-    names = None if picked is None else picked.value
-    rows = []
-    for node, s in _distinct_sets(batches):
-        if names is not None:
-            at = int(np.searchsorted(names, node))
-            if at >= len(names) or names[at] != node:
+    names, firsts = (None, None) if picked is None else picked.value
+    rows, seen = [], set()
+    for ids, texts in _columns(batches):
+        for key, s in zip(ids, shingle_sets(texts)):
+            if not len(s) or (node := set_id(s)) in seen:
                 continue
-        rows.append((node, s.astype("<u8").tobytes()))
-        if len(rows) >= 256:
-            yield to_batch(rows, arrow)
-            rows = []
+            if names is not None:
+                at = int(np.searchsorted(names, node))
+                if at >= len(names) or names[at] != node or (key is not None and firsts[at] != key):
+                    continue
+            seen.add(node)
+            rows.append((node, _six_bytes(s)))
+            if len(rows) >= 256:
+                yield to_batch(rows, arrow)
+                rows = []
     if rows:
         yield to_batch(rows, arrow)
 
@@ -342,27 +383,39 @@ def _verify(batches):
         rows = [
             (a, b)
             for a, b, x, y in zip(*(c.to_pylist() for c in batch.columns))
-            if links_exactly(np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8"))
+            if links_exactly(_from_six(x), _from_six(y))
         ]
         if rows:
             yield to_batch(rows, arrow)
 
 
-def verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs (a, b) of nodes that link.  ``pairs`` is stored and distinct."""
+def verified(docs: DataFrame, pairs: DataFrame, digests: DataFrame) -> DataFrame:
+    """The pairs (a, b) of nodes that link.  ``pairs`` is stored and distinct.
+
+    Pairs whose sizes rule a link out go first.  One set of each pair is then
+    shuffled to the other.
+    """
     spark = docs.sparkSession
-    names = table(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "picked")
+    nodes = digests.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("first"), F.first("n_shingles").alias("n"))
+    a, b = (nodes.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}")) for x in "ab")
+    pairs = pairs.join(a, "a").join(b, "b").where("5 * least(n_a, n_b) >= 4 * greatest(n_a, n_b)").select("a", "b")
+    pairs = table(pairs, "sized-pairs")
+    names = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    names = table(names.join(nodes, "node").select("node", "first"), "picked")
     picked = None
     if names.count() <= MAX_PICKED:
-        picked = spark.sparkContext.broadcast(np.sort(names.toPandas()["node"].to_numpy(np.int64)))
-    sets = docs.mapInArrow(partial(_picked_sets, picked=picked), "node long, tokens binary").groupBy("node").agg(F.first("tokens").alias("tokens"))
+        own = names.toPandas().sort_values("node")
+        firsts = own["first"].fillna(-(2**62)).to_numpy(np.int64)
+        picked = spark.sparkContext.broadcast((own["node"].to_numpy(np.int64), firsts))
+    sets = docs.mapInArrow(partial(_picked_sets, picked=picked), "node long, tokens binary")
     if picked is None:
         sets = sets.join(names, "node", "left_semi")
     sets = table(sets, "sets", compression="none")
-    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("tokens").alias("x")), "a").join(
-        sets.select(F.col("node").alias("b"), F.col("tokens").alias("y")), "b"
-    )
-    return table(both.select("a", "b", "x", "y").mapInArrow(_verify, "a long, b long"), "links")
+    near = F.broadcast(pairs) if picked is not None and pairs.count() <= MAX_PICKED else pairs
+    both = sets.select(F.col("node").alias("a"), F.col("tokens").alias("x")).join(near, "a")
+    both = both.join(sets.select(F.col("node").alias("b"), F.col("tokens").alias("y")), "b")
+    with arrow_batches(spark, PAIR_ROWS):
+        return table(both.select("a", "b", "x", "y").mapInArrow(_verify, "a long, b long").distinct(), "links")
 
 
 # --- the operator -----------------------------------------------------------------
@@ -370,6 +423,11 @@ def verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
 
 def similarity_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, n_shingles, component_id`` for every row."""
+    with arrow_batches(docs.sparkSession, DOC_ROWS):
+        return _components(docs, id_col, text_col)
+
+
+def _components(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     digests = table(docs.mapInArrow(_digest, DIGEST), "digests")
     total = digests.agg(F.coalesce(F.sum("n_shingles"), F.lit(0))).first()[0]
@@ -378,7 +436,7 @@ def similarity_components(docs: DataFrame, id_col: str = "doc_id", text_col: str
     classes = docs.sparkSession.sparkContext.broadcast(frequent)
 
     rare = (
-        docs.mapInArrow(partial(_rare_blobs, bits=bits, classes=classes), "bucket int, keys binary, nodes binary")
+        docs.mapInArrow(partial(_rare_blobs, bits=bits, classes=classes), "bucket int, keys binary, nodes binary, places binary")
         .groupBy("bucket")
         .applyInArrow(_rare_members, "key long, node long, pivot long, small boolean")
     )
@@ -390,7 +448,7 @@ def similarity_components(docs: DataFrame, id_col: str = "doc_id", text_col: str
 
     ordered = (F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b"))
     first = table(members.where("node <> pivot").select(*ordered).distinct(), "pairs")
-    links = verified(docs, first)
+    links = verified(docs, first, digests)
     of_node = table(connected_components(links), "node-components")
 
     # Pairs under one key that the pivots left in different components.
@@ -403,7 +461,7 @@ def similarity_components(docs: DataFrame, id_col: str = "doc_id", text_col: str
     second = x.join(y, "key").where("c1 <> c2").select(F.least("n1", "n2").alias("a"), F.greatest("n1", "n2").alias("b")).distinct()
     second = table(second.join(first, ["a", "b"], "left_anti"), "pairs")
     if not second.isEmpty():
-        of_node = table(connected_components(links.unionByName(verified(docs, second))), "node-components")
+        of_node = table(connected_components(links.unionByName(verified(docs, second, digests))), "node-components")
 
     placed = digests.join(of_node, "node", "left").withColumn("c", F.coalesce("component", "node"))
     least = placed.where("c is not null").groupBy("c").agg(F.min("doc_id").alias("component_id"))

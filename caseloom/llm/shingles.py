@@ -53,7 +53,7 @@ def _word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
 
 def shingle_sets(texts: list[str | None]) -> Iterator[np.ndarray]:
     """The sorted distinct shingle hashes of each text; fewer words than five make one shingle, none make none."""
-    folded = [(t or "").encode().translate(_FOLD) for t in texts]
+    folded = ((t or "").encode().translate(_FOLD) for t in texts)
     chunk: list[bytes] = []
     size = 0
     for data in folded:
