@@ -11,6 +11,7 @@ it was.
 from __future__ import annotations
 
 import logging
+import re
 from dataclasses import dataclass, field
 from functools import reduce
 
@@ -255,12 +256,13 @@ class Evaluator:
         """The library's error for what a task raised."""
         if isinstance(e, (EntityComputationError, EntityValueError)):
             return e
-        text = str(e)
-        if "EntityComputationError:" in text:
-            return EntityComputationError(text.split("EntityComputationError:", 1)[1].split("\n", 1)[0].strip())
-        for kind in (EntityValueError, EntitySerializationError):
-            if kind.__name__ in text:
-                return kind(text.split(f"{kind.__name__}:", 1)[-1].split("\n", 1)[0].strip())
+        for name, kind in {
+            "RuntimeError: EntityComputationError": EntityComputationError,
+            "EntityValueError": EntityValueError,
+            "EntitySerializationError": EntitySerializationError,
+        }.items():
+            if found := re.findall(rf"{name}: (.*)", str(e)):
+                return kind(found[-1])
         return e
 
     # --- the three ways to compute
