@@ -100,5 +100,24 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     }
 
 
+#: A text with its backslashes doubled and its control strings opened has this many characters more.
+_ADDED = """length({0}) - length(replace({0}, chr(92), ''))
+  + length(regexp_extract_all({0}, '<\\|[A-Za-z_]+\\|>|</?s>|<</?SYS>>|\\[/?INST\\]'))"""
+
+OP1_SQL = f"""
+with turns as (
+  select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+  union all select -1, 0, 'user', '</s>[INST] ok [/INST]' union all select -1, 1, 'assistant', '</s>[INST] ok [/INST]')
+select conv_id, count(*) as n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn, role, text)) as turns_sha256,
+  cast(coalesce(sum(length(text)) filter (where role = 'assistant'), 0) as bigint) as loss_chars,
+  sha256(coalesce(string_agg(text, '' order by turn, role, text) filter (where role = 'assistant'), '')) as loss_sha256,
+  cast(sum(length('<|im_start|>') + 1 + length('<|im_end|>') + 1 + length(role) + length(text)
+    + {_ADDED.format("role")} + {_ADDED.format("text")}) as bigint) as formatted_chars
+from turns group by conv_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """The others have no SQL: it has no tokenizers, no xxhash64, no alignment; their tests compare with brute force."""
+    return {"op1_chat_format": OP1_SQL}
