@@ -5,7 +5,7 @@ entities; a flow expands every entity over its cases by natural joins, gathers
 cases back by grouping, and stores results by what they were made from.
 """
 
-from . import protocol  # noqa: F401
+from . import protocol, util  # noqa: F401
 from .catalog import FlowBuilder  # noqa: F401
 from .decorators import (  # noqa: F401
     accepts,

@@ -171,6 +171,7 @@ def core_state(name: str) -> State:
         "core__flow_name": name,
         "core__memoize_by_default": True,
         "core__persist_by_default": True,
+        "core__temp_memoize_if_uncached": True,
         "core__versioning_mode": "manual",
         "core__persistent_cache__global_dir": "caseloom-data",
     }.items():

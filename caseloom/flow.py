@@ -54,7 +54,14 @@ class Flow:
             self._made = Evaluator(
                 self.spark,
                 self._state,
-                Settings(value("core__memoize_by_default"), value("core__persist_by_default"), mode, store, self._run),
+                Settings(
+                    value("core__memoize_by_default"),
+                    value("core__persist_by_default"),
+                    mode,
+                    store,
+                    self._run,
+                    value("core__temp_memoize_if_uncached"),
+                ),
             )
             self.spark.conf.set("spark.sql.caseSensitive", "true")
         return self._made
@@ -77,6 +84,13 @@ class Flow:
         return node, rel, rel.df.where(~missing(rel.keys))
 
     def _get(self, name: str, collection: Any = None, mode: Any = object) -> Any:
+        try:
+            return self._got(name, collection, mode)
+        finally:
+            if collection not in ("frame",):
+                self._evaluator.end_request()
+
+    def _got(self, name: str, collection: Any, mode: Any) -> Any:
         node, rel, df = self._rows(name)
         kind = {list: "list", set: "set"}.get(collection, getattr(collection, "__name__", collection))
         kind = {"Series": "series"}.get(kind, kind)
@@ -244,12 +258,12 @@ class Flow:
         """Nodes and edges as DataFrames."""
         return self._evaluator.dag()
 
-    def render_dag(self) -> str:
-        """The graph in the DOT language."""
+    def render_dag(self) -> Dot:
+        """The graph in the DOT language; ``save`` writes it to a file."""
         nodes, edges = self.dag()
         lines = [f'  "{r.entity}" [shape={"box" if r.kind == "fixed" else "ellipse"}];' for r in nodes.collect()]
         lines += [f'  "{r.source}" -> "{r.target}";' for r in edges.collect()]
-        return "\n".join(["digraph flow {", *lines, "}"])
+        return Dot("\n".join(["digraph flow {", *lines, "}"]))
 
     @property
     def cache(self) -> Cache:
@@ -260,6 +274,12 @@ class Flow:
         self._evaluator.release()
         self._evaluator.relations.clear()
 
+    def reload(self) -> None:
+        """As ``reloading``, in place."""
+        new = self.reloading()
+        self.release()
+        self._state, self._run, self._made = new._state, new._run, None
+
     def reloading(self) -> Flow:
         """The flow with its functions taken anew from their reloaded modules."""
         import importlib
@@ -277,6 +297,11 @@ class Flow:
         return Flow(b._state, self._spark)
 
 
+class Dot(str):
+    def save(self, path) -> None:
+        Path(path).write_text(self)
+
+
 class Cache:
     """What a flow's store holds, over all its versions."""
 

@@ -44,6 +44,7 @@ class Settings:
     mode: str
     store: Store
     run_id: str
+    brief: bool = True  # keep for one request what is neither stored nor memoized
 
 
 @dataclass
@@ -56,6 +57,7 @@ class Evaluator:
     relations: dict[str, Relation] = field(default_factory=dict)
     frames: dict[str, DataFrame] = field(default_factory=dict)
     kept: list[DataFrame] = field(default_factory=list)
+    brief: list[tuple[str, DataFrame]] = field(default_factory=list)
 
     # --- key spaces and checks, without touching data
 
@@ -154,6 +156,9 @@ class Evaluator:
             out = done.unionByName(gaps)
             if self._memoized(f):
                 self.kept.append(out := out.persist())
+            elif self.settings.brief:
+                out = out.persist()
+                self.brief += [(n, out) for n in f.outputs]
         columns = [c for n in f.outputs for c in (f"h_{n}", f"v_{n}", f"c_{n}")]
         return Relation(out.select(*keys, *columns), joined.keys, f.outputs)
 
@@ -395,6 +400,14 @@ class Evaluator:
 
     # --- ends
 
+    def end_request(self) -> None:
+        """Frees what was kept for one request only, and the relations built on it."""
+        for _, df in self.brief:
+            df.unpersist()
+        if self.brief:
+            self.relations.clear()
+            self.brief.clear()
+
     def release(self) -> None:
         """Gives back what is kept in executor memory."""
         for df in self.kept:
