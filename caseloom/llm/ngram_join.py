@@ -54,7 +54,7 @@ MAX_FREQUENT = 500_000
 BUCKET_TOKENS = 1_000_000
 #: Up to so many node names (8 bytes each) are broadcast to pick the sets to verify.
 MAX_PICKED = 1_000_000
-_FLUSH = 800_000
+MAX_BITS = 20
 #: Rows in an Arrow batch: documents, and pairs of sets.
 DOC_ROWS = 1000
 PAIR_ROWS = 200
@@ -82,6 +82,11 @@ def groups_of(cls: int) -> int:
     return max(1, (lacking(int(_CLASS_LEAST[cls])) + 1) // 2)
 
 
+def flush_tokens(bits: int) -> int:
+    """Tokens that a task packs at once: enough for some tens to each bucket, within 128 MB."""
+    return max(800_000, min(16_000_000, 32 << bits))
+
+
 def _columns(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list]]:
     for b in batches:
         yield b.column(0).to_pylist(), b.column(1).to_pylist()
@@ -89,13 +94,30 @@ def _columns(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list]]:
 
 # --- 1. digests -------------------------------------------------------------------
 
-DIGEST = "doc_id long, n_shingles long, node long"
+#: A set's sketch: for each of 512 hash classes whether it has an odd number of tokens, in eight integers.
+SKETCH = [f"s{k}" for k in range(8)]
+DIGEST = "doc_id long, n_shingles long, node long, " + ", ".join(f"{s} long" for s in SKETCH)
+
+
+def sketch(own: np.ndarray) -> list[int]:
+    odd = np.bincount((own & np.uint64(511)).astype(np.int64), minlength=512) & 1
+    return np.packbits(odd.astype(np.uint8)).view("<i8").tolist()
+
+
+def may_link(a: str, b: str):
+    """A condition that no linking pair fails: sets that link differ in at most a ninth of their sizes' sum,
+    and two sketches differ in no more places than the sets do."""
+    differ = sum((F.bit_count(F.col(f"{a}.{s}").bitwiseXOR(F.col(f"{b}.{s}"))) for s in SKETCH), F.lit(0))
+    n_a, n_b = F.col(f"{a}.n_shingles"), F.col(f"{b}.n_shingles")
+    return (9 * differ <= n_a + n_b) & (5 * F.least(n_a, n_b) >= 4 * F.greatest(n_a, n_b))
 
 
 def _digest(batches):
-    arrow = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("node", pa.int64())])
+    arrow = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("node", pa.int64()), *((s, pa.int64()) for s in SKETCH)])
+    none = [None] * len(SKETCH)
     for keys, texts in _columns(batches):
-        yield to_batch([(k, len(s), set_id(s) if len(s) else None) for k, s in zip(keys, shingle_sets(texts))], arrow)
+        rows = [(k, len(s), set_id(s), *sketch(s)) if len(s) else (k, 0, None, *none) for k, s in zip(keys, shingle_sets(texts))]
+        yield to_batch(rows, arrow)
 
 
 def _distinct_sets(batches) -> Iterator[tuple[int, np.ndarray]]:
@@ -169,7 +191,7 @@ def _count_blobs(batches, bits: int):
     for _, s in _distinct_sets(batches):
         held.append(s)
         size += len(s)
-        if size >= _FLUSH:
+        if size >= flush_tokens(bits):
             yield to_batch(list(flush(held)), arrow)
             held, size = [], 0
     if held:
@@ -283,7 +305,7 @@ def _rare_blobs(batches, bits: int, classes):
             held.append(got)
             nodes.append(node)
             size += len(got)
-        if size >= _FLUSH // 2:
+        if size >= flush_tokens(bits) // 2:
             yield to_batch(list(flush(held, nodes)), arrow)
             held, nodes, size = [], [], 0
     if held:
@@ -389,17 +411,15 @@ def _verify(batches):
             yield to_batch(rows, arrow)
 
 
-def verified(docs: DataFrame, pairs: DataFrame, digests: DataFrame) -> DataFrame:
+def verified(docs: DataFrame, pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     """The pairs (a, b) of nodes that link.  ``pairs`` is stored and distinct.
 
-    Pairs whose sizes rule a link out go first.  One set of each pair is then
+    Pairs whose sizes or sketches rule a link out go first.  One set of each pair is then
     shuffled to the other.
     """
     spark = docs.sparkSession
-    nodes = digests.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("first"), F.first("n_shingles").alias("n"))
-    a, b = (nodes.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}")) for x in "ab")
-    pairs = pairs.join(a, "a").join(b, "b").where("5 * least(n_a, n_b) >= 4 * greatest(n_a, n_b)").select("a", "b")
-    pairs = table(pairs, "sized-pairs")
+    given = pairs.alias("p").join(nodes.alias("x"), F.col("p.a") == F.col("x.node")).join(nodes.alias("y"), F.col("p.b") == F.col("y.node"))
+    pairs = table(given.where(may_link("x", "y")).select("p.a", "p.b"), "likely-pairs")
     names = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     names = table(names.join(nodes, "node").select("node", "first"), "picked")
     picked = None
@@ -431,7 +451,7 @@ def _components(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     digests = table(docs.mapInArrow(_digest, DIGEST), "digests")
     total = digests.agg(F.coalesce(F.sum("n_shingles"), F.lit(0))).first()[0]
-    bits = min(24, max(4, int(-(-total // BUCKET_TOKENS)).bit_length()))
+    bits = min(MAX_BITS, max(4, int(-(-total // BUCKET_TOKENS)).bit_length()))
     frequent = frequent_tokens(docs, bits)
     classes = docs.sparkSession.sparkContext.broadcast(frequent)
 
@@ -448,7 +468,11 @@ def _components(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
     ordered = (F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b"))
     first = table(members.where("node <> pivot").select(*ordered).distinct(), "pairs")
-    links = verified(docs, first, digests)
+    nodes = digests.where("node is not null").groupBy("node").agg(
+        F.min("doc_id").alias("first"), F.first("n_shingles").alias("n_shingles"), *(F.first(s).alias(s) for s in SKETCH)
+    )
+    nodes = table(nodes, "nodes")
+    links = verified(docs, first, nodes)
     of_node = table(connected_components(links), "node-components")
 
     # Pairs under one key that the pivots left in different components.
@@ -456,15 +480,17 @@ def _components(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     spread = placed.groupBy("key").agg(F.min("c").alias("least"), F.max("c").alias("most"), F.count("*").alias("n"))
     open_keys = spread.where("least <> most and n > 2").select("key")
     rest = table(placed.where("node <> pivot").join(open_keys, "key").select("key", "node", "small", "c"), "open")
-    x = rest.where("small").select("key", F.col("node").alias("n1"), F.col("c").alias("c1"))
-    y = rest.select("key", F.col("node").alias("n2"), F.col("c").alias("c2"))
-    second = x.join(y, "key").where("c1 <> c2").select(F.least("n1", "n2").alias("a"), F.greatest("n1", "n2").alias("b")).distinct()
+    rest = rest.join(nodes.select("node", "n_shingles", *SKETCH), "node")
+    x, y = rest.where("small").alias("x"), rest.alias("y")
+    under_one_key = (F.col("x.key") == F.col("y.key")) & (F.col("x.c") != F.col("y.c")) & may_link("x", "y")
+    second = x.join(y, under_one_key).select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
     second = table(second.join(first, ["a", "b"], "left_anti"), "pairs")
     if not second.isEmpty():
-        of_node = table(connected_components(links.unionByName(verified(docs, second, digests))), "node-components")
+        of_node = table(connected_components(links.unionByName(verified(docs, second, nodes))), "node-components")
 
     placed = digests.join(of_node, "node", "left").withColumn("c", F.coalesce("component", "node"))
-    least = placed.where("c is not null").groupBy("c").agg(F.min("doc_id").alias("component_id"))
+    # Stored, so that the join below is between two plain exchanges, which Spark splits where one component is large.
+    least = table(placed.where("c is not null").groupBy("c").agg(F.min("doc_id").alias("component_id")), "component-ids")
     return placed.join(least, "c", "left").select(
         "doc_id", "n_shingles", F.when(F.col("c").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id")
     )
