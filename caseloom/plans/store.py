@@ -43,6 +43,8 @@ def folders(spark: SparkSession, path: str) -> list[str]:
 def work_folder(spark: SparkSession, name: str) -> str:
     """A new folder that the driver and all executors share: under ``spark.checkpoint.dir``, or a temporary one where that is unset."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not root and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and the executors share")
     return f"{(root or tempfile.gettempdir()).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
