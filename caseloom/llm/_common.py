@@ -22,6 +22,8 @@ def scratch(spark: SparkSession, name: str) -> str:
     """
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and the executors share")
         root = _own.setdefault(id(spark.sparkContext), "") or tempfile.mkdtemp(prefix="spark-scratch-")
         _own[id(spark.sparkContext)] = root
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"

@@ -146,11 +146,16 @@ def automaton():
 
 def scan_text(text: str) -> tuple[int, int, int | None, int | None, str, str, float]:
     words = text.encode().translate(_BYTES).split()
-    # A doubled space keeps the boundary of two phrases that follow each other.
     line = f" {b' '.join(words).decode()} "
     starts, base, labels, weights, tagged = [], set(), set(), [], False
     seen = at = 0
-    for end, (size, label, is_base) in sorted(automaton().iter(line), key=lambda x: x[0] - x[1][0]):
+    found = sorted(automaton().iter(line), key=lambda x: x[0] - x[1][0])
+    longest: dict[int, int] = {}
+    for end, (size, _, _) in found:
+        longest[end - size] = max(size, longest.get(end - size, 0))
+    for end, (size, label, is_base) in found:
+        if not is_base and size < longest[end - size]:  # "cc by" within "cc by nc"
+            continue
         if not label:
             tagged = True
             continue
@@ -163,8 +168,8 @@ def scan_text(text: str) -> tuple[int, int, int | None, int | None, str, str, fl
             starts.append(seen)
     if tagged:
         for m in _TAG_IN_TEXT.finditer(text):
-            if found := lexemes(text, m.end()):
-                more, weight = evaluate(found)
+            if words_after := lexemes(text, m.end()):
+                more, weight = evaluate(words_after)
                 labels |= more
                 weights.append(weight)
     return (
