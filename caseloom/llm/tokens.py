@@ -15,7 +15,7 @@ from functools import lru_cache
 
 import numpy as np
 
-MEMO_ENTRIES = 1_000_000
+MEMO_ENTRIES = 500_000
 #: Longer pre-tokens are not kept.
 MEMO_CHARS = 48
 
