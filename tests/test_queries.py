@@ -28,7 +28,7 @@ def plain(rows):
 def test_oracle(spark, views, name):
     got = entry.queries()[name](spark, SF_DIR)
     columns = sorted(got.columns)
-    wanted = views.execute(f"select {', '.join(columns)} from ({entry.oracle_sql()[name]})")
+    wanted = views.execute("select " + ", ".join(f'"{c}"' for c in columns) + f" from ({entry.oracle_sql()[name]})")
     assert plain(tuple(r) for r in got.select(*columns).collect()) == plain(wanted.fetchall())
 
 
