@@ -67,6 +67,16 @@ def test_op7(spark, documents):
         assert (r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"], r["base_failed"]) == wanted
 
 
+@pytest.mark.parametrize("size, most", [("sf0.001", 2), ("sf0.01", 2), ("sf0.1", 0)])
+def test_op7_keeps_good_and_drops_junk(spark, size, most):
+    sf_dir = os.path.join(os.path.dirname(SF_DIR), size)
+    judged = entry.queries()["op7_quality_rules"](spark, sf_dir).where("not base_failed")
+    judged = judged.join(spark.read.parquet(f"{sf_dir}/labels.parquet"), "doc_id").select("quality", "toxic", "kept").collect()
+    junk = [r.kept for r in judged if r.quality == 0]
+    assert junk and sum(junk) <= most, (sum(junk), len(junk))
+    assert all(r.kept for r in judged if r.quality == 1 and r.toxic == 0)
+
+
 def test_op8_and_op10(spark, documents):
     sizes = collections.Counter()
     for r in run(spark, "op8_packing"):
