@@ -11,6 +11,12 @@ and tags under each element name or class stand inside the marked article.  A
 place that the labelled pages never showed counts as content, so pages with
 other layouts still give their running text.
 
+A class or form that suggests boilerplate is not believed where it holds the
+page: where it has more than ``HOLDS`` times the words outside such places, or
+a single article or main with more words than those.  Menus, asides, footers
+and the like are always left out, and an article inside them is not the page's.
+Where a page marks its article, the mark decides and no fitted weight.
+
 Nulls and edge cases: null or empty html gives an empty text; unclosed elements
 last until their parent ends; broken references stay as they are; ties go to the
 earlier, longer region; pages of any length are read whole; repeated rows are
@@ -49,6 +55,9 @@ BOILERPLATE_NAMES = re.compile(
 )
 BOILERPLATE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
 
+#: A suspicious class is content where it has so many times the words of all places that are not suspicious.
+HOLDS = 4
+
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)"
     r"|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|$)",
@@ -91,10 +100,46 @@ class Weights:
 
 
 def events(page: str) -> list[Event]:
+    out, held = _scan(page, set())
+    if more := _content(held):
+        out, _ = _scan(page, more)
+    return out
+
+
+#: Words by the suspicious places around them, outermost first (None: certain boilerplate), and by the outermost article in those.
+Held = Counter[tuple[tuple[str | None, ...], int | None]]
+
+
+def _content(held: Held) -> set[str]:
+    """The suspicious classes that hold the page."""
+    chains, marks, lifted = Counter(), Counter(), set()
+    for (chain, mark), n in held.items():
+        chains[chain] += n
+        if mark is not None:
+            marks[chain, mark] += n
+    while True:
+        free = sum(n for chain, n in chains.items() if lifted.issuperset(chain))
+        words, most = Counter(), Counter()
+        for chain, n in chains.items():
+            for g in set(chain) - lifted if None not in chain else ():
+                words[g] += n
+        for (chain, _), n in marks.items():
+            for g in set(chain) - lifted if None not in chain else ():
+                most[g] = max(most[g], n)
+        found = [g for g in words if words[g] > HOLDS * free or most[g] > free]
+        if not found:
+            return lifted
+        lifted.add(max(found, key=words.__getitem__))
+
+
+def _scan(page: str, lifted: set[str]) -> tuple[list[Event], Held]:
+    """The events of a page where the classes ``lifted`` are not suspicious."""
     out: list[Event] = []
-    stack: list[tuple[str, tuple[str, ...], bool, bool]] = []  # name, features, excluded, marked
+    held: Held = Counter()
+    stack: list[tuple[str, tuple[str, ...], bool, bool, tuple[str | None, ...], int | None]] = []  # name, features, excluded, marked, suspicious, article
     buffer: list[str] = []
     place: tuple[tuple[str, ...], bool, bool] = ((), False, False)
+    around: tuple[tuple[str | None, ...], int | None] = ((), None)
 
     def flush() -> None:
         if buffer:
@@ -102,11 +147,13 @@ def events(page: str) -> list[Event]:
             buffer.clear()
             if text:
                 out.append(Event(place[0], text, place[1], place[2]))
+                held[around] += len(text.split())
 
     def settle() -> None:
-        nonlocal place
+        nonlocal place, around
         blocks = [s for s in stack if s[0] not in INLINE]
         place = (tuple(f for s in blocks for f in s[1]), any(s[2] for s in stack), any(s[3] for s in stack))
+        around = (tuple(g for s in stack for g in s[4]), next((s[5] for s in stack if s[5] is not None), None))
 
     at, n = 0, len(page)
     while at < n:
@@ -158,24 +205,29 @@ def events(page: str) -> list[Event]:
                 if stack[k][0] not in INLINE:
                     break
         inside = any(s[3] for s in stack)
-        excluded = (
-            name in BOILERPLATE
+        role = given.get("role", "").lower()
+        named = bool(names and BOILERPLATE_NAMES.search(names))
+        certain = (
+            (name in BOILERPLATE and name != "form")
             or (name == "header" and not inside)
-            or given.get("role", "").lower() in BOILERPLATE_ROLES
+            or (role in BOILERPLATE_ROLES and role != "form")
             or "hidden" in given
-            or bool(names and name not in ("html", "body", *MARKED) and BOILERPLATE_NAMES.search(names))
         )
-        excluded = excluded or any(s[2] for s in stack)
-        inside = inside or name in MARKED
+        group = f"{name} {names}" if name == "form" or role == "form" or (named and name not in ("html", "body", *MARKED)) else None
+        suspicious = (None,) if certain else () if group is None or group in lifted else (group,)
+        excluded = bool(suspicious) or any(s[2] for s in stack)
+        # An article inside an excluded part (a teaser, a comment) is not the page's.
+        marks = name in MARKED and not excluded
+        inside = inside or marks
         if name not in INLINE:
             out.append(Event(features, None, excluded, inside))
         elif excluded:
             flush()
         if name not in VOID and not m[3].rstrip().endswith("/"):
-            stack.append((name, features, excluded, name in MARKED))
+            stack.append((name, features, excluded, marks, suspicious, m.start() if name in MARKED and not named else None))
         settle()
     flush()
-    return out
+    return out, held
 
 
 def fit(pages: list[str]) -> Weights:
@@ -228,9 +280,9 @@ def main_text(page: str | None, weights: Weights) -> str:
         elif e.marked:
             scores.append(max(weights.word(e.features), 0.5) * n)
         else:  # where a page marks its article, other words are not of it
-            scores.append(-n if marks else max(weights.word(e.features), 0.5) * n)
+            scores.append(-n if marks else weights.word(e.features) * n)
     first, last = best_region(scores)
-    return "\n".join(e.text for e, s in zip(own[first:last], scores[first:last]) if e.text is not None and s > 0)
+    return "\n".join(e.text for e in own[first:last] if e.text is not None and not e.excluded and (e.marked or not marks))
 
 
 def labelled(pages: DataFrame, html_col: str = "html") -> list[str]:

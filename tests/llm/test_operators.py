@@ -370,6 +370,31 @@ def test_html(spark):
     assert html_extract.extract(pages.where("false")).count() == 0
 
 
+ARTICLE = "<h1>Head</h1><p>" + "word " * 40 + "</p>"
+SIDE = '<nav>One Two</nav>%s<div id="comments"><article class="comment"><p>A reader says so</p></article></div><footer>end</footer>'
+
+
+@pytest.mark.parametrize(
+    "around",
+    [
+        "<div class='site right-sidebar'>%s</div>", "<div class='header-fixed page'>%s</div>", "<div class='content-side'>%s</div>",
+        "<div class='elementor-widget-container'>%s</div>", "<form>%s</form>", "<div>%s</div><aside><article>Teaser card</article></aside>",
+    ],
+)
+@pytest.mark.parametrize("article", ["<article>%s</article>", "<div>%s</div>"])
+def test_html_layouts(around, article):
+    body = (article % ARTICLE).join(around.split("%s"))
+    weights = html_extract.fit(["<body><nav>One</nav><article>%s</article></body>" % ARTICLE])
+    for page in ("<body>" + SIDE % body + "</body>", "<body>" + (SIDE % (article % ARTICLE)).join(around.split("%s")) + "</body>"):
+        assert html_extract.main_text(page, weights) == "Head\n" + ("word " * 40).strip()
+
+
+def test_html_fitted_weights_count():
+    weights = html_extract.Weights({"p": 1.0, "li": -2.0})
+    page = "<body><ul><li>an old link</li></ul><div><p>a text of its own</p></div><ul><li>one more link</li></ul></body>"
+    assert html_extract.main_text(page, weights) == "a text of its own"
+
+
 @settings(max_examples=50, deadline=None)
 @given(st.lists(st.integers(-4, 4), max_size=12))
 def test_best_region(scores):
