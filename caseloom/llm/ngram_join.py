@@ -39,7 +39,7 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._common import arrow_batches, table, to_batch
@@ -96,7 +96,7 @@ def _columns(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list]]:
 
 #: A set's sketch: for each of 512 hash classes whether it has an odd number of tokens, in eight integers.
 SKETCH = [f"s{k}" for k in range(8)]
-DIGEST = "doc_id long, n_shingles long, node long, " + ", ".join(f"{s} long" for s in SKETCH)
+DIGEST = "doc_id long, text_key long, n_shingles long, node long, " + ", ".join(f"{s} long" for s in SKETCH)
 
 
 def sketch(own: np.ndarray) -> list[int]:
@@ -113,10 +113,12 @@ def may_link(a: str, b: str):
 
 
 def _digest(batches):
-    arrow = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("node", pa.int64()), *((s, pa.int64()) for s in SKETCH)])
+    arrow = pa.schema([(name, pa.int64()) for name in ("doc_id", "text_key", "n_shingles", "node", *SKETCH)])
     none = [None] * len(SKETCH)
-    for keys, texts in _columns(batches):
-        rows = [(k, len(s), set_id(s), *sketch(s)) if len(s) else (k, 0, None, *none) for k, s in zip(keys, shingle_sets(texts))]
+    for batch in batches:
+        keys, texts, text_keys = (c.to_pylist() for c in batch.columns)
+        sets = zip(keys, text_keys, shingle_sets(texts))
+        rows = [(k, x, len(s), set_id(s), *sketch(s)) if len(s) else (k, x, 0, None, *none) for k, x, s in sets]
         yield to_batch(rows, arrow)
 
 
@@ -444,12 +446,18 @@ def verified(docs: DataFrame, pairs: DataFrame, nodes: DataFrame) -> DataFrame:
 def similarity_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, n_shingles, component_id`` for every row."""
     with arrow_batches(docs.sparkSession, DOC_ROWS):
-        return _components(docs, id_col, text_col)
+        placed = _placed(docs, id_col, text_col)
+        # Stored, so that the join below is between two plain exchanges, which Spark splits where one component is large.
+        least = table(placed.where("c is not null").groupBy("c").agg(F.min("doc_id").alias("component_id")), "component-ids")
+        return placed.join(least, "c", "left").select(
+            "doc_id", "n_shingles", F.when(F.col("c").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id")
+        )
 
 
-def _components(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def _placed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``doc_id, text_key, n_shingles, c`` for every row; ``c`` is the component's smallest node, null without tokens."""
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    digests = table(docs.mapInArrow(_digest, DIGEST), "digests")
+    digests = table(docs.withColumn("text_key", F.xxhash64("text")).mapInArrow(_digest, DIGEST), "digests")
     total = digests.agg(F.coalesce(F.sum("n_shingles"), F.lit(0))).first()[0]
     bits = min(MAX_BITS, max(4, int(-(-total // BUCKET_TOKENS)).bit_length()))
     frequent = frequent_tokens(docs, bits)
@@ -489,29 +497,41 @@ def _components(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         of_node = table(connected_components(links.unionByName(verified(docs, second, nodes))), "node-components")
 
     placed = digests.join(of_node, "node", "left").withColumn("c", F.coalesce("component", "node"))
-    # Stored, so that the join below is between two plain exchanges, which Spark splits where one component is large.
-    least = table(placed.where("c is not null").groupBy("c").agg(F.min("doc_id").alias("component_id")), "component-ids")
-    return placed.join(least, "c", "left").select(
-        "doc_id", "n_shingles", F.when(F.col("c").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id")
-    )
+    return placed.select("doc_id", "text_key", "n_shingles", "c")
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents that are the first of their component, with the columns that came in.
+    """One row of each component, with the columns that came in.
+
+    The row is the one with the smallest id, and of rows with one id the one
+    whose text hashes lowest; a row without an id is kept only where all of its
+    component have none.  Rows are told apart by id and text, so an id that
+    recurs with other texts loses none of them that stand in other components.
+    Rows without tokens link with nothing: all are kept.
 
-    Documents are not shuffled while the ids to drop are few enough to
-    broadcast (counted first); rows with a repeated id are also made distinct.
+    Documents are not shuffled while the rows to drop are few enough to
+    broadcast (counted first).
     """
-    found = table(similarity_components(docs, id_col, text_col), "near-duplicates")
-    drop = found.where("doc_id is not null and doc_id <> component_id").select(F.col("doc_id").alias("__id")).distinct()
-    again = found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("__id"))
+    with arrow_batches(docs.sparkSession, DOC_ROWS):
+        found = table(_placed(docs, id_col, text_col).where("c is not null").select("doc_id", "text_key", "c"), "near-duplicates")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("text_key").alias("key"))
+    # Stored for the same reason as the components' ids.
+    first = table(found.groupBy("c").agg(F.min(order).alias("first")), "first-rows")
+    keys = (F.col("doc_id").alias("__id"), F.col("text_key").alias("__key"))
+    is_first = F.col("doc_id").eqNullSafe(F.col("first.id")) & (F.col("text_key") == F.col("first.key"))
+    drop = table(found.join(first, "c").where(~is_first).select(*keys).distinct(), "rows-to-drop")
+    again = found.groupBy("doc_id", "text_key").count().where("count > 1").select(*keys)
+    again = table(again.exceptAll(drop), "repeated-rows")
+
+    def same() -> Column:
+        return F.col(id_col).cast("long").eqNullSafe(F.col("__id")) & (F.xxhash64(F.col(text_col)) == F.col("__key"))
+
     hint = F.broadcast if drop.count() <= MAX_PICKED else (lambda x: x)
-    kept = docs.join(hint(drop), F.col(id_col) == F.col("__id"), "left_anti")
+    kept = docs.join(hint(drop), same(), "left_anti")
     n_again = again.count()
     if n_again:
         hint = F.broadcast if n_again <= MAX_PICKED else (lambda x: x)
-        single = kept.join(hint(again), F.col(id_col) == F.col("__id"), "left_anti")
-        repeated = kept.join(hint(again), F.col(id_col) == F.col("__id"), "left_semi")
+        single = kept.join(hint(again), same(), "left_anti")
+        repeated = kept.join(hint(again), same(), "left_semi")
         kept = single.unionByName(repeated.dropDuplicates([id_col, text_col]))
     return kept
-

@@ -325,6 +325,17 @@ def test_ngram_join(spark, monkeypatch, rare):
     assert {r.doc_id for r in kept.collect()} - {None} == wanted - {None}
 
 
+def test_one_of_each_with_repeated_and_null_ids(spark):
+    rnd = random.Random(7)
+    three, own, near = (" ".join(family(rnd, 1, 60, 0)) for _ in range(3))
+    rows = [(3, three), (5, own), (5, three), (None, near), (None, near + " more"), (None, near), (7, "blank"), (7, "blank"), (None, ""), (None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    kept = sorted(map(tuple, ngram_join.one_of_each(docs).collect()), key=repr)
+    named = [r for r in kept if r[0] is not None]
+    assert named == [(3, three), (5, own), (7, "blank")]
+    assert len(kept) == 6 and sum(t in (near, near + " more") for _, t in kept) == 1
+
+
 def test_ngram_join_of_nothing(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert ngram_join.similarity_components(docs).count() == 0
