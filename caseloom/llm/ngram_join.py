@@ -426,9 +426,9 @@ def verified(docs: DataFrame, pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     names = table(names.join(nodes, "node").select("node", "first"), "picked")
     picked = None
     if names.count() <= MAX_PICKED:
-        own = names.toPandas().sort_values("node")
-        firsts = own["first"].fillna(-(2**62)).to_numpy(np.int64)
-        picked = spark.sparkContext.broadcast((own["node"].to_numpy(np.int64), firsts))
+        # Without nulls: pandas would make the ids floats, and round them.
+        own = names.select("node", F.coalesce("first", F.lit(0).cast("long")).alias("first")).toPandas().sort_values("node")
+        picked = spark.sparkContext.broadcast((own["node"].to_numpy(np.int64), own["first"].to_numpy(np.int64)))
     sets = docs.mapInArrow(partial(_picked_sets, picked=picked), "node long, tokens binary")
     if picked is None:
         sets = sets.join(names, "node", "left_semi")

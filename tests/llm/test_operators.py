@@ -336,6 +336,14 @@ def test_one_of_each_with_repeated_and_null_ids(spark):
     assert len(kept) == 6 and sum(t in (near, near + " more") for _, t in kept) == 1
 
 
+def test_ngram_join_of_large_and_null_ids(spark):
+    texts = list(family(random.Random(11), 4, 100, 2))
+    rows = list(zip((2**60 + 1, 2**60 + 3, None, 2**60 + 5), texts))
+    assert len({c for _, _, c in brute_components(rows)}) == 1
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    assert collections.Counter(map(tuple, ngram_join.similarity_components(docs).collect())) == brute_components(rows)
+
+
 def test_ngram_join_of_nothing(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert ngram_join.similarity_components(docs).count() == 0
