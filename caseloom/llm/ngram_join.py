@@ -21,9 +21,10 @@ partner, and sets that cannot link there are left out.
 
 Keys are resolved without listing all pairs: every set under a key is first
 compared with one pivot of the key, components are formed, and only pairs under
-one key that lie in different components are compared after that.  So each pair
-that shares a key is compared or already joined, and no link between components
-is lost.
+one key that lie in different components are compared after that, where their
+sizes and sketches allow a link.  So each pair that shares a key is compared or
+already joined, and no link between components is lost.  Members of a large key
+are dealt to tasks for this.  Every step is the same at every size.
 
 Nulls and edge cases: null, empty or blank texts have no tokens and link with
 nothing; fewer words than five make one token; rows with one id are separate
@@ -52,9 +53,13 @@ RARE_MAX = 16
 MAX_FREQUENT = 500_000
 #: Tokens to a bucket of the packed shuffles, about.
 BUCKET_TOKENS = 1_000_000
-#: Up to so many node names (8 bytes each) are broadcast to pick the sets to verify.
-MAX_PICKED = 1_000_000
+#: Buckets of the packed shuffles, as powers of two.  The most, 2^20, hold some 16 million tokens each at 100 TB of text.
+MIN_BITS = 8
 MAX_BITS = 20
+#: Bits of the filter that picks the sets to verify: 8 MB, whatever the number of sets.
+FILTER_BITS = 1 << 26
+#: Members of an open key that one task compares with the rest of the key.
+KEY_PART = 512
 #: Rows in an Arrow batch: documents, and pairs of sets.
 DOC_ROWS = 1000
 PAIR_ROWS = 200
@@ -151,18 +156,6 @@ def _unpacked(blobs: list[bytes]) -> list[np.ndarray]:
     return [np.cumsum(np.ascontiguousarray(p.T).view("<u4")[:, 0], dtype=np.uint32) for p in planes]
 
 
-def _six_bytes(tokens: np.ndarray) -> bytes:
-    """The leading 48 bits of sorted tokens: two sets of ten thousand differ in what they share once in millions of pairs."""
-    return np.ascontiguousarray(tokens.astype("<u8").view(np.uint8).reshape(-1, 8)[:, 2:]).tobytes()
-
-
-def _from_six(data: bytes) -> np.ndarray:
-    own = np.frombuffer(data, np.uint8).reshape(-1, 6)
-    out = np.zeros((len(own), 8), np.uint8)
-    out[:, :6] = own
-    return out.view("<u8")[:, 0]
-
-
 # --- 2. classes of tokens ---------------------------------------------------------
 
 
@@ -371,21 +364,31 @@ def _frequent_members(rows: DataFrame) -> DataFrame:
 # --- 4. verification --------------------------------------------------------------
 
 
-def _picked_sets(batches, picked):
-    """Sets of the picked nodes, each from the row with its first document's id."""
-    arrow = pa.schema([("node", pa.int64()), ("tokens", pa.binary())])
-    names, firsts = (None, None) if picked is None else picked.value
-    rows, seen = [], set()
+def filter_of(names: DataFrame) -> np.ndarray:
+    """A bitmap of ``FILTER_BITS`` by the low bits of the nodes' names: lets all of them through, and few others
+    while they are fewer than bits."""
+    words = names.select(
+        F.expr(f"cast((node & {FILTER_BITS - 1}) >> 6 as int)").alias("word"), F.expr("shiftleft(1L, cast(node & 63 as int))").alias("bit")
+    )
+    rows = words.groupBy("word").agg(F.bit_or("bit").alias("bits")).toPandas()  # at most a 64th of the bits
+    out = np.zeros(FILTER_BITS // 64, np.uint64)
+    out[rows["word"].to_numpy(np.int64)] = rows["bits"].to_numpy(np.int64).view(np.uint64)
+    return out
+
+
+def _likely_sets(batches, likely):
+    """(node, document, tokens) of the sets that the filter lets through, each once for a document of a partition."""
+    arrow = pa.schema([("node", pa.int64()), ("doc_id", pa.int64()), ("tokens", pa.binary())])
+    bits, rows, seen = likely.value, [], set()
+    places = 64 * len(bits) - 1
     for ids, texts in _columns(batches):
         for key, s in zip(ids, shingle_sets(texts)):
-            if not len(s) or (node := set_id(s)) in seen:
+            if not len(s) or ((node := set_id(s)), key) in seen:
                 continue
-            if names is not None:
-                at = int(np.searchsorted(names, node))
-                if at >= len(names) or names[at] != node or (key is not None and firsts[at] != key):
-                    continue
-            seen.add(node)
-            rows.append((node, _six_bytes(s)))
+            if not int(bits[(node & places) >> 6]) >> (node & 63) & 1:
+                continue
+            seen.add((node, key))
+            rows.append((node, key, s.astype("<u8").tobytes()))
             if len(rows) >= 256:
                 yield to_batch(rows, arrow)
                 rows = []
@@ -407,7 +410,7 @@ def _verify(batches):
         rows = [
             (a, b)
             for a, b, x, y in zip(*(c.to_pylist() for c in batch.columns))
-            if links_exactly(_from_six(x), _from_six(y))
+            if links_exactly(np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8"))
         ]
         if rows:
             yield to_batch(rows, arrow)
@@ -416,25 +419,20 @@ def _verify(batches):
 def verified(docs: DataFrame, pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     """The pairs (a, b) of nodes that link.  ``pairs`` is stored and distinct.
 
-    Pairs whose sizes or sketches rule a link out go first.  One set of each pair is then
-    shuffled to the other.
+    Pairs whose sizes or sketches rule a link out go first.  The sets of the others are picked
+    by a filter of bounded size and then exactly, and joined to their pairs.
     """
     spark = docs.sparkSession
     given = pairs.alias("p").join(nodes.alias("x"), F.col("p.a") == F.col("x.node")).join(nodes.alias("y"), F.col("p.b") == F.col("y.node"))
     pairs = table(given.where(may_link("x", "y")).select("p.a", "p.b"), "likely-pairs")
     names = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    names = table(names.join(nodes, "node").select("node", "first"), "picked")
-    picked = None
-    if names.count() <= MAX_PICKED:
-        # Without nulls: pandas would make the ids floats, and round them.
-        own = names.select("node", F.coalesce("first", F.lit(0).cast("long")).alias("first")).toPandas().sort_values("node")
-        picked = spark.sparkContext.broadcast((own["node"].to_numpy(np.int64), own["first"].to_numpy(np.int64)))
-    sets = docs.mapInArrow(partial(_picked_sets, picked=picked), "node long, tokens binary")
-    if picked is None:
-        sets = sets.join(names, "node", "left_semi")
-    sets = table(sets, "sets", compression="none")
-    near = F.broadcast(pairs) if picked is not None and pairs.count() <= MAX_PICKED else pairs
-    both = sets.select(F.col("node").alias("a"), F.col("tokens").alias("x")).join(near, "a")
+    names = table(names.join(nodes, "node").select(F.col("node").alias("picked"), "first"), "picked")
+    likely = spark.sparkContext.broadcast(filter_of(names.select(F.col("picked").alias("node"))))
+    sets = docs.mapInArrow(partial(_likely_sets, likely=likely), "node long, doc_id long, tokens binary")
+    # Of all copies of a set the first document's; that one may stand in several partitions.
+    sets = sets.join(names, (F.col("node") == F.col("picked")) & F.col("doc_id").eqNullSafe(F.col("first")))
+    sets = table(sets.groupBy("node").agg(F.first("tokens").alias("tokens")), "sets", compression="none")
+    both = sets.select(F.col("node").alias("a"), F.col("tokens").alias("x")).join(pairs, "a")
     both = both.join(sets.select(F.col("node").alias("b"), F.col("tokens").alias("y")), "b")
     with arrow_batches(spark, PAIR_ROWS):
         return table(both.select("a", "b", "x", "y").mapInArrow(_verify, "a long, b long").distinct(), "links")
@@ -459,7 +457,7 @@ def _placed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     digests = table(docs.withColumn("text_key", F.xxhash64("text")).mapInArrow(_digest, DIGEST), "digests")
     total = digests.agg(F.coalesce(F.sum("n_shingles"), F.lit(0))).first()[0]
-    bits = min(MAX_BITS, max(4, int(-(-total // BUCKET_TOKENS)).bit_length()))
+    bits = min(MAX_BITS, max(MIN_BITS, int(-(-total // BUCKET_TOKENS)).bit_length()))
     frequent = frequent_tokens(docs, bits)
     classes = docs.sparkSession.sparkContext.broadcast(frequent)
 
@@ -486,11 +484,13 @@ def _placed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     # Pairs under one key that the pivots left in different components.
     placed = members.join(of_node, "node", "left").select("key", "node", "pivot", "small", F.coalesce("component", "node").alias("c"))
     spread = placed.groupBy("key").agg(F.min("c").alias("least"), F.max("c").alias("most"), F.count("*").alias("n"))
-    open_keys = spread.where("least <> most and n > 2").select("key")
-    rest = table(placed.where("node <> pivot").join(open_keys, "key").select("key", "node", "small", "c"), "open")
+    open_keys = spread.where("least <> most and n > 2").select("key", F.ceil(F.col("n") / KEY_PART).cast("int").alias("parts"))
+    rest = table(placed.where("node <> pivot").join(open_keys, "key").select("key", "node", "small", "c", "parts"), "open")
     rest = rest.join(nodes.select("node", "n_shingles", *SKETCH), "node")
-    x, y = rest.where("small").alias("x"), rest.alias("y")
-    under_one_key = (F.col("x.key") == F.col("y.key")) & (F.col("x.c") != F.col("y.c")) & may_link("x", "y")
+    # Members of a large key are dealt to parts, each compared with the whole key in a task of its own.
+    x = rest.where("small").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")).alias("x")
+    y = rest.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).alias("y")
+    under_one_key = (F.col("x.key") == F.col("y.key")) & (F.col("x.part") == F.col("y.part")) & (F.col("x.c") != F.col("y.c")) & may_link("x", "y")
     second = x.join(y, under_one_key).select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
     second = table(second.join(first, ["a", "b"], "left_anti"), "pairs")
     if not second.isEmpty():
@@ -509,29 +509,27 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     recurs with other texts loses none of them that stand in other components.
     Rows without tokens link with nothing: all are kept.
 
-    Documents are not shuffled while the rows to drop are few enough to
-    broadcast (counted first).
+    The rows to drop join by id and hash: Spark broadcasts them while they are small by
+    its own measure and shuffles beyond it.  Null texts and empty tables go through; the
+    columns may have any names.
     """
     with arrow_batches(docs.sparkSession, DOC_ROWS):
         found = table(_placed(docs, id_col, text_col).where("c is not null").select("doc_id", "text_key", "c"), "near-duplicates")
     order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("text_key").alias("key"))
     # Stored for the same reason as the components' ids.
     first = table(found.groupBy("c").agg(F.min(order).alias("first")), "first-rows")
-    keys = (F.col("doc_id").alias("__id"), F.col("text_key").alias("__key"))
+    own_id, own_key = (next(n for k in range(len(docs.columns) + 1) if (n := f"{name}{k}") not in docs.columns) for name in ("id_", "key_"))
+    keys = (F.col("doc_id").alias(own_id), F.col("text_key").alias(own_key))
     is_first = F.col("doc_id").eqNullSafe(F.col("first.id")) & (F.col("text_key") == F.col("first.key"))
     drop = table(found.join(first, "c").where(~is_first).select(*keys).distinct(), "rows-to-drop")
     again = found.groupBy("doc_id", "text_key").count().where("count > 1").select(*keys)
     again = table(again.exceptAll(drop), "repeated-rows")
 
     def same() -> Column:
-        return F.col(id_col).cast("long").eqNullSafe(F.col("__id")) & (F.xxhash64(F.col(text_col)) == F.col("__key"))
-
-    hint = F.broadcast if drop.count() <= MAX_PICKED else (lambda x: x)
-    kept = docs.join(hint(drop), same(), "left_anti")
-    n_again = again.count()
-    if n_again:
-        hint = F.broadcast if n_again <= MAX_PICKED else (lambda x: x)
-        single = kept.join(hint(again), same(), "left_anti")
-        repeated = kept.join(hint(again), same(), "left_semi")
-        kept = single.unionByName(repeated.dropDuplicates([id_col, text_col]))
-    return kept
+        return F.col(id_col).cast("long").eqNullSafe(F.col(own_id)) & (F.xxhash64(F.col(text_col)) == F.col(own_key))
+
+    kept = docs.join(drop, same(), "left_anti")
+    if again.isEmpty():
+        return kept
+    single, repeated = kept.join(again, same(), "left_anti"), kept.join(again, same(), "left_semi")
+    return single.unionByName(repeated.dropDuplicates([id_col, text_col]))

@@ -306,9 +306,13 @@ def family(rnd, size, words, most):
         yield " ".join(own)
 
 
-@pytest.mark.parametrize("rare", [16, 2])
-def test_ngram_join(spark, monkeypatch, rare):
+@pytest.mark.parametrize("rare, frequent, part, bits", [(16, 500_000, 512, 1 << 26), (2, 500_000, 4, 64), (2, 10, 512, 1 << 26)])
+def test_ngram_join(spark, monkeypatch, rare, frequent, part, bits):
+    """Also with few frequent tokens, large keys dealt to parts, and a filter too small to hold anything back."""
     monkeypatch.setattr(ngram_join, "RARE_MAX", rare)
+    monkeypatch.setattr(ngram_join, "MAX_FREQUENT", frequent)
+    monkeypatch.setattr(ngram_join, "KEY_PART", part)
+    monkeypatch.setattr(ngram_join, "FILTER_BITS", bits)
     rnd = random.Random(rare)
     passage = " ".join(f"p{k}" for k in range(60))
     texts = list(TEXTS[:8]) + list(family(rnd, 40, 100, 5)) + list(family(rnd, 6, 30, 2)) + list(family(rnd, 5, 7, 1))
@@ -316,7 +320,7 @@ def test_ngram_join(spark, monkeypatch, rare):
     texts += [" ".join(family(rnd, 1, 8, 0)) + " " + passage for _ in range(25)]
     rows = list(enumerate(texts)) + [(3, "one"), (None, "lonely words without id here"), (None, texts[10])]
     rnd.shuffle(rows)
-    docs = spark.createDataFrame([(k, t, "x") for k, t in rows], "doc_id long, text string, node string").repartition(4)
+    docs = spark.createDataFrame([(k, t, "x") for k, t in rows], "doc_id long, text string, id_0 string").repartition(4)
     got = ngram_join.similarity_components(docs)
     assert collections.Counter(map(tuple, got.collect())) == brute_components(rows)
     kept = ngram_join.one_of_each(docs)
