@@ -108,14 +108,65 @@ def test_packing(docs):
     assert packing.pack(empty(docs), WORD).count() == 0
 
 
-def test_packing_pads_little():
+def test_packing_of_prompts(spark):
+    rows = [(k, "answer " * (k % 50 + 1), "ask " * (k % 9) if k % 7 else None) for k in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, prompt string").repartition(2)
+    limits = packing.Limits(tokens=64, segments=4, loss=40)
+    got = rows_of(packing.pack(docs, WORD, limits=limits, prompt_col="prompt"))
+    loss, length = collections.Counter(), collections.Counter()
+    for r in got:
+        loss[r["doc_id"]] += r["loss_tokens"]
+        length[r["sequence_id"]] += r["length"]
+    assert loss == {k: len(library(WORD, text)) + 1 for k, text, _ in rows}
+    assert all(n == 64 or n & (n - 1) == 0 for n in length.values())
+
+
+@pytest.mark.parametrize("sizes", [[1, 5, 90, 700, 5000], [1, 2, 3], [9000], [33, 40_000]])
+@pytest.mark.parametrize("limits", [packing.Limits(), packing.Limits(2048, 4, 1000)])
+def test_packing_pads_nothing(sizes, limits):
     rnd = random.Random(5)
-    given = [(k, np.zeros(rnd.choice([1, 5, 90, 700, 5000]), "<u4").tobytes()) for k in range(3000)]
-    used = collections.Counter()
-    for r in packing.pack_partition(iter(given), packing.Limits(), 0):
+    given = [(k, np.arange(rnd.choice(sizes), dtype="<u4").tobytes(), packing.CONTEXT) for k in range(800)]
+    used, loss, segments, ids = collections.Counter(), collections.Counter(), collections.Counter(), 0
+    for r in packing.pack_partition(iter(given), limits, 0):
         used[r[5]] += r[2]
-    padding = sum(2048 - n for n in used.values() if n & (n - 1))
-    assert padding < 0.001 * sum(used.values())
+        loss[r[5]] += r[7]
+        segments[r[5]] += 1
+        ids += r[2]
+    assert all(n == 2048 or n & (n - 1) == 0 for n in used.values()) and max(used.values()) <= 2048
+    assert max(loss.values()) <= limits.loss and max(segments.values()) <= limits.segments
+    assert ids == sum(len(data) // 4 for _, data, _ in given)
+
+
+def test_packing_takes_the_largest_dot_product():
+    """The pool's choice among all waiting pieces is the brute-force one; each limit changes it."""
+    rnd = random.Random(6)
+    limits = packing.Limits(2048, 8, 1500)
+    for _ in range(200):
+        pool, waiting = packing.Pool(limits), []
+        for k in range(rnd.randint(1, 60)):
+            n = rnd.randint(1, 1500)
+            start = rnd.choice([0, 0, 10, 500])
+            piece = packing.Piece(k, memoryview(bytes(4 * (start + n))), rnd.choice([32, 400]), start, start + n)
+            pool.add(piece)
+            waiting.append(piece)
+        tokens, segments, loss = rnd.randint(1, 2048), rnd.randint(1, 8), rnd.randint(0, 1500)
+        dot = lambda p: p.length / 2048 * tokens / 2048 + 1 / 8 * segments / 8 + (p.length - p.free) / 1500 * loss / 1500
+        fit = [p for p in waiting if p.length <= tokens and p.length - p.free <= loss]
+        got = pool.best(tokens, segments, loss)
+        assert (got is None) == (not fit)
+        if fit:
+            assert dot(got) == pytest.approx(max(map(dot, fit)))
+
+
+def test_packing_of_a_long_document_is_linear():
+    import time
+
+    def seconds(n):
+        began = time.process_time()
+        assert sum(r[2] for r in packing.pack_partition(iter([(1, bytes(4 * n), 32)]), packing.Limits(), 0)) == n
+        return time.process_time() - began
+
+    assert seconds(4_000_000) < 10 * max(seconds(1_000_000), 0.05)
 
 
 # --- licences, secrets, quality ---------------------------------------------------
