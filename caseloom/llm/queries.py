@@ -44,6 +44,11 @@ def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan_licenses(read_table(spark, sf_dir, "documents"))
 
 
+def op3_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of the licence scan that SQL can express: all but what the method adds."""
+    return op3_license_scan(spark, sf_dir).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels")
+
+
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.scan_secrets(read_table(spark, sf_dir, "documents"))
     n = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long")
@@ -90,6 +95,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_chat_format": op1_chat_format,
         "op2_token_store": op2_token_store,
         "op3_license_scan": op3_license_scan,
+        "op3_base": op3_base,
         "op4_secret_scan": op4_secret_scan,
         "op5_decontaminate": op5_decontaminate,
         "op6_ngram_join": op6_ngram_join,
@@ -117,7 +123,78 @@ select conv_id, count(*) as n_turns,
 from turns group by conv_id
 """
 
+OP3_BASE_SQL = """
+with words as (select row_number() over () as rid, doc_id, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') as w
+  from documents),
+phrases(phrase, label) as (values (['mit', 'license'], 'mit'), (['apache', 'license'], 'apache'), (['general', 'public', 'license'], 'gpl')),
+hits as (select rid, label, unnest(list_filter(range(1, len(w) + 1), lambda k: w[k:k + len(phrase) - 1] = phrase)) - 1 as place
+  from words, phrases where list_contains(w, 'license'))
+select doc_id, cast(len(w) as bigint) as n_words, count(place) as n_base, min(place) as first_word, max(place) as last_word,
+  coalesce(string_agg(distinct label, ',' order by label), '') as base_labels
+from words left join hits using (rid) group by rid, doc_id, w
+"""
+
+
+def _quoted(pattern: str) -> str:
+    return "'" + pattern.replace("'", "''") + "'"
+
+
+# Matches with their places: the pieces between them and their own lengths, summed up.
+_MATCHES = "union all".join(
+    f"""
+  select rid, {kind} as kind, k, length(whole) as n, value,
+    sum(length(gap) + length(whole)) over (partition by rid order by k) as stop
+  from (select rid, unnest(regexp_extract_all(text, {_quoted(pattern)})) as whole, unnest(regexp_extract_all(text, {_quoted(pattern)}, {group})) as value,
+      unnest(list_slice(regexp_split_to_array(text, {_quoted(pattern)}), 1, -2)) as gap,
+      generate_subscripts(regexp_extract_all(text, {_quoted(pattern)}), 1) as k
+    from docs where regexp_matches(text, {_quoted(pattern)}))
+  """
+    for kind, pattern, group in (
+        (0, r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2),
+        (1, "AKIA[A-Z0-9]+", 0),
+        (2, "[0-9a-f]+", 0),
+        (3, secrets.OTHER, 0),
+    )
+)
+
+OP4_SQL = f"""
+with docs as (select row_number() over () as rid, doc_id, source, lang, coalesce(text, '') as text from documents),
+found as (select *, stop - n as start from ({_MATCHES})
+  where kind = 3 or kind = 0 and length(value) >= 6 or kind = 1 and n >= 20 or kind = 2 and n >= 24),
+held as (select value, count(distinct coalesce(source, chr(1))) as owners, count(distinct coalesce(source, chr(1)) || chr(2) || coalesce(lang, chr(1))) as repos
+  from found join docs using (rid) group by value),
+judged as (select f.*, not regexp_matches(f.value, '{secrets.STOCK}') and owners <= {secrets.MAX_OWNERS} and repos <= {secrets.MAX_REPOS} as live,
+    ['assign', 'access', 'hex', 'other'][kind + 1] || ':' || start || ':' || stop as span
+  from found f join held using (value)),
+told as (select rid, count(*) filter (where kind = 0) as n_assign, count(*) filter (where kind = 1) as n_access, count(*) filter (where kind = 2) as n_hex,
+    string_agg(span, ',' order by start, kind) filter (where kind < 3) as base, string_agg(span, ',' order by start, kind) as spans, count(*) filter (where live) as n_live
+  from judged where kind < 3 or live group by rid)
+select doc_id, coalesce(n_assign, 0) as n_assign, coalesce(n_access, 0) as n_access, coalesce(n_hex, 0) as n_hex,
+  sha256(coalesce(base, '')) as base_sha256, coalesce(spans, '') as spans, coalesce(n_live, 0) as n_live
+from docs left join told using (rid)
+"""
+
+# Every pair of documents with a shingle in common, then the smallest id that links reach, round by round.
+OP6_SQL = """
+with recursive words as (
+  select row_number() over () as rid, doc_id, list_filter(regexp_split_to_array(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') as w
+  from documents),
+sets as (select rid, doc_id, case when len(w) = 0 then [] when len(w) < 5 then [hash(array_to_string(w, ' '))]
+    else list_sort(list_distinct(list_transform(range(1, len(w) - 3), lambda k: hash(w[k] || ' ' || w[k + 1] || ' ' || w[k + 2] || ' ' || w[k + 3] || ' ' || w[k + 4])))) end as own from words),
+kinds as (select own, min(doc_id) as doc_id, row_number() over () as kid from sets where len(own) > 0 group by own),
+items as (select kid, unnest(own) as item from kinds),
+links as (select a.kid as a, b.kid as b from items a join items b on a.item = b.item and a.kid <> b.kid
+  join kinds x on x.kid = a.kid join kinds y on y.kid = b.kid
+  group by a.kid, b.kid, len(x.own), len(y.own) having 100 * count(*) >= 80 * (len(x.own) + len(y.own) - count(*))),
+reach(kid, near) as (select kid, kid from kinds union select r.kid, l.b from reach r join links l on r.near = l.a),
+least as (select r.kid, min(k.doc_id) as component_id from reach r join kinds k on k.kid = r.near group by r.kid)
+select s.doc_id, cast(len(s.own) as bigint) as n_shingles, coalesce(l.component_id, s.doc_id) as component_id
+from sets s left join kinds k on s.own = k.own and len(s.own) > 0 left join least l on l.kid = k.kid
+"""
+
 
 def oracle_sql() -> dict[str, str]:
     """The others have no SQL: it has no tokenizers, no xxhash64, no alignment; their tests compare with brute force."""
-    return {"op1_chat_format": OP1_SQL}
+    return {"op1_chat_format": OP1_SQL, "op3_base": OP3_BASE_SQL, "op4_secret_scan": OP4_SQL, "op6_ngram_join": OP6_SQL}

@@ -32,8 +32,8 @@ TEXTS = [
 
 @pytest.fixture(scope="module")
 def docs(spark):
-    rows = [(k, t, f"s{k % 3}", "other", k) for k, t in enumerate(TEXTS)] + [(3, "one", None, "x", 1), (None, "no id here", "s", "x", 1)]
-    return spark.createDataFrame(rows, "doc_id long, text string, source string, words string, n_chars long").repartition(3)
+    rows = [(k, t, f"s{k % 3}", "en", "other", k) for k, t in enumerate(TEXTS)] + [(3, "one", None, None, "x", 1), (None, "no id here", "s", "de", "x", 1)]
+    return spark.createDataFrame(rows, "doc_id long, text string, source string, lang string, words string, n_chars long").repartition(3)
 
 
 def empty(docs):
@@ -217,11 +217,12 @@ def test_secret_scan(docs, spark):
     assert collections.Counter((r.doc_id, r.base) for r in got.collect()) == wanted
     assert secrets.scan_secrets(empty(docs)).count() == 0
 
-    live, copied = "ghp_" + "a1B2" * 9, "ghp_" + "c3D4" * 9
-    rows = [(k, f"see {copied} now", f"owner{k}") for k in range(5)] + [(9, f"mine {live}", "owner9"), (10, f"{live} again", "owner9")]
-    more = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    live, copied, spread, stock = ("ghp_" + x * 9 for x in ("a1B2", "c3D4", "e5F6", "EXAMPLE1"))
+    rows = [(k, f"see {copied} now", f"owner{k}", "en") for k in range(5)] + [(9, f"mine {live}", "owner9", "en"), (10, f"{live} again", "owner9", "en")]
+    rows += [(20 + k, f"all over {spread}", "owner20", f"l{k}") for k in range(secrets.MAX_REPOS + 1)] + [(40, f"as in {stock}", "owner40", None)]
+    more = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
     spans = {r.doc_id: len(r.spans) for r in secrets.scan_secrets(more).collect()}
-    assert spans == {**{k: 0 for k in range(5)}, 9: 1, 10: 1}
+    assert {k for k, n in spans.items() if n} == {9, 10} and len(spans) == len(rows)
     masked = {r.doc_id: r.text for r in secrets.redact_secrets(more).collect()}
     assert masked[9] == "mine [SECRET]" and masked[10] == "[SECRET] again" and masked[0] == rows[0][1]
     clean = {(r.doc_id, r.source): r for r in secrets.redact_secrets(docs).collect()}
@@ -229,6 +230,23 @@ def test_secret_scan(docs, spark):
     assert AKIA not in clean[9, "s0"].text and "hunter22" not in clean[9, "s0"].text and clean[9, "s0"].n_chars == len(clean[9, "s0"].text)
 
 
+def test_secret_places_of_many_candidates(spark):
+    """Running sums by blocks give every place, and their cost grows little faster than the text."""
+    import time
+
+    def seconds(n):
+        text = " ".join(f"{'é' * (k % 3)}AKIA{'A' * 16}{k}" for k in range(n))
+        began = time.perf_counter()
+        (row,) = secrets.scan_secrets(spark.createDataFrame([(1, text, "s", "en")], "doc_id long, text string, source string, lang string")).collect()
+        took = time.perf_counter() - began
+        assert [(x.start, x.end) for x in row.spans] == [m.span() for m in PATTERNS[1][1].finditer(text)]
+        return took
+
+    for n in (0, 1, 2, 3, 10, 17):
+        seconds(n)
+    assert seconds(40_000) < 10
+
+
 def brute_quality(text):
     text = text or ""
     words = re.findall(r"[^\x20\x09-\x0D]+", text)
