@@ -1,26 +1,30 @@
 """HTML extraction: maximum-scoring subsequence of words and tags.
 
-A page is read once as a sequence of tags and text blocks.  Words score
-positive and tags negative; both weights depend on where they stand and come
-from labelled pages: pages that mark their own article.  A linear scan finds the
-contiguous region with the largest sum, and the blocks of the region that are
-not inside a menu, advert, form or the like are the text.
-
-Fitting counts, over at most ``LABELLED_PAGES`` labelled pages, how often words
-and tags under each element name or class stand inside the marked article.  A
-place that the labelled pages never showed counts as content, so pages with
-other layouts still give their running text.
-
-A class or form that suggests boilerplate is not believed where it holds the
+A page is read once as a sequence of tags and text blocks.  A linear scan finds
+the contiguous region with the largest sum of scores, and the blocks in it that
+score above zero are the text.
+
+Weights are log likelihood ratios of content against boilerplate, fitted on at
+most ``LABELLED_PAGES`` pages that mark their own article.  Each place around a
+block has features: its element, its classes, whether its name or role sounds
+like boilerplate, and whether it is inside the page's mark or outside of it.
+Words inside the mark speak for all their places; words outside speak against
+theirs, and words in a menu, advert, form or the like against that place alone,
+so that what it holds (lists, plain divisions) keeps its standing.  The fixed
+lists of such places are prior counts, not vetoes.  A word scores by the worst
+of its places, or if none is bad by the best; a place that no labelled page
+showed is neutral, so pages of other layouts still give their running text.
+Tags cost by their own weights.
+
+A class or form that sounds like boilerplate is not believed where it holds the
 page: where it has more than ``HOLDS`` times the words outside such places, or
-a single article or main with more words than those.  Menus, asides, footers
-and the like are always left out, and an article inside them is not the page's.
-Where a page marks its article, the mark decides and no fitted weight.
-
-Nulls and edge cases: null or empty html gives an empty text; unclosed elements
-last until their parent ends; broken references stay as they are; ties go to the
-earlier, longer region; pages of any length are read whole; repeated rows are
-separate rows; an empty table gives no rows.
+a single article or main with more words than those.
+
+Nulls and edge cases: null or empty html gives an empty text; quotes open a
+value only behind an equals sign; unclosed elements last until their parent
+ends; broken references stay as they are; ties go to the earlier, longer region;
+pages of any length and depth are read whole in time that grows with their
+length; repeated rows are separate rows; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -43,7 +47,8 @@ LABELLED_PAGES = 500
 RAW = ("script", "style", "noscript", "template", "iframe", "textarea", "title", "svg", "select")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset(
-    "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q ruby s samp small span strike strong sub sup time tt u var wbr".split()
+    "a abbr acronym area audio b bdi bdo big canvas cite code data del dfn em embed font i img input ins kbd label map mark math meter object output "
+    "picture progress q rb rp rt ruby s samp slot small source span strike strong sub sup time track tt u var video wbr".split()
 )
 BOILERPLATE = frozenset("head nav footer aside form button menu dialog".split())
 MARKED = frozenset(("article", "main"))
@@ -60,43 +65,86 @@ HOLDS = 4
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)"
-    r"|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|$)",
+    r"|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>=]++|=(?:\s*+(?:\"[^\"]*\"|'[^']*'))?)*+)(?:>|$)",
     re.S,
 )
 _RAW_END = {name: re.compile(rf"</{name}\s*>", re.I) for name in RAW}
-_ATTRIBUTE = re.compile(r"([A-Za-z-]+)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)")
+_ATTRIBUTE = re.compile(r"([A-Za-z-]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?")
 _SPACE = re.compile(r"\s+")
 #: Classes that tell of an element's state, not its kind ("has-sidebar").
 _STATE = re.compile(r"(?:with|without|has|no|is|not|show|hide)[-_]", re.I)
+#: Prior counts of words against the places of the fixed lists, and for and against any feature.
+PRIOR, SMOOTH = 1000.0, 50.0
+#: Weights are cut off here; a place below ``BAD`` is boilerplate whatever is around it.
+MOST, BAD = 4.0, -0.7
+#: What a word in neutral places and a tag without a weight score.
+NEUTRAL, NEUTRAL_TAG = 0.5, -0.05
+#: A word costs no more than this in the scan.
+LEAST = -0.5
 #: An open one of these ends where another of its group starts.
 _ENDED_BY = {"p": "p", "li": "li", "dt": "dt dd", "dd": "dt dd", "tr": "tr", "td": "td th tr", "th": "td th tr", "option": "option"}
 _ENDS_P = frozenset("address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
 
 
-@dataclass
+LISTED, INSIDE, OUTSIDE = "~listed", "~inside", "~outside"
+
+
+class Place:
+    """Where an open element stands: its own features, and what the places around it say."""
+
+    __slots__ = ("parent", "features", "listed", "marked", "group", "groups", "article", "worst", "best")
+
+    def __init__(self, parent: Place | None, features: tuple[str, ...] = (), listed=False, marks=False, group=(), article: int | None = None):
+        self.parent, self.features = parent, features
+        self.listed = listed or parent is not None and parent.listed
+        self.marked = marks or parent is not None and parent.marked
+        self.group = group
+        self.groups: tuple[str | None, ...] = parent.groups if parent else ()
+        if group and group[0] not in self.groups:
+            self.groups += group
+        self.article = article if parent is None or parent.article is None else parent.article
+        self.worst: float | None = None
+        self.best = 0.0
+
+
+@dataclass(slots=True)
 class Event:
-    """A tag (``text`` is None) or a text block, and the features of its place."""
+    """A tag (``text`` is None, ``name`` its feature) or a text block, and its place."""
 
-    features: tuple[str, ...]
+    place: Place
+    name: str = ""
     text: str | None = None
-    excluded: bool = False
-    marked: bool = False
 
 
 @dataclass
 class Weights:
+    """Log likelihood ratios by feature; what is not in them is neutral."""
+
     words: dict[str, float] = field(default_factory=dict)
     tags: dict[str, float] = field(default_factory=dict)
 
-    def word(self, features: tuple[str, ...]) -> float:
-        """The innermost known place decides; an unknown one counts as content."""
-        for f in reversed(features):
-            if f in self.words:
-                return self.words[f]
-        return 1.0
-
-    def tag(self, features: tuple[str, ...]) -> float:
-        return self.tags.get(features[-1], -0.05) if features else -0.05
+    def _settle(self, place: Place) -> None:
+        """Worst and best weight of a place and those around it; places are settled outermost first, once."""
+        todo = []
+        while place is not None and place.worst is None:
+            todo.append(place)
+            place = place.parent
+        for p in reversed(todo):
+            own = [self.words.get(f, 0.0) for f in p.features]
+            up = p.parent
+            p.worst = min([*own, up.worst if up else 0.0])
+            p.best = max([*own, up.best if up else 0.0])
+
+    def word(self, place: Place, outside: bool) -> float:
+        """Of one word: below zero in a bad place, else between 0 and 1.  ``outside``: of the page's mark."""
+        self._settle(place)
+        context = self.words.get(OUTSIDE if outside else INSIDE if place.marked else "", 0.0)
+        worst, best = min(place.worst, context), max(place.best, context)
+        return worst if worst < BAD else min(1.0, NEUTRAL + best)
+
+    def tag(self, event: Event) -> float:
+        inside = "@inside" if event.place.marked else ""
+        return max(-1.0, min(-0.01, self.tags.get(event.name + inside, NEUTRAL_TAG)))
 
 
 def events(page: str) -> list[Event]:
@@ -136,24 +184,37 @@ def _scan(page: str, lifted: set[str]) -> tuple[list[Event], Held]:
     """The events of a page where the classes ``lifted`` are not suspicious."""
     out: list[Event] = []
     held: Held = Counter()
-    stack: list[tuple[str, tuple[str, ...], bool, bool, tuple[str | None, ...], int | None]] = []  # name, features, excluded, marked, suspicious, article
+    stack: list[tuple[str, Place]] = [("", Place(None))]  # block elements, and inline ones that are listed
+    opened: Counter[str] = Counter()
+    inline: dict[str, list[Place | None]] = {}  # open inline elements by name: the place of a listed one, else None
     buffer: list[str] = []
-    place: tuple[tuple[str, ...], bool, bool] = ((), False, False)
-    around: tuple[tuple[str | None, ...], int | None] = ((), None)
 
     def flush() -> None:
         if buffer:
             text = _SPACE.sub(" ", html.unescape("".join(buffer))).strip()
             buffer.clear()
             if text:
-                out.append(Event(place[0], text, place[1], place[2]))
-                held[around] += len(text.split())
-
-    def settle() -> None:
-        nonlocal place, around
-        blocks = [s for s in stack if s[0] not in INLINE]
-        place = (tuple(f for s in blocks for f in s[1]), any(s[2] for s in stack), any(s[3] for s in stack))
-        around = (tuple(g for s in stack for g in s[4]), next((s[5] for s in stack if s[5] is not None), None))
+                place, n = stack[-1][1], text.count(" ") + 1
+                out.append(Event(place, "", text))
+                held[place.groups, place.article] += n
+
+    def pop() -> str:
+        name, _ = stack.pop()
+        opened[name] -= 1
+        return name
+
+    def end_inline(name: str) -> None:
+        place = inline[name].pop() if inline.get(name) else None
+        k = len(stack) - 1
+        while place is not None and stack[k][0] in INLINE:
+            if stack[k][1] is place:
+                flush()
+                above = stack[k + 1 :]
+                del stack[k:]
+                for other, p in above:  # crossed elements go on without it
+                    stack.append((other, Place(stack[-1][1], p.features, True, False, p.group)))
+                return
+            k -= 1
 
     at, n = 0, len(page)
     while at < n:
@@ -171,84 +232,106 @@ def _scan(page: str, lifted: set[str]) -> tuple[list[Event], Held]:
             at = end.end() if end else n
             continue
         if m[1]:
-            if not any(s[0] == name for s in stack):
-                if name not in INLINE:
-                    flush()
+            if name in INLINE:
+                end_inline(name)
                 continue
-            if any(s[2] for s in stack):
-                flush()
-            if name not in INLINE:
-                flush()
-                hidden, inside = any(s[2] for s in stack), any(s[3] for s in stack)
-                while stack.pop()[0] != name:
+            flush()
+            if opened[name] > 0:
+                place = stack[-1][1]
+                while pop() != name:
                     pass
-                out.append(Event((f"/{name}",), None, hidden, inside))
-            elif stack[-1][0] == name:
-                stack.pop()
-            else:  # crossed inline elements: only this one ends
-                k = max(i for i, s in enumerate(stack) if s[0] == name)
-                if all(s[0] in INLINE for s in stack[k:]):
-                    del stack[k]
-            settle()
+                out.append(Event(place, f"/{name}"))
             continue
         given = {k.lower(): v.strip("\"'") for k, v in _ATTRIBUTE.findall(m[3])} if m[3].strip(" /") else {}
         names = f"{given.get('class', '')} {given.get('id', '')}".strip()
         names = " ".join(x for x in names.split() if not _STATE.match(x))
-        features = (name, *(f"{name}.{x.lower()}" for x in names.split()))
         if name not in INLINE:
             flush()
             ends = {o for o, by in _ENDED_BY.items() if name in by.split()} | ({"p"} if name in _ENDS_P else set())
-            for k in range(len(stack) - 1, -1, -1):
+            for k in range(len(stack) - 1, 0, -1):
                 if stack[k][0] in ends:
-                    del stack[k:]
+                    while len(stack) > k:
+                        pop()
                     break
                 if stack[k][0] not in INLINE:
                     break
-        inside = any(s[3] for s in stack)
+        around = stack[-1][1]
         role = given.get("role", "").lower()
         named = bool(names and BOILERPLATE_NAMES.search(names))
         certain = (
             (name in BOILERPLATE and name != "form")
-            or (name == "header" and not inside)
+            or (name == "header" and not around.marked)
             or (role in BOILERPLATE_ROLES and role != "form")
             or "hidden" in given
         )
         group = f"{name} {names}" if name == "form" or role == "form" or (named and name not in ("html", "body", *MARKED)) else None
         suspicious = (None,) if certain else () if group is None or group in lifted else (group,)
-        excluded = bool(suspicious) or any(s[2] for s in stack)
-        # An article inside an excluded part (a teaser, a comment) is not the page's.
-        marks = name in MARKED and not excluded
-        inside = inside or marks
-        if name not in INLINE:
-            out.append(Event(features, None, excluded, inside))
-        elif excluded:
+        open_ended = name not in VOID and not m[3].rstrip().endswith("/")
+        if name in INLINE and not suspicious:
+            if open_ended:
+                inline.setdefault(name, []).append(None)
+            continue
+        # An article inside a listed part (a teaser, a comment) is not the page's.
+        marks = name in MARKED and not suspicious and not around.listed
+        features = (name, *(f"{name}.{x.lower()}" for x in names.split()), *((LISTED,) if suspicious else ()))
+        if suspicious and name not in BOILERPLATE:
+            features = features[1:]  # a plain division is not bad for the name that one of them has
+        place = Place(around, features, bool(suspicious), marks, suspicious, m.start() if name in MARKED and not named else None)
+        if name in INLINE:
             flush()
-        if name not in VOID and not m[3].rstrip().endswith("/"):
-            stack.append((name, features, excluded, marks, suspicious, m.start() if name in MARKED and not named else None))
-        settle()
+            if open_ended:
+                stack.append((name, place))
+                inline.setdefault(name, []).append(place)
+            continue
+        out.append(Event(place, name))
+        if open_ended:
+            stack.append((name, place))
+            opened[name] += 1
     flush()
     return out, held
 
 
 def fit(pages: list[str]) -> Weights:
-    """Log odds of standing inside the marked article, by element name and class.
-
-    Text that the exclusion rules drop teaches nothing: what holds it (lists,
-    plain divisions) may hold content elsewhere.
-    """
-    words, tags = (Counter(), Counter()), (Counter(), Counter())
+    """Log likelihood ratios of content against boilerplate, by feature."""
+    words, tags, total = (Counter(), Counter()), (Counter(), Counter()), [0, 0]
     for page in pages:
-        for e in events(page):
-            if e.excluded:
-                continue
+        whole: dict[int, tuple[Place, list[int]]] = {}  # words of content and of boilerplate in each place
+        own = events(page)
+        for e in own:
             if e.text is None:
-                tags[e.marked][e.features[-1]] += 1
-            elif e.features:
-                words[e.marked][e.features[-1]] += len(e.text.split())
-    odds = lambda pair, f: math.log((pair[1][f] + 1) / (pair[0][f] + 1))
+                if not e.place.listed:
+                    tags[e.place.marked][e.name + "@inside" * e.place.marked] += 1
+                continue
+            n = e.text.count(" ") + 1
+            good = e.place.marked and not e.place.listed
+            total[good] += n
+            if not e.place.listed:
+                words[good][INSIDE if e.place.marked else OUTSIDE] += n
+            p = e.place
+            if e.place.listed:  # the outermost listed place alone is to blame
+                while p.parent is not None and p.parent.listed:
+                    p = p.parent
+                words[False].update(dict.fromkeys(p.features, n))
+            else:
+                whole.setdefault(id(p), (p, [0, 0]))[1][good] += n
+        for p, counts in whole.values():
+            seen: tuple[set[str], set[str]] = (set(), set())
+            while p is not None:
+                seen[1].update(p.features)
+                seen[0].update(p.features[1:] or p.features)  # classes, where there are any, and not the element
+                p = p.parent
+            for good in (0, 1):
+                words[good].update(dict.fromkeys(seen[good], counts[good]))
+    prior = {LISTED: PRIOR, OUTSIDE: PRIOR, **dict.fromkeys(BOILERPLATE - {"form"}, PRIOR)}
+
+    def ratios(counts: tuple[Counter, Counter], total: list[float], smooth: float, against: dict[str, float]) -> dict[str, float]:
+        def share(f: str, k: int) -> float:
+            return (counts[k][f] + smooth * total[k] / sum(total) + (0.0 if k else against.get(f, 0.0))) / total[k]
+
+        return {f: max(-MOST, min(MOST, math.log(share(f, 1) / share(f, 0)))) for f in counts[0].keys() | counts[1].keys() | against.keys()}
+
     return Weights(
-        {f: max(-4.0, min(1.0, odds(words, f))) for f in words[0].keys() | words[1].keys()},
-        {f: max(-1.0, min(-0.01, odds(tags, f))) for f in tags[0].keys() | tags[1].keys()},
+        ratios(words, [n + PRIOR for n in total], SMOOTH, prior), ratios(tags, [sum(c.values()) + SMOOTH for c in tags], SMOOTH / 10, {})
     )
 
 
@@ -268,26 +351,21 @@ def main_text(page: str | None, weights: Weights) -> str:
     if not page:
         return ""
     own = events(page)
-    marks = any(e.marked for e in own)
-    scores = []
-    for e in own:
-        if e.text is None:
-            scores.append(-0.01 if e.marked else weights.tag(e.features))
-            continue
-        n = len(e.text.split())
-        if e.excluded:  # inside a marked article the text goes on behind an advert
-            scores.append(-0.01 if e.marked else -0.5 * n)
-        elif e.marked:
-            scores.append(max(weights.word(e.features), 0.5) * n)
-        else:  # where a page marks its article, other words are not of it
-            scores.append(-n if marks else weights.word(e.features) * n)
+    has_mark = any(e.place.marked for e in own)
+    of_word = [0.0 if e.text is None else weights.word(e.place, has_mark and not e.place.marked) for e in own]
+    # Boilerplate in the middle of a text ends it only where it outweighs what follows, and inside a mark never.
+    scores = [
+        weights.tag(e) if e.text is None else -0.01 if w < 0 and e.place.marked else max(w, LEAST) * (e.text.count(" ") + 1)
+        for e, w in zip(own, of_word)
+    ]
     first, last = best_region(scores)
-    return "\n".join(e.text for e in own[first:last] if e.text is not None and not e.excluded and (e.marked or not marks))
+    return "\n".join(e.text for e, w in zip(own[first:last], of_word[first:last]) if w > 0)
 
 
 def labelled(pages: DataFrame, html_col: str = "html") -> list[str]:
-    """At most ``LABELLED_PAGES`` pages that mark their article."""
-    return [r[0] for r in pages.where(F.col(html_col).rlike(r"(?i)<(article|main)[\s>]")).select(html_col).limit(LABELLED_PAGES).collect()]
+    """At most ``LABELLED_PAGES`` pages that mark their article, the same ones on every run: those whose hashes are lowest."""
+    marked = pages.where(F.col(html_col).rlike(r"(?i)<(article|main)[\s>]"))
+    return [r[0] for r in marked.orderBy(F.xxhash64(html_col), html_col).select(html_col).limit(LABELLED_PAGES).collect()]
 
 
 def extract(pages: DataFrame, weights: Weights | None = None, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

@@ -481,10 +481,87 @@ def test_html_layouts(around, article):
         assert html_extract.main_text(page, weights) == "Head\n" + ("word " * 40).strip()
 
 
-def test_html_fitted_weights_count():
-    weights = html_extract.Weights({"p": 1.0, "li": -2.0})
-    page = "<body><ul><li>an old link</li></ul><div><p>a text of its own</p></div><ul><li>one more link</li></ul></body>"
+LABELLED = ["<body><nav>One</nav><ul class='x7'><li>buy this</li></ul><article>%s<div class='promo2'>x</div></article><hr><div class='x8'><p>%s</p></div></body>" % (ARTICLE, "more " * 30)] * 40
+
+
+def test_html_weights_decide():
+    """A class that no list names is boilerplate because the labelled pages say so; without weights it is text."""
+    weights = html_extract.fit(LABELLED)
+    page = "<body><div class='x8'><p>an old one</p></div><div><p>a text of its own</p></div></body>"
     assert html_extract.main_text(page, weights) == "a text of its own"
+    assert html_extract.main_text(page, html_extract.Weights()) == "an old one\na text of its own"
+    listed = "<body><nav>One two three</nav><p>a text</p></body>"
+    assert html_extract.main_text(listed, weights) == "a text" != html_extract.main_text(listed, html_extract.Weights())
+
+
+def test_html_scan_decides():
+    """Blocks that score above zero are left out where the tags between cost more than they bring."""
+    weights = html_extract.Weights({}, {"hr": -1.0})
+    page = "<p>%s</p>" + "<hr>" * 8 + "<p>far tail</p>"
+    assert html_extract.main_text(page % ("word " * 9), weights) == ("word " * 9).strip()
+    assert html_extract.main_text(page % ("word " * 9), html_extract.Weights()).endswith("far tail")
+
+
+def brute_text(page, weights):
+    """All regions compared, each word's weight from the whole way up."""
+    own = html_extract.events(page)
+    has_mark = any(e.place.marked for e in own)
+
+    def of_word(e):
+        found = [weights.words.get(html_extract.OUTSIDE if has_mark and not e.place.marked else html_extract.INSIDE if e.place.marked else "", 0.0)]
+        p = e.place
+        while p is not None:
+            found += [weights.words.get(f, 0.0) for f in p.features]
+            p = p.parent
+        return min([0.0, *found]) if min(found) < html_extract.BAD else min(1.0, html_extract.NEUTRAL + max([0.0, *found]))
+
+    bad = lambda e, w: -0.01 if e.place.marked else max(w, html_extract.LEAST) * len(e.text.split())
+    score = [weights.tag(e) if e.text is None else of_word(e) * len(e.text.split()) if of_word(e) >= 0 else bad(e, of_word(e)) for e in own]
+    regions = [(0, 0)] + [(i, j) for i in range(len(own)) for j in range(i + 1, len(own) + 1)]
+    most = max(sum(score[i:j]) for i, j in regions)
+    return {"\n".join(e.text for e in own[i:j] if e.text is not None and of_word(e) > 0) for i, j in regions if sum(score[i:j]) > most - 1e-9}
+
+
+def test_html_against_brute_force():
+    weights, rnd = html_extract.fit(LABELLED), random.Random(8)
+    names = ["p", "div", "ul", "li", "nav", "article", "span class=ad", "b", "hr", "div class='x8'", "section id=x9", "form", "div hidden"]
+
+    def tree(depth):
+        out = []
+        for _ in range(rnd.randint(1, 3)):
+            name = rnd.choice(names)
+            inner = tree(depth - 1) if depth and rnd.random() < 0.7 else " ".join(rnd.choices(["a", "b &amp; c", "d"], k=rnd.randint(0, 6)))
+            out.append(f"<{name}>{inner}" + rnd.choice(["", "", f"</{name.split()[0]}>"]) + rnd.choice(["", " tail "]))
+        return "".join(out)
+
+    for _ in range(300):
+        page = tree(3)
+        assert html_extract.main_text(page, weights) in brute_text(page, weights)
+
+
+@pytest.mark.parametrize(
+    "page, wanted",
+    [
+        ("<p title=it's>alpha beta</p><p>don't stop</p>", "alpha beta\ndon't stop"),
+        ("<p title = 'a > b' alt=\"c > d\">x y</p>", "x y"),
+        ("<p>one <img src=x> two <video><source src=y></video> three</p>", "one two three"),
+        ("<p a=\"open>never closed</p> tail", "never closed\ntail"),
+        ("<p>a < b and c > d &lt;e&gt; &nope;</p>", "a < b and c > d <e> &nope;"),
+    ],
+)
+def test_html_syntax(page, wanted):
+    assert html_extract.main_text(page, html_extract.Weights()) == wanted
+
+
+def test_html_depth_is_linear():
+    import time
+
+    def seconds(n):
+        began = time.process_time()
+        assert html_extract.main_text("<div class='ad'><b><i>" * n + "<p>deep", html_extract.Weights()) == "deep"
+        return time.process_time() - began
+
+    assert seconds(40_000) < 10 * max(seconds(10_000), 0.05)
 
 
 @settings(max_examples=50, deadline=None)
