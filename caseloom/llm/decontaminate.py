@@ -16,9 +16,9 @@ are code points (those over 255 are folded to a byte for the filter only).
 Nulls and edge cases: null or empty texts and items match nothing; an item too
 short for the budget gets the largest one with a positive bound, and one
 shorter than q must stand exactly; texts of any length are read whole; repeated
-rows are separate rows; an item counts once for each band that it verifies in
-and of overlapping finds the one with fewest edits, then the first, stays; empty
-tables give no rows.
+documents are separate rows, repeated items one; items may have ids of any type,
+or none; of overlapping finds of an item the one with fewest edits, then the
+first, stays; empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -29,8 +29,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from ._common import to_batch
+from ._common import table, to_batch
 
 Q = 8
 #: Edits allowed for each hundred characters of an item.
@@ -42,8 +43,6 @@ _BITS = 22
 _K = np.uint64(0x9E3779B97F4A7C15)
 _SHIFT = np.uint64(64 - _BITS)
 
-LEAKS = "doc_id long, item_id long, start long, end long, edits long"
-
 _FOLD = str.maketrans({**{chr(c): chr(c + 32) for c in range(65, 91)}, **{c: " " for c in "\t\n\x0b\x0c\r"}})
 _FOLD_BYTES = bytes(b + 32 if 65 <= b <= 90 else 32 if 9 <= b <= 13 else b for b in range(256))
 
@@ -75,7 +74,7 @@ def budget(m: int) -> int:
 class Index:
     """q-grams of a block of items, sorted, with their places."""
 
-    def __init__(self, items: list[tuple[int, str]]):
+    def __init__(self, items: list[tuple[object, str]]):
         self.items = [(key, normal(text)) for key, text in items]
         self.short = [k for k, (_, text) in enumerate(self.items) if 0 < len(text) < Q]
         own = [(k, grams(folded(text))) for k, (_, text) in enumerate(self.items)]
@@ -162,11 +161,14 @@ def leaks_of(index: Index, texts: list[str]) -> list[list[tuple[int, int, int, i
         if k < len(own):
             chunk.append(k)
             size += len(own[k])
-    for k, text in enumerate(texts):
+    for k, text in enumerate(texts if index.short else []):
+        ready = normal(text)
         for i in index.short:
             key, item = index.items[i]
-            if (at := normal(text).find(item)) >= 0:
+            at = ready.find(item)
+            while at >= 0:
                 out[k].append((key, at, at + len(item), 0))
+                at = ready.find(item, at + len(item))
     return out
 
 
@@ -176,7 +178,7 @@ def _chunk(index: Index, texts, own, chunk, out) -> None:
     found: dict[tuple[int, int], list[tuple[int, int, int]]] = {}
     ready: dict[int, str] = {}
     for i, low, high in index.regions(gap.join(own[k] for k in chunk) + gap):
-        key, item = index.items[i]
+        _, item = index.items[i]
         # A band's region begins near its diagonals; the text is the one that holds its middle.
         d = int(np.searchsorted(starts, max(0, (low + high) // 2 + len(item) // 2), "right")) - 1
         if d >= len(chunk):
@@ -195,13 +197,9 @@ def _chunk(index: Index, texts, own, chunk, out) -> None:
             got = align(_points(item), part, lo - left, hi - left, int(index.edits[i]))
             got = got and (got[0] + left, got[1] + left, got[2])
         if got:
-            found.setdefault((k, key), []).append(got)
-    for (k, key), spans in found.items():
-        last = -1
-        for start, end, edits in _apart(spans):
-            if start >= last:
-                out[k].append((key, start, end, edits))
-                last = end
+            found.setdefault((k, i), []).append(got)
+    for (k, i), spans in found.items():
+        out[k] += ((index.items[i][0], *span) for span in _apart(spans))
 
 
 def _apart(spans: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
@@ -213,14 +211,12 @@ def _apart(spans: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
     return sorted(kept)
 
 
-def _blocks(items: DataFrame, item_col: str, text_col: str) -> Iterator[list[tuple[int, str]]]:
-    """The benchmark in blocks of bounded size."""
-    real = items.select(F.col(item_col).cast("long").alias("k"), F.col(text_col).alias("t")).where("k is not null and length(t) > 0")
+def _blocks(items: DataFrame, item_col: str, text_col: str) -> list[DataFrame]:
+    """The benchmark in blocks of about ``BLOCK_CHARS`` characters: id and text of its distinct rows."""
+    real = items.select(F.col(item_col).alias("k"), F.col(text_col).alias("t")).where("length(t) > 0").distinct()
     total = real.agg(F.sum(F.length("t"))).first()[0] or 0
     n = -(-total // BLOCK_CHARS)
-    for b in range(n):
-        rows = real.where(F.pmod(F.xxhash64("k", "t"), F.lit(n)) == b).orderBy("k", "t").collect()
-        yield [(r[0], r[1]) for r in rows]
+    return [real.where(F.pmod(F.xxhash64("k", "t"), F.lit(n)) == b).orderBy("k", "t") for b in range(n)]
 
 
 def find_leaks(
@@ -228,32 +224,36 @@ def find_leaks(
 ) -> DataFrame:
     """One row for each place where an item stands in a document: ``doc_id, item_id, start, end, edits``."""
     spark = docs.sparkSession
-    kinds = spark.createDataFrame([], LEAKS).schema
-    out = None
-    for block in _blocks(items, item_col, item_text_col):
-        given = spark.sparkContext.broadcast(block)
+    leaks = f"doc_id long, item_id {items.schema[item_col].dataType.simpleString()}, start long, end long, edits long"
+    arrow = to_arrow_schema(spark.createDataFrame([], leaks).schema)
+    out = spark.createDataFrame([], leaks)
+    blocks = _blocks(items, item_col, item_text_col)
+    for block in blocks:
+        given = spark.sparkContext.broadcast([tuple(r) for r in block.collect()])
 
         def run(batches: Iterator[pa.RecordBatch], given=given) -> Iterator[pa.RecordBatch]:
-            from pyspark.sql.pandas.types import to_arrow_schema
-
-            index, arrow = Index(given.value), to_arrow_schema(kinds)
+            index = Index(given.value)
             for batch in batches:
                 texts = [t or "" for t in batch.column(1).to_pylist()]
                 rows = [(key, *leak) for key, found in zip(batch.column(0).to_pylist(), leaks_of(index, texts)) for leak in found]
                 if rows:
                     yield to_batch(rows, arrow)
 
-        part = docs.select(F.col(id_col).cast("long"), text_col).mapInArrow(run, LEAKS)
-        out = part if out is None else out.unionByName(part)
-    return spark.createDataFrame([], LEAKS) if out is None else out
+        part = docs.select(F.col(id_col).cast("long"), text_col).mapInArrow(run, leaks)
+        if len(blocks) == 1:
+            return part
+        out = out.unionByName(table(part, "leaks"))  # stored, so that one block at a time is broadcast
+        given.unpersist()
+    return out
 
 
 def drop_leaking(docs: DataFrame, items: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """The documents in which no item stands, with the columns that came in."""
     out = docs
     at = docs.columns.index(text_col)
-    for block in _blocks(items, item_col, item_text_col):
-        given = docs.sparkSession.sparkContext.broadcast(block)
+    blocks = _blocks(items, item_col, item_text_col)
+    for block in blocks:
+        given = docs.sparkSession.sparkContext.broadcast([tuple(r) for r in block.collect()])
 
         def run(batches: Iterator[pa.RecordBatch], given=given) -> Iterator[pa.RecordBatch]:
             index = Index(given.value)
@@ -262,5 +262,7 @@ def drop_leaking(docs: DataFrame, items: DataFrame, text_col: str = "text", item
                 yield batch.filter(pa.array([not x for x in found], pa.bool_()))
 
         out = out.mapInArrow(run, docs.schema)
+        if len(blocks) > 1:
+            out = table(out, "without-leaks")
+            given.unpersist()
     return out
-

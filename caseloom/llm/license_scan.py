@@ -41,7 +41,23 @@ MORE_PHRASES = {
     "cc by": "cc-by",
     "cc by sa": "cc-by-sa",
     "cc by nc": "cc-by-nc",
+    "creative commons attribution sharealike": "cc-by-sa",
+    "creative commons attribution noncommercial": "cc-by-nc",
+    "cc by nd": "cc-by-nd",
     "cc0": "cc0",
+    "this is free and unencumbered software released into the public domain": "unlicense",
+    "dedicated to the public domain": "cc0",
+    "isc license": "isc",
+    "zlib license": "zlib",
+    "boost software license": "bsl",
+    "eclipse public license": "epl",
+    "common development and distribution license": "cddl",
+    "european union public licence": "eupl",
+    "artistic license": "artistic",
+    "free documentation license": "gfdl",
+    "microsoft public license": "ms-pl",
+    "python software foundation license": "psf",
+    "proprietary and confidential": "reserved",
     "all rights reserved": "reserved",
 }
 TAG = "spdx license identifier"
@@ -49,11 +65,14 @@ TAG = "spdx license identifier"
 #: Prefixes of licence ids in expressions, and what a label allows.
 ID_PREFIXES = {
     "mit": "mit", "apache": "apache", "agpl": "agpl", "lgpl": "lgpl", "gpl": "gpl", "bsd": "bsd", "mpl": "mpl",
-    "isc": "isc", "cc0": "cc0", "cc-by-nc": "cc-by-nc", "cc-by-sa": "cc-by-sa", "cc-by": "cc-by", "unlicense": "unlicense",
+    "isc": "isc", "cc0": "cc0", "cc-by-nc": "cc-by-nc", "cc-by-sa": "cc-by-sa", "cc-by-nd": "cc-by-nd", "cc-by": "cc-by",
+    "unlicense": "unlicense", "zlib": "zlib", "bsl": "bsl", "epl": "epl", "cddl": "cddl", "eupl": "eupl", "artistic": "artistic",
+    "gfdl": "gfdl", "ms-pl": "ms-pl", "psf": "psf", "python": "psf", "0bsd": "bsd", "licenseref-proprietary": "reserved",
 }
 WEIGHTS = {
     "mit": 1.0, "apache": 1.0, "bsd": 1.0, "isc": 1.0, "cc0": 1.0, "unlicense": 1.0, "cc-by": 0.9, "mpl": 0.7,
-    "cc-by-sa": 0.6, "lgpl": 0.6, "gpl": 0.4, "agpl": 0.3, "cc-by-nc": 0.2, "reserved": 0.0,
+    "cc-by-sa": 0.6, "lgpl": 0.6, "gpl": 0.4, "agpl": 0.3, "cc-by-nc": 0.2, "cc-by-nd": 0.2, "reserved": 0.0,
+    "zlib": 1.0, "bsl": 1.0, "psf": 1.0, "artistic": 0.8, "ms-pl": 0.8, "epl": 0.6, "cddl": 0.6, "eupl": 0.5, "gfdl": 0.4,
 }
 OTHER_ID = ("other", 0.2)
 

@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 
 import __spark_entry__ as entry
-from llm.test_operators import BYTE, WORD, base_spans, brute_components, brute_quality, library
+from llm.test_operators import BYTE, WORD, base_spans, brute_components, brute_quality, brute_scores, library
 
 SF_DIR = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF_DIR), reason="no test tables here")
@@ -64,8 +64,12 @@ def test_op6(spark, documents):
 
 
 def test_op7(spark, documents):
+    labels = spark.read.parquet(f"{SF_DIR}/labels.parquet")
+    score, least = brute_scores(list(documents.items()), {r.doc_id for r in labels.where("quality = 1 and toxic = 0").collect()})
     for r in run(spark, "op7_quality_rules"):
         wanted = brute_quality(documents[r["doc_id"]])
+        assert r["score"] == pytest.approx(score[r["doc_id"]], abs=1e-9)
+        assert r["kept"] == (not r["base_failed"] and score[r["doc_id"]] >= least - 1e-9)
         assert (r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"], r["base_failed"]) == wanted
 
 

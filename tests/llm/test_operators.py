@@ -189,6 +189,68 @@ def test_license_scan(docs):
         assert set(filter(None, r["base_labels"].split(","))) <= set(filter(None, r["labels"].split(","))) and 0 <= r["score"] <= 1
 
 
+def brute_expression(words):
+    """Labels and weight by recursive descent; None if the words are no expression."""
+    known = {"mit": ("mit", 1.0), "apache-2.0": ("apache", 1.0), "gpl-2.0-only": ("gpl", 0.4), "epl-2.0": ("epl", 0.6), "x-y": ("other", 0.2)}
+
+    def level(at, k):
+        if k == 3:
+            if at < len(words) and words[at] == "(":
+                got, at = level(at + 1, 0)
+                if words[at : at + 1] != [")"]:
+                    raise ValueError
+                return got, at + 1
+            if at >= len(words) or words[at] in ("and", "or", "with", ")"):
+                raise ValueError
+            label, weight = known[words[at].lower()]
+            return ({label}, weight), at + 1
+        (labels, weight), at = level(at, k + 1)
+        while at < len(words) and words[at] == ("or", "and", "with")[k]:
+            (more, other), at = level(at + 1, k + 1)
+            labels, weight = (labels, min(1.0, weight + 0.2)) if k == 2 else (labels | more, (max, min)[k](weight, other))
+        return (labels, weight), at
+
+    try:
+        got, at = level(0, 0)
+    except (ValueError, IndexError):
+        return None
+    return got if at == len(words) else None
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from(["MIT", "Apache-2.0", "GPL-2.0-only", "EPL-2.0", "x-y", "and", "or", "with", "(", ")"]), min_size=1, max_size=9))
+def test_license_expressions_against_recursive_descent(words):
+    """Adjacent ids can't come from a text: the expression ends before the second."""
+    apart = all(a in ("and", "or", "with", "(") or b in ("and", "or", "with", ")") for a, b in zip(words, words[1:]))
+    wanted = brute_expression(words)
+    if apart and wanted is not None:
+        labels, weight = license_scan.evaluate(words)
+        assert labels == wanted[0] and weight == pytest.approx(wanted[1])
+    elif apart:
+        assert license_scan.evaluate(words)[1] == 0.5
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.sampled_from([*license_scan.MORE_PHRASES, *license_scan.BASE_PHRASES, "cc by", "MIT", "license", "x", "no\nrights", "SPDX-License-Identifier: MIT OR GPL-2.0-only\n"]), max_size=8))
+def test_license_labels_against_windows(pieces):
+    """Labels and score of phrases found by comparing every window of words; at a place the longest phrase of the method counts."""
+    text = " ".join(pieces)
+    words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", text.translate(LOWER))
+    labels, weights = set(), []
+    for k in range(len(words)):
+        here = {p: x for p, x in {**license_scan.MORE_PHRASES, **license_scan.BASE_PHRASES, license_scan.TAG: ""}.items() if words[k : k + len(p.split())] == p.split()}
+        longest = max(map(len, here), default=0)
+        for p, label in here.items():
+            if label and (p in license_scan.BASE_PHRASES or len(p) == longest):
+                labels.add(label)
+                weights.append(license_scan.WEIGHTS[label])
+    for _ in range(text.count("SPDX-License-Identifier: MIT OR GPL")):
+        labels |= {"mit", "gpl"}
+        weights.append(1.0)
+    got = license_scan.scan_text(text)
+    assert got[5] == ",".join(sorted(labels)) and got[6] == min(weights, default=0.0)
+
+
 def test_license_expressions():
     parse = lambda text: license_scan.evaluate(license_scan.lexemes(text, 0))
     assert license_scan.postfix("MIT or Apache-2.0 and GPL-2.0".split()) == ["MIT", "Apache-2.0", "GPL-2.0", "and", "or"]
@@ -271,14 +333,50 @@ def test_quality_rules(docs, spark):
     assert quality.quality_rules(empty(docs), labels).count() == 0
 
 
+def brute_scores(rows, trusted):
+    """Score of each text by the same formula, hashed by another library; and the least of the trusted ones."""
+    import math
+
+    import xxhash
+
+    own = lambda data, seed=42: xxhash.xxh64_intdigest(data, seed)
+    signed = lambda h: h - (1 << 64) if h >> 63 else h
+    parity = lambda key: signed(own(key.to_bytes(8, "little", signed=True))) % 2
+    size = quality.BUCKETS
+
+    def buckets(text):
+        words = [w.encode() for w in re.findall(r"[^\x20\x09-\x0D]+", text or "")]
+        return [signed(own(w)) % size for w in words] + [signed(own(b, own(a))) % size for a, b in zip(words, words[1:])]
+
+    found = {key: buckets(text) for key, text in rows}
+    n, t = collections.Counter(), (collections.Counter(), collections.Counter())
+    for key, bs in found.items():
+        n.update(bs)
+        if key in trusted:
+            t[parity(key)].update(bs)
+    raw = sum(n.values()) + size
+
+    def weight(side, b):
+        total = sum(t[side].values())
+        share = (n[b] + 1) / raw
+        return round((1 << 20) * math.log((t[side][b] + size * share) / (total + size) / share)) if total else 0
+
+    score = {key: sum(weight(1 - parity(key), b) for b in bs) / (max(len(bs), 1) * (1 << 20)) for key, bs in found.items()}
+    return score, min((score[k] for k, text in rows if k in trusted and not brute_quality(text)[-1]), default=quality.THRESHOLD)
+
+
 def test_quality_tells_junk(spark):
     rnd = random.Random(1)
     vocabulary = ["".join(rnd.choices("abcdefgh", k=4)) for _ in range(300)]
     rows = [(k, " ".join(rnd.choices(vocabulary, k=120))) for k in range(60)]
     rows += [(k, " ".join(w + rnd.choice("#$%") * 3 for w in rnd.choices(vocabulary, k=120))) for k in range(60, 80)]
     labels = spark.createDataFrame([(k, 1, 0) for k in range(0, 60, 2)], "doc_id long, quality int, toxic int")
-    kept = {r.doc_id for r in quality.quality_rules(spark.createDataFrame(rows, "doc_id long, text string"), labels).collect() if r.kept}
-    assert kept == set(range(60))
+    got = quality.quality_rules(spark.createDataFrame(rows, "doc_id long, text string"), labels).collect()
+    assert {r.doc_id for r in got if r.kept} == set(range(60))
+    score, least = brute_scores(rows, set(range(0, 60, 2)))
+    for r in got:
+        assert r.score == pytest.approx(score[r.doc_id], abs=1e-12)
+        assert r.kept == (not r.base_failed and score[r.doc_id] >= least - 1e-12)
 
 
 # --- benchmark passages -----------------------------------------------------------
@@ -295,7 +393,7 @@ def edits(a, b):
     return min(row)
 
 
-def test_decontamination(spark):
+def test_decontamination(spark, monkeypatch):
     rnd = random.Random(2)
     text = lambda n: " ".join("".join(rnd.choices("abcdeé", k=rnd.randint(2, 7))) for _ in range(n))
     items = [(k, text(20)) for k in range(12)] + [(12, "tiny"), (13, None), (14, ""), (15, "same length item x"), (15, "same length item x")]
@@ -324,6 +422,11 @@ def test_decontamination(spark):
     kept = decontaminate.drop_leaking(given_docs, given_items)
     assert kept.columns == given_docs.columns
     assert sorted(r.doc_id for r in kept.collect()) == sorted(k for k, _ in docs if k not in {d for d, _ in truth})
+    monkeypatch.setattr(decontaminate, "BLOCK_CHARS", 500)  # several blocks, one after the other
+    assert sorted(map(repr, rows_of(decontaminate.find_leaks(given_docs, given_items)))) == sorted(map(repr, got))
+    assert sorted(r.doc_id for r in decontaminate.drop_leaking(given_docs, given_items).collect()) == sorted(r.doc_id for r in kept.collect())
+    named = given_items.select(F.when(F.col("item_id") < 6, F.concat(F.lit("n"), "item_id")).alias("item_id"), "text")  # some ids are null
+    assert {r["doc_id"] for r in rows_of(decontaminate.find_leaks(given_docs, named))} == {d for d, _ in truth}
     assert decontaminate.find_leaks(given_docs, given_items.where("false")).count() == 0
     assert decontaminate.find_leaks(given_docs.where("false"), given_items).count() == 0
 
