@@ -19,26 +19,19 @@ from heapq import heapify, heappop, heappush
 from pyspark.sql import DataFrame
 
 from ._common import map_rows
-from .tokens import MEMO_CHARS, MEMO_ENTRIES, byte_level_parts, is_plain
+from .tokens import Memo, byte_level_parts, byte_symbols, is_plain
 
 #: Unicode white space, spelled out: libraries differ in what their \s takes in.
 _WS = "\t-\r \x85\xa0  -     　"
 
 
-def byte_symbols() -> list[str]:
-    """The printable character that stands for each byte in byte-level vocabularies."""
-    own = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-    shifted = iter(range(256, 512))
-    return [chr(b) if b in own else chr(next(shifted)) for b in range(256)]
-
-
-class MergeCounter(dict):
-    """Memo of pre-token -> number of tokens; a missing one is merged."""
+class MergeCounter:
+    """Numbers of tokens of texts; a pre-token that the memo lacks is merged."""
 
     def __init__(self, path: str):
         import regex
 
-        super().__init__()
+        self.memo = Memo(self.merged)
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         merges = (m.split(" ") if isinstance(m, str) else m for m in spec["model"]["merges"])
@@ -73,19 +66,12 @@ class MergeCounter(dict):
                 heappush(heap, (s, p))
         return n - merges
 
-    def __missing__(self, part: str) -> int:
-        got = self.merged(part)
-        if len(part) <= MEMO_CHARS:
-            if len(self) >= MEMO_ENTRIES:
-                self.clear()
-            self[part] = got
-        return got
-
-    def count(self, text: str) -> int:
+    def count(self, text: str | None) -> int:
+        text = text or ""
         if is_plain(text):
-            return sum(map(self.__getitem__, byte_level_parts(text)))
+            return sum(map(self.memo.__getitem__, byte_level_parts(text)))
         pieces = self.at_special.split(text)
-        return len(pieces) - 1 + sum(sum(map(self.__getitem__, self.parts.findall(p))) for p in pieces)
+        return len(pieces) - 1 + sum(sum(map(self.memo.__getitem__, self.parts.findall(p))) for p in pieces)
 
 
 @lru_cache(maxsize=2)
@@ -100,8 +86,7 @@ def count_tokens(
     """``doc_id, n_bytes, n_tokens, over_limit`` for every row."""
 
     def row(key, text):
-        text = text or ""
         n = counter(tokenizer_path).count(text)
-        return [(key, len(text.encode()), n, n > limit)]
+        return [(key, len((text or "").encode()), n, n > limit)]
 
     return map_rows(docs, [id_col, text_col], row, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")

@@ -29,8 +29,9 @@ from pyspark.sql import functions as F
 from ._common import to_batch
 from .tokens import ids
 
-#: The dictionary is trained on at most this many documents.
+#: Bounds of the sample that the dictionary is trained on: documents, and characters in each; they are taken whole.
 DICTIONARY_DOCS = 1024
+DICTIONARY_CHARS = 65_536
 DICTIONARY_BYTES = 64 * 1024
 BLOCK_DOCS = 256
 BLOCK_BYTES = 1 << 20
@@ -42,12 +43,17 @@ _BLOCKS = (
 
 
 def train_dictionary(docs: DataFrame, id_col: str, text_col: str, tokenizer_path: str, end_id: int) -> bytes:
-    """Trained on the serialized ids of at most ``DICTIONARY_DOCS`` documents; empty if they are too few."""
+    """Trained on the serialized ids of whole documents, the same ones on every run: of those with at most
+    ``DICTIONARY_CHARS`` characters the ones whose hashes are lowest.  Empty if they are too few."""
     import zstandard
 
-    rows = docs.where(F.pmod(F.xxhash64(id_col), F.lit(8)) == 0).select(F.substring(text_col, 1, 20_000)).limit(DICTIONARY_DOCS).collect()
-    coder = ids(tokenizer_path)
-    samples = [coder.bytes_of(r[0]) + np.uint32(end_id).tobytes() for r in rows]
+    key = F.xxhash64(id_col)
+    # Twice as many ids as documents are wanted: some of them have texts too long to sample.
+    last = docs.select(key.alias("h")).orderBy("h").limit(2 * DICTIONARY_DOCS).agg(F.max("h")).first()[0]
+    few = docs.where((key <= (0 if last is None else last)) & (F.length(text_col) <= DICTIONARY_CHARS))
+    rows = few.orderBy(key, F.xxhash64(text_col)).select(text_col).limit(DICTIONARY_DOCS).collect()
+    coder, end = ids(tokenizer_path), np.uint32(end_id).tobytes()
+    samples = [coder.bytes_of(r[0]) + end for r in rows]
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, samples).as_bytes()
     except zstandard.ZstdError:
@@ -66,7 +72,7 @@ def write_store(
 ) -> None:
     """Encodes every whole text, appends ``end_id`` and writes the store to ``path``.
 
-    One shuffle: texts go to range partitions by id.  Each task encodes its
+    One shuffle: texts go to range partitions by id, and by their hash where an id recurs.  Each task encodes its
     documents once, in order, holding one block at a time.
     """
     spark = docs.sparkSession
@@ -110,7 +116,7 @@ def write_store(
             yield row()
 
     kinds = spark.createDataFrame([], _BLOCKS).schema
-    ordered = docs.repartitionByRange("id").sortWithinPartitions("id", F.xxhash64("text"))
+    ordered = docs.repartitionByRange("id", F.xxhash64("text")).sortWithinPartitions("id", F.xxhash64("text"))
     ordered.mapInArrow(encode, _BLOCKS).write.option("compression", "none").parquet(f"{path}/blocks")
     spark.createDataFrame([(digest, bytearray(raw))], "hash string, bytes binary").coalesce(1).write.parquet(f"{path}/dictionary")
     # One row per range partition, however large the store: a window over them is small.
