@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Rows per Arrow batch put out by the Python stages.
 OUT_ROWS = 4096
+#: Rows that they turn into Python objects at once.
+IN_ROWS = 500
 
 
 def scratch(spark: SparkSession, name: str) -> str:
@@ -55,6 +57,14 @@ def arrow_batches(spark: SparkSession, rows: int) -> Iterator[None]:
         spark.conf.set(key, before)
 
 
+def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    """Rows as tuples of Python values, a part of a batch at a time; begins by giving back memory that the worker's last stage left."""
+    pa.default_memory_pool().release_unused()
+    for batch in batches:
+        for at in range(0, batch.num_rows, IN_ROWS):
+            yield from zip(*(c.to_pylist() for c in batch.slice(at, IN_ROWS).columns))
+
+
 def map_rows(
     df: DataFrame,
     columns: list[str],
@@ -68,15 +78,14 @@ def map_rows(
     arrow = to_arrow_schema(kinds)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows: list[tuple] = []
-            for values in zip(*(c.to_pylist() for c in batch.columns)):
-                rows.extend(fn(*values))
-                if len(rows) >= OUT_ROWS:
-                    yield to_batch(rows, arrow)
-                    rows = []
-            if rows:
+        rows: list[tuple] = []
+        for values in rows_of(batches):
+            rows.extend(fn(*values))
+            if len(rows) >= OUT_ROWS:
                 yield to_batch(rows, arrow)
+                rows = []
+        if rows:
+            yield to_batch(rows, arrow)
 
     return df.select(*columns).mapInArrow(run, schema)
 

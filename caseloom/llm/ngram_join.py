@@ -40,7 +40,7 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._common import arrow_batches, table, to_batch
@@ -364,31 +364,37 @@ def _frequent_members(rows: DataFrame) -> DataFrame:
 # --- 4. verification --------------------------------------------------------------
 
 
-def filter_of(names: DataFrame) -> np.ndarray:
-    """A bitmap of ``FILTER_BITS`` by the low bits of the nodes' names: lets all of them through, and few others
-    while they are fewer than bits."""
-    words = names.select(
-        F.expr(f"cast((node & {FILTER_BITS - 1}) >> 6 as int)").alias("word"), F.expr("shiftleft(1L, cast(node & 63 as int))").alias("bit")
+def filter_words(keys: DataFrame) -> DataFrame:
+    """``word, bits``: a bitmap of ``FILTER_BITS`` by the low bits of the hashes in the column ``h``.  It has at most
+    a 64th as many rows, whatever the number of hashes; it lets all of them through, and few others while they
+    are fewer than bits."""
+    words = keys.select(
+        F.expr(f"cast((h & {FILTER_BITS - 1}) >> 6 as int)").alias("word"), F.expr("shiftleft(1L, cast(h & 63 as int))").alias("bit")
     )
-    rows = words.groupBy("word").agg(F.bit_or("bit").alias("bits")).toPandas()  # at most a 64th of the bits
+    return words.groupBy("word").agg(F.bit_or("bit").alias("bits"))
+
+
+def filter_of(keys: DataFrame) -> np.ndarray:
+    rows = filter_words(keys).toPandas()
     out = np.zeros(FILTER_BITS // 64, np.uint64)
     out[rows["word"].to_numpy(np.int64)] = rows["bits"].to_numpy(np.int64).view(np.uint64)
     return out
 
 
 def _likely_sets(batches, likely):
-    """(node, document, tokens) of the sets that the filter lets through, each once for a document of a partition."""
-    arrow = pa.schema([("node", pa.int64()), ("doc_id", pa.int64()), ("tokens", pa.binary())])
+    """(node, tokens) of the sets that the filter lets through: those of the nodes' first documents, and by chance few others."""
+    arrow = pa.schema([("node", pa.int64()), ("tokens", pa.binary())])
     bits, rows, seen = likely.value, [], set()
     places = 64 * len(bits) - 1
     for ids, texts in _columns(batches):
         for key, s in zip(ids, shingle_sets(texts)):
-            if not len(s) or ((node := set_id(s)), key) in seen:
+            if not len(s) or (node := set_id(s)) in seen:
                 continue
-            if not int(bits[(node & places) >> 6]) >> (node & 63) & 1:
+            h = node ^ (key or 0)
+            if not int(bits[(h & places) >> 6]) >> (h & 63) & 1:
                 continue
-            seen.add((node, key))
-            rows.append((node, key, s.astype("<u8").tobytes()))
+            seen.add(node)
+            rows.append((node, s.astype("<u8").tobytes()))
             if len(rows) >= 256:
                 yield to_batch(rows, arrow)
                 rows = []
@@ -420,20 +426,22 @@ def verified(docs: DataFrame, pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     """The pairs (a, b) of nodes that link.  ``pairs`` is stored and distinct.
 
     Pairs whose sizes or sketches rule a link out go first.  The sets of the others are picked
-    by a filter of bounded size and then exactly, and joined to their pairs.
+    by a filter of bounded size, stored where they are found, and joined to their pairs.
     """
     spark = docs.sparkSession
     given = pairs.alias("p").join(nodes.alias("x"), F.col("p.a") == F.col("x.node")).join(nodes.alias("y"), F.col("p.b") == F.col("y.node"))
     pairs = table(given.where(may_link("x", "y")).select("p.a", "p.b"), "likely-pairs")
-    names = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    names = table(names.join(nodes, "node").select(F.col("node").alias("picked"), "first"), "picked")
-    likely = spark.sparkContext.broadcast(filter_of(names.select(F.col("picked").alias("node"))))
-    sets = docs.mapInArrow(partial(_likely_sets, likely=likely), "node long, doc_id long, tokens binary")
-    # Of all copies of a set the first document's; that one may stand in several partitions.
-    sets = sets.join(names, (F.col("node") == F.col("picked")) & F.col("doc_id").eqNullSafe(F.col("first")))
-    sets = table(sets.groupBy("node").agg(F.first("tokens").alias("tokens")), "sets", compression="none")
-    both = sets.select(F.col("node").alias("a"), F.col("tokens").alias("x")).join(pairs, "a")
-    both = both.join(sets.select(F.col("node").alias("b"), F.col("tokens").alias("y")), "b")
+    names = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes, "node")
+    likely = spark.sparkContext.broadcast(filter_of(names.select(F.expr("node ^ coalesce(first, 0L)").alias("h"))))
+    sets = docs.mapInArrow(partial(_likely_sets, likely=likely), "node long, tokens binary")
+    sets = table(sets.withColumn("row", F.monotonically_increasing_id()), "sets", compression="none")
+    # A set may be there from several partitions: one row of each node takes part.
+    rows = table(sets.groupBy("node").agg(F.min("row").alias("row")), "set-rows")
+    for side in ("a", "b"):
+        own = rows.select(F.col("node").alias(side), F.col("row").alias(f"row_{side}"))
+        pairs = pairs.join(own, side)
+    x, y = (sets.select(F.col("row").alias(f"row_{side}"), F.col("tokens").alias(name)) for side, name in (("a", "x"), ("b", "y")))
+    both = x.join(table(pairs, "pairs"), "row_a").join(y, "row_b")
     with arrow_batches(spark, PAIR_ROWS):
         return table(both.select("a", "b", "x", "y").mapInArrow(_verify, "a long, b long").distinct(), "links")
 
@@ -509,27 +517,37 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     recurs with other texts loses none of them that stand in other components.
     Rows without tokens link with nothing: all are kept.
 
-    The rows to drop join by id and hash: Spark broadcasts them while they are small by
-    its own measure and shuffles beyond it.  Null texts and empty tables go through; the
-    columns may have any names.
+    Rows that a filter of bounded size tells from all that may go are not shuffled; the
+    others join the rows to drop by id and hash.  Null texts and empty tables go through;
+    the columns may have any names.
     """
     with arrow_batches(docs.sparkSession, DOC_ROWS):
         found = table(_placed(docs, id_col, text_col).where("c is not null").select("doc_id", "text_key", "c"), "near-duplicates")
     order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("text_key").alias("key"))
     # Stored for the same reason as the components' ids.
     first = table(found.groupBy("c").agg(F.min(order).alias("first")), "first-rows")
-    own_id, own_key = (next(n for k in range(len(docs.columns) + 1) if (n := f"{name}{k}") not in docs.columns) for name in ("id_", "key_"))
+    own_id, own_key, word, bits = (_unused(docs, name) for name in ("id", "key", "word", "bits"))
     keys = (F.col("doc_id").alias(own_id), F.col("text_key").alias(own_key))
     is_first = F.col("doc_id").eqNullSafe(F.col("first.id")) & (F.col("text_key") == F.col("first.key"))
     drop = table(found.join(first, "c").where(~is_first).select(*keys).distinct(), "rows-to-drop")
     again = found.groupBy("doc_id", "text_key").count().where("count > 1").select(*keys)
     again = table(again.exceptAll(drop), "repeated-rows")
 
-    def same() -> Column:
-        return F.col(id_col).cast("long").eqNullSafe(F.col(own_id)) & (F.xxhash64(F.col(text_col)) == F.col(own_key))
+    row_id, row_key = F.col(id_col).cast("long"), F.xxhash64(F.col(text_col))
+    h = F.xxhash64(row_id, row_key)
+    words = table(filter_words(drop.unionByName(again).select(F.xxhash64(own_id, own_key).alias("h"))), "row-filter")
+    words = words.select(F.col("word").alias(word), F.col("bits").alias(bits))
+    at = h.bitwiseAND(F.lit(FILTER_BITS - 1))
+    told = docs.join(F.broadcast(words), F.floor(at / 64).cast("int") == F.col(word), "left")  # bounded by the filter's size
+    may_go = F.coalesce(F.substring(F.lpad(F.bin(F.col(bits)), 64, "0"), 64 - F.pmod(at, F.lit(64)).cast("int"), F.lit(1)) == "1", F.lit(False))
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    clean, rest = told.where(~may_go).select(*columns), told.where(may_go).select(*columns)
+
+    same = row_id.eqNullSafe(F.col(own_id)) & (row_key == F.col(own_key))
+    kept = rest.join(drop, same, "left_anti")
+    single, repeated = kept.join(again, same, "left_anti"), kept.join(again, same, "left_semi")
+    return clean.unionByName(single).unionByName(repeated.dropDuplicates([id_col, text_col]))
+
 
-    kept = docs.join(drop, same(), "left_anti")
-    if again.isEmpty():
-        return kept
-    single, repeated = kept.join(again, same(), "left_anti"), kept.join(again, same(), "left_semi")
-    return single.unionByName(repeated.dropDuplicates([id_col, text_col]))
+def _unused(df: DataFrame, name: str) -> str:
+    return next(n for k in range(len(df.columns) + 1) if (n := f"{name}_{k}") not in df.columns)

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import OUT_ROWS, to_batch
+from ._common import OUT_ROWS, rows_of, to_batch
 from .tokens import ids
 
 
@@ -230,10 +230,9 @@ def pack(
 
         coder, arrow = ids(tokenizer_path), to_arrow_schema(kinds)
         def given() -> Iterator[tuple[int | None, bytes, int]]:
-            for batch in batches:
-                for key, text, prompt in zip(*(c.to_pylist() for c in batch.columns)):
-                    before = coder.bytes_of(prompt)
-                    yield key, before + coder.bytes_of(text) + end, CONTEXT if prompt is None else len(before) // 4
+            for key, text, prompt in rows_of(batches):
+                before = coder.bytes_of(prompt)
+                yield key, before + coder.bytes_of(text) + end, CONTEXT if prompt is None else len(before) // 4
 
         rows: list[tuple] = []
         for row in pack_partition(given(), limits, TaskContext.get().partitionId() << 32):

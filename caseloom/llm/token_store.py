@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._common import to_batch
+from ._common import rows_of, to_batch
 from .tokens import ids
 
 #: Bounds of the sample that the dictionary is trained on: documents, and characters in each; they are taken whole.
@@ -100,18 +100,17 @@ def write_store(
                 schema,
             )
 
-        for batch in batches:
-            for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                data = coder.bytes_of(text) + end
-                frame = press.compress(data)
-                own.append(key)
-                counts.append(len(data) // 4)
-                frames.append(frame)
-                size += len(frame)
-                if len(own) >= BLOCK_DOCS or size >= BLOCK_BYTES:
-                    yield row()
-                    start, block = start + sum(counts), block + 1
-                    own, counts, frames, size = [], [], [], 0
+        for key, text in rows_of(batches):
+            data = coder.bytes_of(text) + end
+            frame = press.compress(data)
+            own.append(key)
+            counts.append(len(data) // 4)
+            frames.append(frame)
+            size += len(frame)
+            if len(own) >= BLOCK_DOCS or size >= BLOCK_BYTES:
+                yield row()
+                start, block = start + sum(counts), block + 1
+                own, counts, frames, size = [], [], [], 0
         if own:
             yield row()
 

@@ -21,8 +21,8 @@ from typing import Any
 
 import numpy as np
 
-#: Bound of both generations together: some 130 MB.
-MEMO_ENTRIES = 800_000
+#: Bound of both generations together: some 80 MB.
+MEMO_ENTRIES = 500_000
 #: Longer pre-tokens are not kept.
 MEMO_CHARS = 48
 
