@@ -318,14 +318,14 @@ class FlowBuilder:
             elif old.codec == new.codec and old.is_declared_only:
                 takes_new[n] = True
             elif keep == "error":
-                raise ValueError(f"Merge failure: both flows define {n!r}")
+                raise ValueError(f"{n!r} is defined on both sides; say with keep which one stays")
             else:
                 takes_new[n] = keep in ("new", "arg")
         for state, side in ((mine, False), (theirs, True)):
             for n in state.entities:
                 both = {takes_new[c] == side for c in state.companions(n)}
                 if len(both) > 1:
-                    raise IncompatibleEntityError(f"Merge failure: {sorted(state.companions(n))} must be kept together")
+                    raise IncompatibleEntityError(f"{sorted(state.companions(n))} vary together and can only stay or go as a whole")
         groups: dict[int, Cases] = {}
         entities: dict[str, Definition] = {}
         stamped: dict[int, Function] = {}

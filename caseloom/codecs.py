@@ -287,7 +287,7 @@ class Enum(Picklable):
 
 
 class Type(Picklable):
-    """A value of exactly the given type."""
+    """A value of the given type, as ``isinstance`` has it."""
 
     def __init__(self, kind: type):
         self.kind = kind

@@ -143,7 +143,7 @@ def pyplot(name: str = "pyplot"):
 
 
 def run_with(**resources):
-    """Hints for the cluster: kept and shown, and put on the Spark jobs as local properties."""
+    """Hints for the cluster, put on the function's Spark jobs as local properties ``caseloom.<name>``; ``pool`` is their scheduler pool."""
     return lambda f: _note(f, "resources", tuple(sorted(resources.items())))
 
 

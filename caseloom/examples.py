@@ -13,6 +13,7 @@ from .plans.store import work_folder
 
 SEGMENTS = ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]
 STATUSES = ["F", "O"]
+MEASURES = {"width": [2, 3], "depth": [5, 7], "height": [10, 20], "stock": [1, 4]}
 
 
 def builder(spark: SparkSession, name: str) -> cl.FlowBuilder:
@@ -38,128 +39,134 @@ def derive_map(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     @b
     @cl.typed("long")
-    def square(x):
-        return x * x
+    def power(x):
+        return x**5
 
-    return b.build().frame("square")
+    return b.build().frame("power")
 
 
-def letters(spark: SparkSession, name: str) -> cl.FlowBuilder:
+def boxes(spark: SparkSession, name: str) -> cl.FlowBuilder:
+    """Four measures of two values each, and products of neighbouring ones."""
     b = builder(spark, name)
-    for n in "wxyz":
-        b.assign(n, values=[n, n.upper()])
+    for measure, values in MEASURES.items():
+        b.assign(measure, values=values)
 
     @b
     @cl.expr
-    def wx(w, x):
-        return F.concat(w, x)
+    def ground(width, depth):
+        return width * depth
 
     @b
     @cl.expr
-    def xy(x, y):
-        return F.concat(x, y)
+    def wall(depth, height):
+        return depth * height
 
     @b
     @cl.expr
-    def yz(y, z):
-        return F.concat(y, z)
+    def pile(height, stock):
+        return height * stock
 
     return b
 
 
 def derive_cartesian(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return letters(spark, "cartesian").build().frame("wx")
+    return boxes(spark, "cartesian").build().frame("ground")
 
 
 def derive_shared_ancestor(spark: SparkSession, sf_dir: str) -> DataFrame:
-    b = letters(spark, "ancestor")
+    b = boxes(spark, "ancestor")
 
     @b
     @cl.expr
-    def both(xy, yz):
-        return F.concat_ws("-", xy, yz)
+    def surface(ground, wall):
+        return 2 * ground + wall
 
-    return b.build().frame("both")
+    return b.build().frame("surface")
 
 
 def case_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = builder(spark, "cases")
-    for n in ("color", "animal", "sound"):
+    for n in ("crop", "month", "tons"):
         b.declare(n)
-    b.add_case("color", "black", "animal", "cat").then_set("sound", "meow")
-    b.add_case("animal", "cat", "color", "brown").then_set("sound", "purr")
-    b.add_case("color", "brown", "animal", "fox").then_set("sound", "bark")
+    b.add_case("crop", "beet", "month", 9).then_set("tons", 40)
+    b.add_case("month", 9, "crop", "maize").then_set("tons", 11)
+    b.add_case("crop", "beet", "month", 10).then_set("tons", 25)
 
     @b
     @cl.expr
-    def phrase(color, animal, sound):
-        return F.concat_ws(" ", color, animal, sound)
+    def harvest(crop, month, tons):
+        return F.concat_ws("/", crop, month, tons)
 
-    return b.build().frame("phrase")
+    return b.build().frame("harvest")
 
 
 def missing_inner(spark: SparkSession, sf_dir: str) -> DataFrame:
-    b = letters(spark, "missing")
-    b.clear_cases("x")
+    b = boxes(spark, "missing")
+    b.clear_cases("depth")
 
     @b
     @cl.expr
-    def both(xy, yz):
-        return F.concat_ws("-", xy, yz)
+    def surface(ground, wall):
+        return ground + wall
 
-    return b.build().frame("both")
+    return b.build().frame("surface")
+
+
+def told(frame) -> str:
+    """The rows of a gathered frame in order."""
+    return " ".join(":".join(map(str, r)) for r in sorted(frame.itertuples(index=False, name=None)))
 
 
 def gathered(spark: SparkSession, name: str, over, also=None, unset: str | None = None) -> DataFrame:
-    b = letters(spark, name)
+    b = boxes(spark, name)
     if unset:
         b.clear_cases(unset)
 
     @b
-    @cl.output("summary")
+    @cl.output("listing")
     @cl.typed("string")
     @cl.gather(over, also)
-    def summary(gather_df):
-        return " ".join(".".join(r) for r in sorted(gather_df.itertuples(index=False, name=None)))
+    def listing(gather_df):
+        return told(gather_df)
 
-    return b.build().frame("summary")
+    return b.build().frame("listing")
 
 
 def gather_over(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return gathered(spark, "over", "x")
+    return gathered(spark, "over", "depth")
 
 
 def gather_over_also(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return gathered(spark, "overalso", "x", ["xy", "y"])
+    return gathered(spark, "overalso", "width", ["ground", "depth"])
 
 
 def gather_missing_empty(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return gathered(spark, "empty", "x", "y", unset="x")
+    return gathered(spark, "empty", "width", "depth", unset="width")
 
 
 def gather_passthrough(spark: SparkSession, sf_dir: str) -> DataFrame:
-    b = letters(spark, "pass")
+    b = boxes(spark, "pass")
 
     @b
     @cl.typed("string")
-    @cl.gather("x", "xy")
-    def summary(gather_df, z):
-        return z + ":" + " ".join(".".join(r) for r in sorted(gather_df.itertuples(index=False, name=None)))
+    @cl.gather("width", "ground")
+    def listing(gather_df, height):
+        return f"{height}|{told(gather_df)}"
 
-    return b.build().frame("summary")
+    return b.build().frame("listing")
 
 
 def gather_stacked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    b = letters(spark, "stacked")
+    b = boxes(spark, "stacked")
 
     @b
     @cl.typed("string")
-    @cl.gather("w", "wx", "df1")
-    @cl.gather("y", "yz", "df2")
-    def summary(df1, df2):
-        return " ".join(sorted(df1["wx"])) + " -- " + " ".join(sorted(df2["yz"]))
+    @cl.gather("stock", "pile", "piles")
+    @cl.gather("width", "ground", "grounds")
+    def listing(piles, grounds):
+        return f"{sum(piles['pile'])} of {sum(grounds['ground'])}"
 
-    return b.build().frame("summary")
+    return b.build().frame("listing")
 
 
 def tuple_outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -307,26 +314,25 @@ def dag_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return revenue_flow(spark, sf_dir, "dag").build().dag()[1]
 
 
-_LETTERS = "w(w) as (values ('w'), ('W')), x(x) as (values ('x'), ('X')), y(y) as (values ('y'), ('Y')), z(z) as (values ('z'), ('Z'))"
+_BOXES = ", ".join(f"{n}({n}) as (select cast(v as bigint) from (values {', '.join(f'({v})' for v in own)}) t(v))" for n, own in MEASURES.items())
 _REVENUE = """select c_mktsegment as segment, cast(sum(cast(o_totalprice as decimal(18,2))) as double) as price, count(*) as n_orders
 from orders join customer on o_custkey = c_custkey where o_orderstatus in ('F', 'O') group by 1"""
 
 SQL = {
     "fixed_values": "select cast(x as bigint) as x from (values (1), (2), (3)) t(x)",
-    "derive_map": "select cast(x as bigint) as x, cast(x * x as bigint) as square from (values (1), (2), (3)) t(x)",
-    "derive_cartesian": f"with {_LETTERS} select w, x, w || x as wx from w, x",
-    "derive_shared_ancestor": f"with {_LETTERS} select x, y, z, x || y || '-' || y || z as both from x, y, z",
-    "case_table": """select * from (values ('black', 'cat', 'black cat meow'), ('brown', 'cat', 'brown cat purr'),
-        ('brown', 'fox', 'brown fox bark')) t(color, animal, phrase)""",
-    "missing_inner": f"with {_LETTERS} select x, y, z, '' as both from x, y, z where false",
-    "gather_over": f"with {_LETTERS} select string_agg(x, ' ' order by x) as summary from x",
-    "gather_over_also": f"""with {_LETTERS} select y, string_agg(x || '.' || x || y || '.' || y, ' ' order by x) as summary
-        from x, y group by y""",
-    "gather_missing_empty": f"with {_LETTERS} select y, '' as summary from y",
-    "gather_passthrough": f"""with {_LETTERS} select y, z, z || ':' || string_agg(x || '.' || x || y, ' ' order by x) as summary
-        from x, y, z group by y, z""",
-    "gather_stacked": f"""with {_LETTERS} select x, z, (select string_agg(w || x.x, ' ' order by w) from w) || ' -- ' ||
-        (select string_agg(y || z.z, ' ' order by y) from y) as summary from x, z""",
+    "derive_map": "select cast(x as bigint) as x, cast(x * x * x * x * x as bigint) as power from (values (1), (2), (3)) t(x)",
+    "derive_cartesian": f"with {_BOXES} select width, depth, width * depth as ground from width, depth",
+    "derive_shared_ancestor": f"with {_BOXES} select width, depth, height, 2 * width * depth + depth * height as surface from width, depth, height",
+    "case_table": "select crop, cast(month as bigint) as month, harvest from (values ('beet', 9, 'beet/9/40'), ('maize', 9, 'maize/9/11'), ('beet', 10, 'beet/10/25')) t(crop, month, harvest)",
+    "missing_inner": f"with {_BOXES} select depth, height, width, depth as surface from width, depth, height where false",
+    "gather_over": f"with {_BOXES} select string_agg(depth, ' ' order by depth) as listing from depth",
+    "gather_over_also": f"""with {_BOXES} select depth, string_agg(width || ':' || width * depth || ':' || depth, ' ' order by width) as listing
+        from width, depth group by depth""",
+    "gather_missing_empty": f"with {_BOXES} select depth, '' as listing from depth",
+    "gather_passthrough": f"""with {_BOXES} select depth, height, height || '|' || string_agg(width || ':' || width * depth, ' ' order by width) as listing
+        from width, depth, height group by depth, height""",
+    "gather_stacked": f"""with {_BOXES} select depth, height, cast(height * (select sum(stock) from stock) as bigint) || ' of ' ||
+        cast(depth * (select sum(width) from width) as bigint) as listing from depth, height""",
     "tuple_outputs": "select cast(x as bigint) as x, 4::bigint as y, (x + 4)::bigint as total, (x * 4)::bigint as product, (x - 4)::bigint as less from (values (2), (3)) t(x)",
     "param_sweep_revenue": _REVENUE,
     "cache_warm_equals_cold": _REVENUE,

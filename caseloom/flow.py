@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
+import os
 import shutil
-import tempfile
 import uuid
-from functools import reduce
 from pathlib import Path
 from typing import Any
 
@@ -13,13 +12,25 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .catalog import FlowBuilder, State
-from .codecs import extension_of
+from .codecs import content_hash, extension_of
 from .descriptors import Name, entity_name, parse
 from .errors import UnsetEntityError
 from .operators import map as maps
-from .operators.relation import missing
+from .operators.relation import col_name, missing
 from .plans.evaluate import Evaluator, Settings
-from .plans.store import Store
+from .plans import store as files
+from .plans.store import Store, shared_root
+
+
+def _shared(spark: SparkSession, root: str) -> str:
+    """A store's root that the driver and all executors see: a relative one lies in the session's shared folder."""
+    if "://" in root or root.startswith(("/", "file:")):
+        return root
+    if base := shared_root(spark):
+        return f"{base.rstrip('/')}/{root}"
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir, or core__persistent_cache__flow_dir to a folder that all executors share")
+    return os.path.abspath(root)
 
 
 class Flow:
@@ -46,6 +57,7 @@ class Flow:
             root = value("core__persistent_cache__flow_dir")
             if root is None:
                 root = f"{value('core__persistent_cache__global_dir')}/{value('core__flow_name')}"
+            root = _shared(self.spark, str(root))
             second = value("core__persistent_cache__cloud__url")
             mode = value("core__versioning_mode")
             if mode not in ("manual", "assist", "auto"):
@@ -63,13 +75,12 @@ class Flow:
                     value("core__temp_memoize_if_uncached"),
                 ),
             )
-            self.spark.conf.set("spark.sql.caseSensitive", "true")
         return self._made
 
     @staticmethod
     def _single(core: Evaluator, name: str, default: Any) -> Any:
         rel = core.relation(name)
-        rows = rel.df.where(~missing(rel.keys)).select(f"c_{name}", f"v_{name}").take(2)
+        rows = rel.df.where(~missing(rel.keys)).select(col_name("c", name), col_name("v", name)).take(2)
         if len(rows) > 1:
             raise ValueError(f"{name} must have one value")
         return maps.decode(*rows[0]) if rows else default
@@ -107,8 +118,7 @@ class Flow:
             raise Evaluator._as_own(e) from e
         if kind is None:
             if not rows:
-                unset = sorted(k for k in rel.keys if rel.df.where(F.col(f"k_{k}").isNull()).take(1))
-                raise UnsetEntityError(f"{name!r} has no value; unset: {', '.join(map(repr, unset)) or 'no cases'}")
+                raise UnsetEntityError(f"{name!r} has no value; unset: {self._unset(rel)}")
             if len(rows) > 1:
                 raise ValueError(f"{name!r} has more than one value; ask for a collection")
         out = [self._one(node, r) if how == "object" else self._file(node, r, how) for r in rows]
@@ -120,13 +130,13 @@ class Flow:
             import pandas as pd
 
             roots = sorted(rel.keys)
-            index = [tuple(self._root_value(k, r[f"k_{k}"]) for k in roots) for r in rows]
+            index = [tuple(self._root_value(k, r[col_name("k", k)]) for k in roots) for r in rows]
             made = pd.MultiIndex.from_tuples([tuple(map(_Held, t)) for t in index], names=roots) if roots else None
             return pd.Series(out, index=made, name=name)
         return out
 
     def _one(self, node, row) -> Any:
-        known = {n: self._evaluator._value(row[f"c_{n}"], row[f"v_{n}"]) for n in node.entities()}
+        known = {n: self._evaluator._value(row[col_name("c", n)], row[col_name("v", n)]) for n in node.entities()}
         return maps.argument(node, known)
 
     def _root_value(self, name: str, token: str) -> Any:
@@ -142,56 +152,71 @@ class Flow:
         d = self._state.get(name)
         if d.function is not None and not self._evaluator._persisted(d.function):
             raise ValueError(f"{name!r} is not persisted, but a persisted file is expected by mode {how!r}")
-        codec, value = row[f"c_{name}"], row[f"v_{name}"]
+        codec, value = row[col_name("c", name)], row[col_name("v", name)]
+        store = self._evaluator.settings.store
         if codec == "frame":
-            path = Path(value.removeprefix("file:"))
+            folder, _, case = value.partition("#")
+            path = store.path(f"{files.FILES}/{case}/{name}.parquet") if case else store.locate(folder)
+            if case and not files.is_complete(self.spark, path):
+                self._evaluator.frame_at(value).write.mode("overwrite").parquet(path)
         else:
-            folder = Path(tempfile.mkdtemp(prefix="caseloom-file-"))
             if codec is None:
                 codec, value = self._state.get(name).codec.encode(maps.plain(value))
-            path = folder / f"{name}.{extension_of(codec)}"
-            path.write_bytes(bytes(value))
-        return FileCopier(path) if how == "FileCopier" else str(path) if how == "filename" else path
+            path = store.path(f"{files.FILES}/{content_hash(codec, bytes(value))}/{name}.{extension_of(codec)}")
+            files.put(self.spark, path, bytes(value))
+        local = path.removeprefix("file://") if path.startswith("file:///") else path.removeprefix("file:")
+        if how == "FileCopier":
+            return FileCopier(Path(local) if "://" not in local else local, self.spark)
+        if how == "path" and "://" in local:
+            raise ValueError(f"{path} is on no local file system: ask for mode 'filename' or 'FileCopier'")
+        return Path(local) if how == "path" else local
 
     def frame(self, name: str) -> DataFrame:
         """All present cases: a column for each entity that they vary with, and the value or, for a DataFrame, its columns."""
         node, rel, df = self._rows(name)
-        frames = {k for k in rel.keys if self._evaluator._has_frames(k)}  # sources are no columns
-        for k in sorted(rel.keys - frames - set(node.entities())):
-            d = self._state.get(k)
+        held = {k for k in rel.keys if self._evaluator._has_frames(k)}  # sources are no columns
+        names = list(dict.fromkeys(node.entities()))
+        roots = sorted(rel.keys - held - set(names))
+        for k in roots:
+            d, own = self._state.get(k), col_name("w", k)
             if d.group is None:  # unset: no present case has it
-                df = df.withColumn(k, F.lit(None).cast("string"))
+                df = df.withColumn(own, F.lit(None).cast("string"))
                 continue
             g = self._state.groups[d.group]
             rows = {(row[g.names.index(k)].token, str(row[g.names.index(k)].value)) for row in g.rows}
             root = self._evaluator.relation(k)
             if root.is_typed(k):
-                values = root.df.select(F.col(f"k_{k}").alias(f"t_{k}"), F.col(f"v_{k}").alias(k)).distinct()
+                values = root.df.select(F.col(col_name("k", k)).alias(col_name("t", k)), F.col(col_name("v", k)).alias(own)).distinct()
             else:
-                values = self.spark.createDataFrame(sorted(rows), f"t_{k} string, {k} string")
-            df = df.join(values, F.col(f"k_{k}").eqNullSafe(F.col(f"t_{k}")))
-        names = list(dict.fromkeys(node.entities()))
-        roots = sorted(rel.keys - frames - set(names))
-        if any(self._evaluator._has_frames(n) for n in names):
-            parts = []
-            for row in df.collect():
-                own = [self._evaluator.frame_at(row[f"v_{n}"]) for n in names if row[f"c_{n}"] == "frame"]
-                one = reduce(lambda a, b: a.crossJoin(b), own)
-                scalars = {**{k: row[k] for k in roots}, **{n: maps.decode(row[f"c_{n}"], row[f"v_{n}"]) for n in names if row[f"c_{n}"] != "frame"}}
-                for k, v in scalars.items():
-                    one = one.withColumn(k, F.lit(v))
-                parts.append(one)
-            return reduce(lambda a, b: a.unionByName(b), parts)
-        return df.select(*roots, *(self._column(rel, n) for n in names))
+                values = self.spark.createDataFrame(sorted(rows), ["t", "w"]).toDF(col_name("t", k), own)
+            df = df.join(values, F.col(col_name("k", k)).eqNullSafe(F.col(col_name("t", k))))
+        frames = [n for n in names if self._evaluator._has_frames(n)]
+        if len(frames) > 1:
+            raise ValueError(f"{frames} are DataFrames: ask for one of them at a time")
+        if frames:
+            rows = df.collect()
+            if not rows:
+                raise UnsetEntityError(f"{name!r} has no value; unset: {self._unset(rel)}")
+            scalars = [n for n in names if n not in frames]
+            given = [
+                {**{k: r[col_name("w", k)] for k in roots}, **{n: maps.decode(r[col_name("c", n)], r[col_name("v", n)]) for n in scalars}}
+                for r in rows
+            ]
+            return self._evaluator.together([r[col_name("v", frames[0])] for r in rows], given, [*roots, *scalars])
+        return df.select(*(F.col(col_name("w", k)).alias(k) for k in roots), *(self._column(rel, n) for n in names))
+
+    def _unset(self, rel) -> str:
+        unset = sorted(k for k in rel.keys if rel.df.where(F.col(col_name("k", k)).isNull()).take(1))
+        return ", ".join(map(repr, unset)) or "no cases"
 
     def _column(self, rel, name: str):
         """The value as a Spark type; codec bytes of JSON numbers and strings are read by Spark itself."""
-        value = F.col(f"v_{name}")
+        value = F.col(col_name("v", name))
         if rel.is_typed(name):
             return value.alias(name)
         d = self._state.get(name)
         kind = d.function.notes.returns_type if d.function else None
-        text = value.cast("string")
+        text = F.when((F.col(col_name("c", name)) != "json") | (value != F.lit(b"null")), value.cast("string"))  # a null value is null
         return (F.from_json(F.concat(F.lit('{"v":'), text, F.lit("}")), f"v {kind}")["v"] if kind else text).alias(name)
 
     def export(self, name: str, file_path=None, dir_path=None) -> Path:
@@ -199,11 +224,10 @@ class Flow:
         import warnings
 
         warnings.warn("export is deprecated; use get(name, mode='FileCopier')", DeprecationWarning, stacklevel=2)
-        path = self._get(name, mode=Path)
+        copier = self._get(name, mode="FileCopier")
         if file_path is None and dir_path is None:
-            return path
-        target = Path(file_path) if file_path is not None else Path(dir_path) / path.name
-        return FileCopier(path).copy(target)
+            return copier.src_file_path
+        return copier.copy(file_path if file_path is not None else Path(dir_path) / str(copier.src_file_path).rpartition("/")[2])
 
     # --- definitions
 
@@ -316,10 +340,15 @@ class Cache:
 
 
 class FileCopier:
-    def __init__(self, src_file_path: Path):
-        self.src_file_path = src_file_path
+    """Copies a stored file or folder to a path, or to a URI of any file system that Spark knows."""
+
+    def __init__(self, src_file_path: Path | str, spark: SparkSession | None = None):
+        self.src_file_path, self._spark = src_file_path, spark
 
-    def copy(self, destination) -> Path:
+    def copy(self, destination) -> Path | str:
+        if "://" in str(destination) or "://" in str(self.src_file_path):
+            files.copy(self._spark or SparkSession.builder.getOrCreate(), str(self.src_file_path), str(destination))
+            return destination
         target = Path(destination)
         if target.is_dir():
             target = target / self.src_file_path.name

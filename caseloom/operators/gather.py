@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..functions.fingerprint import value_hash
-from .relation import Relation, missing
+from .relation import Relation, col_name, missing
 
 
 def gather_keys(over: frozenset[str], also: frozenset[str]) -> tuple[frozenset[str], frozenset[str]]:
@@ -18,7 +18,7 @@ def gather_keys(over: frozenset[str], also: frozenset[str]) -> tuple[frozenset[s
 
 def _grouped(rows: Relation, primary: frozenset[str], names: tuple[str, ...], aggregates: list[Column]):
     delta = sorted(rows.keys - primary)
-    cols = [f"k_{k}" for k in delta]
+    cols = [col_name("k", k) for k in delta]
     df = rows.df.groupBy(*cols) if cols else rows.df
     return df.agg(*aggregates), delta
 
@@ -30,16 +30,16 @@ def gather_frame(rows: Relation, primary: frozenset[str], names: tuple[str, ...]
     whole frame needs; a function of aggregates goes through ``gather_agg``.
     """
     there = ~missing(primary)
-    item = F.struct(*(c for n in names for c in (F.col(f"h_{n}"), F.col(f"v_{n}"), F.col(f"c_{n}"))))
-    hashes = F.sort_array(F.collect_list(F.when(there, F.concat_ws("/", *(f"h_{n}" for n in names)))))
+    item = F.struct(*(c for n in names for c in (F.col(col_name("h", n)), F.col(col_name("v", n)), F.col(col_name("c", n)))))
+    hashes = F.sort_array(F.collect_list(F.when(there, F.concat_ws("/", *(col_name("h", n) for n in names)))))
     df, delta = _grouped(
         rows,
         primary,
         names,
         [
-            F.sha2(F.concat_ws("|", hashes), 256).alias(f"h_{into}"),
-            F.collect_list(F.when(there, item)).alias(f"v_{into}"),
-            F.lit(None).cast("string").alias(f"c_{into}"),
+            F.sha2(F.concat_ws("|", hashes), 256).alias(col_name("h", into)),
+            F.collect_list(F.when(there, item)).alias(col_name("v", into)),
+            F.lit(None).cast("string").alias(col_name("c", into)),
         ],
     )
     return Relation(df, frozenset(delta), (into,))
@@ -48,7 +48,7 @@ def gather_frame(rows: Relation, primary: frozenset[str], names: tuple[str, ...]
 def gather_agg(rows: Relation, primary: frozenset[str], names: tuple[str, ...], into: str, function: Callable) -> Relation:
     """The function's aggregate of each group's present cases, with partial sums before the shuffle."""
     there = ~missing(primary)
-    columns = {n: F.when(there, F.col(f"v_{n}")) for n in names}
-    df, delta = _grouped(rows, primary, names, [function(columns).alias(f"v_{into}")])
-    df = df.withColumn(f"h_{into}", value_hash(F.col(f"v_{into}"))).withColumn(f"c_{into}", F.lit(None).cast("string"))
+    columns = {n: F.when(there, F.col(col_name("v", n))) for n in names}
+    df, delta = _grouped(rows, primary, names, [function(columns).alias(col_name("v", into))])
+    df = df.withColumn(col_name("h", into), value_hash(F.col(col_name("v", into)))).withColumn(col_name("c", into), F.lit(None).cast("string"))
     return Relation(df, frozenset(delta), (into,))

@@ -6,7 +6,7 @@ from functools import reduce
 
 from pyspark.sql import SparkSession
 
-from .relation import Relation
+from .relation import Relation, col_name
 
 
 def natural_join(left: Relation, right: Relation) -> Relation:
@@ -20,14 +20,14 @@ def natural_join(left: Relation, right: Relation) -> Relation:
     own = [n for n in right.entities if n not in left.entities]
     r = right.df
     for k in shared:
-        r = r.withColumnRenamed(f"k_{k}", f"r_{k}")
+        r = r.withColumnRenamed(col_name("k", k), col_name("r", k))
     if shared:
-        condition = [left.df[f"k_{k}"].eqNullSafe(r[f"r_{k}"]) for k in shared]
+        condition = [left.df[col_name("k", k)].eqNullSafe(r[col_name("r", k)]) for k in shared]
         df = left.df.join(r, condition, "inner")
     else:
         df = left.df.crossJoin(r)
     keys = left.keys | right.keys
-    columns = [f"k_{k}" for k in sorted(keys)]
+    columns = [col_name("k", k) for k in sorted(keys)]
     columns += [c for n in left.entities for c in left.columns_of(n)] + [c for n in own for c in right.columns_of(n)]
     return Relation(df.select(*columns), keys, (*left.entities, *own))
 

@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 from ..codecs import DEFAULT, Codec, content_hash, load_as
 from ..descriptors import Group, Name, Node
 from ..errors import EntityValueError
+from .relation import col_name
 
 RESULT = T.StructType([T.StructField("c", T.StringType()), T.StructField("v", T.BinaryType()), T.StructField("h", T.StringType())])
 
@@ -49,7 +50,7 @@ def leaves(node: Node, value: Any) -> list[tuple[str, Any]]:
 def gathered_frame(items: list, names: tuple[str, ...]):
     import pandas as pd
 
-    rows = [[decode(r[f"c_{n}"], r[f"v_{n}"]) for n in names] for r in items]
+    rows = [[decode(r[col_name("c", n)], r[col_name("v", n)]) for n in names] for r in items]
     return pd.DataFrame({n: pd.Series([r[k] for r in rows], dtype=None if rows else object) for k, n in enumerate(names)}, columns=list(names))
 
 
@@ -84,16 +85,16 @@ def python_map(
         return tuple(encoded(output, codecs, got))
 
     schema = T.StructType([T.StructField(f"o{k}", RESULT) for k in range(n_out)])
-    columns = [c for n in values for c in (F.col(f"v_{n}"), F.col(f"c_{n}"))] + [F.col(f"v_{i}") for i in frames]
-    # Not to be called again where the optimizer would repeat an expression.
-    return F.udf(call, schema, useArrow=False).asNondeterministic()(*(columns or [F.lit(0), F.lit(None).cast("string")][:0]))
+    columns = [c for n in values for c in (F.col(col_name("v", n)), F.col(col_name("c", n)))] + [F.col(col_name("v", i)) for i in frames]
+    # Cases go to Python and back in Arrow batches; not to be called again where the optimizer would repeat an expression.
+    return F.udf(call, schema, useArrow=True).asNondeterministic()(*(columns or [F.lit(0), F.lit(None).cast("string")][:0]))
 
 
 def expression_map(function: Callable, args: list[tuple[str, Node]]) -> Column:
     """The Column that an ``expr`` function gives for its arguments' Columns."""
 
     def column(node: Node):
-        return F.col(f"v_{node.name}") if isinstance(node, Name) else tuple(map(column, node.parts))
+        return F.col(col_name("v", node.name)) if isinstance(node, Name) else tuple(map(column, node.parts))
 
     return function(**{arg: column(node) for arg, node in args})
 

@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 from pyspark.sql.types import _parse_datatype_string
 
 from ..values import FixedValue, spark_type
-from .relation import Relation
+from .relation import Relation, col_name
 
 
 def fixed_relation(
@@ -34,10 +34,10 @@ def fixed_relation(
             own = (v.token, v.value if kind else bytearray(v.data), None if kind else v.codec)
         cases.append(
             F.struct(
-                *(text(t).alias(f"k_{k}") for k, t in zip(keys, tokens)),
-                text(own[0]).alias(f"h_{name}"),
-                F.lit(own[1]).cast(v_type).alias(f"v_{name}"),
-                text(own[2]).alias(f"c_{name}"),
+                *(text(t).alias(col_name("k", k)) for k, t in zip(keys, tokens)),
+                text(own[0]).alias(col_name("h", name)),
+                F.lit(own[1]).cast(v_type).alias(col_name("v", name)),
+                text(own[2]).alias(col_name("c", name)),
             )
         )
     # Literals of one row: the planner knows the size, and no task has to be sent the values.

@@ -12,12 +12,18 @@ from __future__ import annotations
 
 import logging
 import re
+from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
+from contextlib import contextmanager
 from dataclasses import dataclass, field
 from functools import reduce
+from typing import Any
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.types import _parse_datatype_string
 
 from ..catalog import Function, State
 from ..codecs import DEFAULT, content_hash
@@ -27,14 +33,17 @@ from ..functions.fingerprint import fingerprint, row_hash, value_hash
 from ..operators import map as maps
 from ..operators.gather import gather_agg, gather_frame
 from ..operators.join import join_all
-from ..operators.relation import Relation, missing
+from ..operators.relation import Relation, col_name, missing
 from ..operators.source import fixed_relation
+from ..values import spark_type
 from .code import code_hash
-from .store import Store, delete, exists, provenance
+from .store import CASE, Store, provenance
 
 log = logging.getLogger("caseloom")
 #: More cases of a frame function than this are worth a warning: each is one plan.
 MANY_CASES = 1000
+#: Plans of different cases that Spark is given at one time.
+AT_ONCE = 8
 
 
 @dataclass
@@ -128,13 +137,13 @@ class Evaluator:
         own = dict.fromkeys([*(e for _, node in f.args for e in node.entities() if e not in into), *f.notes.lifts])
         parts += [self.relation(n) for n in own]
         joined = join_all(self.spark, parts)
-        hashes = [F.concat_ws("=", F.lit(n), F.col(f"h_{n}")) for n in sorted(joined.entities)]
+        hashes = [F.concat_ws("=", F.lit(n), F.col(col_name("h", n))) for n in sorted(joined.entities)]
         there = ~missing(joined.keys)
         keyed = joined.df.withColumn("p", F.when(there, provenance([F.lit(self._identity(f)), *hashes])))
         frames_in = any(
-            joined.df.schema[f"v_{n}"].dataType == T.StringType() and self._has_frames(n) for n in own
+            joined.df.schema[col_name("v", n)].dataType == T.StringType() and self._has_frames(n) for n in own
         ) or any(self._has_frames(n) for names in into.values() for n in names)
-        keys = [f"k_{k}" for k in sorted(joined.keys)]
+        keys = [col_name("k", k) for k in sorted(joined.keys)]
         if f.notes.kind == "lifted":
             compute = lambda rows: self._lifted(f, rows)
         elif f.notes.kind == "frame" or frames_in:
@@ -148,10 +157,10 @@ class Evaluator:
         else:
             done = self._unpacked(f, compute(keyed.where(there)), keys)
             for n in f.outputs:
-                done = done.withColumn(f"h_{n}", F.concat_ws(":", "p", F.lit(n)))
+                done = done.withColumn(col_name("h", n), F.concat_ws(":", "p", F.lit(n)))
             gaps = keyed.where(~there).select(*keys, "p")
             for n in f.outputs:
-                for c in (f"h_{n}", f"v_{n}", f"c_{n}"):
+                for c in (col_name("h", n), col_name("v", n), col_name("c", n)):
                     gaps = gaps.withColumn(c, F.lit(None).cast(done.schema[c].dataType))
             out = done.unionByName(gaps)
             if self._memoized(f):
@@ -159,7 +168,7 @@ class Evaluator:
             elif self.settings.brief:
                 out = out.persist()
                 self.brief += [(n, out) for n in f.outputs]
-        columns = [c for n in f.outputs for c in (f"h_{n}", f"v_{n}", f"c_{n}")]
+        columns = [c for n in f.outputs for c in (col_name("h", n), col_name("v", n), col_name("c", n))]
         return Relation(out.select(*keys, *columns), joined.keys, f.outputs)
 
     def _aggregate(self, f: Function) -> Relation:
@@ -210,9 +219,8 @@ class Evaluator:
         wanted = keyed.where(there)
         code, minor = code_hash(f.call), (f.notes.version or ("0", "0"))[1]
         store_schema = self._schema(f, compute(wanted).schema if f.notes.kind == "expr" else None)
-        cold = not any(exists(self.spark, store.path(table, k)) for k in range(len(store.roots)))
-        if not cold:
-            store.mirror(table, store_schema)
+        store.mirror(table)
+        cold = store.is_empty(table)
         have = store.read(table, store_schema)
         if self.settings.mode == "assist" and not f.notes.quiet_versions and not cold:
             changed = wanted.select("p").join(have, "p").where((F.col("minor") == minor) & (F.col("code") != code))
@@ -227,18 +235,33 @@ class Evaluator:
             rows = None if todo.isEmpty() else wanted.join(have.select("p"), "p", "left_anti")
         log.info("%s %s", "loading" if rows is None else "computing", table)
         if rows is not None:
-            made = compute(rows.dropDuplicates(["p"])).select("p", *(f"o{k}" for k in range(len(f.outputs))))
-            made = made.withColumn("minor", F.lit(minor)).withColumn("code", F.lit(code))
             try:
-                store.append(table, made.select(*[x.name for x in store_schema]))
+                with self._resources(f):
+                    made = compute(rows.dropDuplicates(["p"])).select("p", *(f"o{k}" for k in range(len(f.outputs))))
+                    made = made.withColumn("minor", F.lit(minor)).withColumn("code", F.lit(code))
+                    store.append(table, made.select(*[x.name for x in store_schema]))
             except Exception as e:
                 raise self._as_own(e) from e
             have = store.read(table, store_schema)
         unpacked = have.select("p", *(c for k, n in enumerate(f.outputs) for c in self._parts(k, n)))
         return keyed.select(*keys, "p").join(unpacked, "p", "left")
 
+    @contextmanager
+    def _resources(self, f: Function) -> Iterator[None]:
+        """The jobs inside carry what ``run_with`` said as local properties; ``pool`` names their scheduler pool."""
+        context = self.spark.sparkContext
+        own = {"spark.scheduler.pool" if k == "pool" else f"caseloom.{k}": str(v) for k, v in f.notes.resources or ()}
+        before = {k: context.getLocalProperty(k) for k in own}
+        try:
+            for k, v in own.items():
+                context.setLocalProperty(k, v)
+            yield
+        finally:
+            for k, v in before.items():
+                context.setLocalProperty(k, v)
+
     def _parts(self, k: int, name: str) -> list:
-        return [F.col(f"o{k}.h").alias(f"h_{name}"), F.col(f"o{k}.v").alias(f"v_{name}"), F.col(f"o{k}.c").alias(f"c_{name}")]
+        return [F.col(f"o{k}.h").alias(col_name("h", name)), F.col(f"o{k}.v").alias(col_name("v", name)), F.col(f"o{k}.c").alias(col_name("c", name))]
 
     def _unpacked(self, f: Function, computed: DataFrame, keys: list[str] = []) -> DataFrame:
         return computed.select(*keys, "p", *(c for k, n in enumerate(f.outputs) for c in self._parts(k, n)))
@@ -293,96 +316,119 @@ class Evaluator:
         return rows
 
     def frame_at(self, pointer: str) -> DataFrame:
-        return self.frames[pointer] if pointer in self.frames else self.spark.read.parquet(pointer)
+        """Behind ``#`` stands the case whose rows are meant of a folder that holds those of many."""
+        if pointer in self.frames:
+            return self.frames[pointer]
+        folder, _, case = pointer.partition("#")
+        df = self.spark.read.parquet(self.settings.store.locate(folder))
+        return df.where(F.col(CASE) == case).drop(CASE) if case else df
 
     def _value(self, codec: str | None, value):
         return self.frame_at(value) if codec == "frame" else maps.decode(codec, value)
 
     def _gathered(self, items: list, names: tuple[str, ...]):
-        """The frame of gathered cases: rows of gathered DataFrames, with the scalars of their case as columns."""
-        if not any(self._has_frames(n) for n in names):
+        """The frame of gathered cases: rows of gathered DataFrames, with the scalars of their case as columns.
+
+        Several gathered entities that are DataFrames are kept apart, in a dict by name.  Where
+        no case is there, the frame has the scalars' columns and no rows.
+        """
+        frames = [n for n in names if self._has_frames(n)]
+        if not frames:
             return maps.gathered_frame(items, names)
-        if items and (read := self._read_together(items, names)) is not None:
-            return read
+        scalars = [n for n in names if n not in frames]
+        rows = [{n: maps.decode(r[col_name("c", n)], r[col_name("v", n)]) for n in scalars} for r in items]
+        made = {n: self.together([r[col_name("v", n)] for r in items], rows, scalars) for n in frames}
+        return made if len(made) > 1 else made[frames[0]]
+
+    def together(self, pointers: list[str], rows: list[dict[str, Any]], scalars: list[str]) -> DataFrame:
+        """The rows of DataFrames, each with the scalars of its case as columns; what one write stored is one scan."""
+        kinds = {n: spark_type([r[n] for r in rows if r[n] is not None]) for n in scalars}
+        schema = T.StructType([T.StructField(n, _parse_datatype_string(kinds[n] or "string")) for n in scalars])
+        own = [tuple(r[n] if kinds[n] or r[n] is None else str(r[n]) for n in scalars) for r in rows]
+        groups: dict[tuple[str, bool], list[int]] = {}
+        for k, pointer in enumerate(pointers):
+            folder, _, case = pointer.partition("#")
+            base = pointer if pointer in self.frames else folder if case else folder.rpartition(f"/{CASE}=")[0]
+            groups.setdefault((base or pointer, bool(case)), []).append(k)
         parts = []
-        for r in items:
-            own = {n: self._value(r[f"c_{n}"], r[f"v_{n}"]) for n in names}
-            dfs = [v for v in own.values() if isinstance(v, DataFrame)]
-            df = reduce(lambda a, b: a.crossJoin(b), dfs)
-            for n, v in own.items():
-                if not isinstance(v, DataFrame):
-                    df = df.withColumn(n, F.lit(v))
-            parts.append(df)
-        return reduce(lambda a, b: a.unionByName(b), parts) if parts else None
-
-    def _read_together(self, items: list, names: tuple[str, ...]) -> DataFrame | None:
-        """The stored cases of one function as one scan, where that is what was gathered."""
-        (first, *more) = [n for n in names if self._has_frames(n)]
-        at = [r[f"v_{first}"].rpartition("/p=") for r in items]
-        if more or len({a[0] for a in at}) > 1 or not at[0][0]:
-            return None
-        base = at[0][0]
-        scalars = [n for n in names if n != first]
-        rows = [(a[2], *(maps.decode(r[f"c_{n}"], r[f"v_{n}"]) for n in scalars)) for a, r in zip(at, items)]
-        own = self.spark.createDataFrame(rows, ["p", *scalars])
-        frame = self.spark.read.parquet(f"{base}/p={at[0][2]}").schema
-        schema = T.StructType([*frame, T.StructField("p", T.StringType())])
-        read = self.spark.read.schema(schema).option("basePath", base).parquet(*(f"{base}/p={a[2]}" for a in at))
-        # Case tables are parameter values; Spark broadcasts them by its own size check.
-        return read.join(own, "p").drop("p")
+        for (base, shared), at in groups.items():
+            if len(at) == 1 and not shared:
+                df = self.frame_at(pointers[at[0]]).drop(*scalars)
+                literals = [F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip(own[at[0]], schema)]
+                parts.append(df.select("*", *literals))
+                continue
+            if shared:
+                read = self.spark.read.parquet(self.settings.store.locate(base))
+            else:
+                paths = [self.settings.store.locate(pointers[k]) for k in at]
+                leaf = self.spark.read.parquet(paths[0]).schema
+                read = self.spark.read.schema(T.StructType([*leaf, T.StructField(CASE, T.StringType())]))
+                read = read.option("basePath", paths[0].rpartition(f"/{CASE}=")[0]).parquet(*paths)
+            case_of = lambda pointer: pointer.rpartition("#" if shared else f"/{CASE}=")[2]  # noqa: B023, E731
+            cases = [(case_of(pointers[k]), *own[k]) for k in at]
+            # Case tables are parameter values; Spark broadcasts them by its own size check.
+            table = self.spark.createDataFrame(cases, T.StructType([T.StructField(CASE, T.StringType()), *schema]))
+            parts.append(read.drop(*scalars).join(table, CASE).drop(CASE))
+        return reduce(lambda a, b: a.unionByName(b), parts) if parts else self.spark.createDataFrame([], schema)
 
     def _lifted(self, f: Function, rows: DataFrame) -> DataFrame:
         """One plan and one write for all cases that the store lacks."""
-        given, shared = {}, {}
+        shared: dict[str, str] = {}
         names = [e for _, node in f.args for e in node.entities()]
-        for row in rows.select(*(c for n in names for c in (f"c_{n}", f"v_{n}"))).distinct().collect():
+        for row in rows.select(*(c for n in names for c in (col_name("c", n), col_name("v", n)))).distinct().collect():
             for n in names:
-                if row[f"c_{n}"] != "frame" or shared.setdefault(n, row[f"v_{n}"]) != row[f"v_{n}"]:
+                if row[col_name("c", n)] != "frame" or shared.setdefault(n, row[col_name("v", n)]) != row[col_name("v", n)]:
                     raise EntityComputationError(f"{n!r} must be one DataFrame for all cases of a lifted function")
         given = {n: self.frame_at(pointer) for n, pointer in shared.items()}
-        cases = rows.select(F.col("p").alias("case_id"), *(F.col(f"v_{n}").alias(n) for n in f.notes.lifts))
+        cases = rows.select(F.col("p").alias("case_id"), *(F.col(col_name("v", n)).alias(n) for n in f.notes.lifts))
         try:
             made = f.call(cases=cases, **{a: maps.argument(node, given) for a, node in f.args})
         except Exception as e:
             raise EntityComputationError(f"error while computing {f.output}: {type(e).__name__}: {e}") from e
-        made = made.withColumnRenamed("case_id", "p")
-        base = f"{self.settings.store.path('_frames')}/{self._table(f)}"
-        made.write.mode("append").partitionBy("p").parquet(base)
-        stored = self.spark.read.schema(made.schema).parquet(base).join(rows.select("p"), "p", "left_semi")
-        content = row_hash(stored.drop("p"))
-        hashes = stored.groupBy("p").agg(F.count("*").alias("n"), F.bit_xor(content).alias("x"), F.sum(content.cast("decimal(38,0)")).alias("s"))
-        done = rows.join(hashes, "p", "left")
-        for r in done.where("n is null").select("p").collect():  # cases without rows are empty frames
-            made.drop("p").limit(0).write.parquet(f"{base}/p={r['p']}")
-        name = F.sha2(F.concat_ws("|", F.lit(made.drop("p").schema.simpleString()), F.coalesce("n", F.lit(0)), "x", "s"), 256)
-        return done.withColumn(
-            "o0", F.struct(F.lit("frame").alias("c"), F.concat(F.lit(f"{base}/p="), F.col("p")).alias("v"), name.alias("h"))
+        made = made.withColumnRenamed("case_id", CASE)
+        folder = self.settings.store.new_frames(self._table(f))
+        path = self.settings.store.path(folder)
+        # In the order of cases, so that a read of one case skips the other row groups.
+        made.sortWithinPartitions(CASE).write.parquet(path)
+        stored = self.spark.read.schema(made.schema).parquet(path)
+        content = row_hash(stored.drop(CASE))
+        hashes = stored.groupBy(F.col(CASE).alias("p")).agg(
+            F.count("*").alias("n"), F.bit_xor(content).alias("x"), F.sum(content.cast("decimal(38,0)")).alias("s")
         )
+        done = rows.join(hashes, "p", "left")  # cases without rows are empty frames
+        name = F.sha2(F.concat_ws("|", F.lit(made.drop(CASE).schema.simpleString()), F.coalesce("n", F.lit(0)), "x", "s"), 256)
+        return done.withColumn("o0", F.struct(F.lit("frame").alias("c"), F.concat(F.lit(f"{folder}#"), F.col("p")).alias("v"), name.alias("h")))
 
     def _on_driver(self, f: Function, into: dict, rows: DataFrame) -> DataFrame:
-        """One call per case for functions of DataFrames: each call only builds a plan, which Spark runs when it is stored."""
+        """One call per case for functions of DataFrames: each call only builds a plan, which Spark runs when it is stored.
+
+        Cases do not depend on one another, so ``AT_ONCE`` of them are given to Spark together.
+        """
         cases = rows.collect()
         if len(cases) > MANY_CASES:
             log.warning("%s has %d cases, each a plan of its own", self._table(f), len(cases))
-        store, out = self.settings.store, []
-        for case in cases:
+        store = self.settings.store
+        folder = store.new_frames(self._table(f)) if store.roots else ""
+
+        def one(case) -> tuple:
             known = {}
             for _, node in f.args:
                 for e in node.entities():
-                    known[e] = self._gathered(case[f"v_{e}"], into[e]) if e in into else self._value(case[f"c_{e}"], case[f"v_{e}"])
+                    value = case[col_name("v", e)]
+                    known[e] = self._gathered(value, into[e]) if e in into else self._value(case[col_name("c", e)], value)
             try:
                 got = f.call(**{a: maps.argument(node, known) for a, node in f.args})
             except Exception as e:
                 raise EntityComputationError(f"error while computing {f.output}: {type(e).__name__}: {e}") from e
             done = []
-            for n, v in maps.leaves(f.output, got):
+            for k, (n, v) in enumerate(maps.leaves(f.output, got)):
                 if isinstance(v, DataFrame):
                     self._frame_results.add(n)
                     if self._persisted(f):
-                        path = f"{store.path('_frames')}/{self._table(f)}/{case['p']}/{n}"
-                        delete(self.spark, path)
-                        v.write.parquet(path)
-                        done.append(("frame", path, fingerprint(self.spark.read.parquet(path))))
+                        # The folder's name tells outputs and schemas apart: what is below it can be one scan.
+                        pointer = f"{folder}-{k}-{content_hash('schema', v.schema.json().encode())[:8]}/{CASE}={case['p']}"
+                        v.write.parquet(store.path(pointer))
+                        done.append(("frame", pointer, fingerprint(self.spark.read.parquet(store.path(pointer)))))
                     else:
                         pointer = f"memo:{n}:{case['p']}"
                         if self._memoized(f):
@@ -392,7 +438,11 @@ class Evaluator:
                 else:
                     codec, data = self._codecs(f)[n].encode(v)
                     done.append((codec, data, content_hash(codec, data)))
-            out.append((case["p"], *done))
+            return (case["p"], *done)
+
+        with ThreadPoolExecutor(max(1, min(AT_ONCE, len(cases)))) as pool:
+            # Each thread has the request's local properties.
+            out = [w.result() for w in [pool.submit(inheritable_thread_target(one), case) for case in cases]]
         is_frame = bool(self._frame_results & set(f.outputs)) or f.notes.kind == "frame"
         kind = FRAME_RESULT if is_frame else maps.RESULT
         schema = T.StructType([T.StructField("p", T.StringType()), *(T.StructField(f"o{k}", kind) for k in range(len(f.outputs)))])

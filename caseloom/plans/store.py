@@ -1,16 +1,25 @@
-"""The store: results of stored entities as Parquet, one folder per function and provenance.
-
-``<root>/<outputs>/p=<provenance>/`` holds one row with the outputs' codec,
-value and hash, the minor version and the code's hash.  Any Hadoop file system
-will do.  A second root mirrors the first: what only one of them has is copied
-to the other when it is used.
+"""The store: results of stored entities as Parquet, one folder for each write.
+
+``<root>/<outputs>/w=<write>/`` holds a row for each case that one request
+computed: its provenance, the outputs' codec, value and hash, the minor version
+and the code's hash.  ``<root>/_frames/<outputs>/<write>/`` holds the rows of
+stored DataFrames with their case's provenance; a value points there by a path
+below the root.  A folder counts once Spark has marked it as complete, frames
+are written before the rows that point to them, and of several rows of one
+provenance the one of the first write in order counts.  So what is left of a
+write that was interrupted, or made twice at one time, is never read.
+
+Any Hadoop file system will do.  A second root mirrors the first: folders that
+only one of them has are copied to the other when their table is used.
 """
 
 from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,6 +27,10 @@ from pyspark.sql import types as T
 
 from ..errors import CacheEntryDeletionError, InvalidCacheStateError
 
+FRAMES, FILES = "_frames", "_files"
+#: The provenance of the case that a row of a stored DataFrame belongs to.
+CASE = "__case"
+
 
 def _fs(spark: SparkSession, path: str):
     jvm = spark._jvm
@@ -35,14 +48,36 @@ def delete(spark: SparkSession, path: str) -> bool:
     return fs.exists(p) and fs.delete(p, True)
 
 
+def copy(spark: SparkSession, source: str, target: str) -> None:
+    (a, p), (b, q) = _fs(spark, source), _fs(spark, target)
+    spark._jvm.org.apache.hadoop.fs.FileUtil.copy(a, p, b, q, False, spark._jsc.hadoopConfiguration())
+
+
+def put(spark: SparkSession, path: str, data: bytes) -> None:
+    fs, p = _fs(spark, path)
+    out = fs.create(p, True)
+    out.write(bytearray(data))
+    out.close()
+
+
 def folders(spark: SparkSession, path: str) -> list[str]:
+    """Names of the folders in a folder, sorted; none if it is not there."""
     fs, p = _fs(spark, path)
-    return [s.getPath().toString() for s in fs.listStatus(p) if s.isDirectory()] if fs.exists(p) else []
+    return sorted(s.getPath().getName() for s in fs.listStatus(p) if s.isDirectory()) if fs.exists(p) else []
+
+
+def is_complete(spark: SparkSession, path: str) -> bool:
+    return exists(spark, f"{path}/_SUCCESS")
+
+
+def shared_root(spark: SparkSession) -> str | None:
+    """The folder that the driver and all executors share, where the session names one."""
+    return spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
 
 
 def work_folder(spark: SparkSession, name: str) -> str:
     """A new folder that the driver and all executors share: under ``spark.checkpoint.dir``, or a temporary one where that is unset."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    root = shared_root(spark)
     if not root and not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that the driver and the executors share")
     return f"{(root or tempfile.gettempdir()).rstrip('/')}/{name}-{uuid.uuid4().hex}"
@@ -56,53 +91,94 @@ class Store:
     def path(self, table: str, root: int = 0) -> str:
         return f"{self.roots[root].rstrip('/')}/{table}"
 
+    def writes(self, table: str, root: int) -> list[str]:
+        """Complete writes of a table in one root."""
+        return [w for w in folders(self.spark, self.path(table, root)) if w.startswith("w=") and is_complete(self.spark, f"{self.path(table, root)}/{w}")]
+
+    def is_empty(self, table: str) -> bool:
+        return not any(self.writes(table, k) for k in range(len(self.roots)))
+
     def read(self, table: str, schema: T.StructType) -> DataFrame:
-        """Rows of all roots, one for each provenance.  A result that is in none is simply not there."""
-        parts = []
+        """One row for each provenance of all roots.  A result that is in none is simply not there."""
+        parts, seen = [], set()
         for k in range(len(self.roots)):
-            if exists(self.spark, self.path(table, k)):
-                parts.append(self.spark.read.schema(schema).option("recursiveFileLookup", "false").parquet(self.path(table, k)))
+            new = [w for w in self.writes(table, k) if w not in seen]
+            seen.update(new)
+            if new:
+                reader = self.spark.read.schema(T.StructType([*schema, T.StructField("w", T.StringType())])).option("basePath", self.path(table, k))
+                parts.append(reader.parquet(*(f"{self.path(table, k)}/{w}" for w in new)))
         if not parts:
             return self.spark.createDataFrame([], schema)
-        out = parts[0]
-        for other in parts[1:]:
-            out = out.unionByName(other.join(out.select("p"), "p", "left_anti"))
-        return out
+        out = reduce(DataFrame.unionByName, parts)
+        if len(seen) == 1:
+            return out.drop("w")
+        rest = F.struct(*(f.name for f in schema if f.name != "p"))
+        return out.groupBy("p").agg(F.min_by(rest, "w").alias("one")).select(*(F.col("p" if f.name == "p" else f"one.{f.name}") for f in schema))
 
     def append(self, table: str, rows: DataFrame) -> None:
         """Written to the first root, then mirrored from it, so that a value is computed once."""
-        rows.write.mode("append").partitionBy("p").parquet(self.path(table))
-        self.mirror(table, rows.schema)
+        rows.write.parquet(f"{self.path(table)}/w={uuid.uuid4().hex}")
+        self.mirror(table)
 
-    def mirror(self, table: str, schema: T.StructType) -> None:
+    def new_frames(self, table: str) -> str:
+        """Where, below the root, the DataFrames of one write go."""
+        return f"{FRAMES}/{table}/{uuid.uuid4().hex}"
+
+    def locate(self, pointer: str) -> str:
+        """The path of a stored DataFrame, in the first root that has it."""
+        for k in range(len(self.roots)):
+            if is_complete(self.spark, self.path(pointer, k)):
+                return self.path(pointer, k)
+        raise InvalidCacheStateError(f"{pointer} is in no root of the store")
+
+    def mirror(self, table: str) -> None:
+        """Frames first, so that no row points to what is not there."""
         if len(self.roots) < 2:
             return
-        here = [self.spark.read.schema(schema).parquet(self.path(table, k)) if exists(self.spark, self.path(table, k)) else None for k in (0, 1)]
         for k in (0, 1):
-            source, target = here[k], here[1 - k]
-            if source is not None:
-                new = source if target is None else source.join(target.select("p"), "p", "left_anti")
-                if not new.isEmpty():
-                    new.write.mode("append").partitionBy("p").parquet(self.path(table, 1 - k))
+            for own in self._frames(table, k):
+                self._copy(own, k)
+            for w in self.writes(table, k):
+                self._copy(f"{table}/{w}", k)
+
+    def _copy(self, folder: str, k: int) -> None:
+        target = self.path(folder, 1 - k)
+        if not is_complete(self.spark, target):
+            delete(self.spark, target)  # what an interrupted copy left
+            self.spark.read.parquet(self.path(folder, k)).write.parquet(target)
+
+    def _frames(self, table: str, k: int) -> Iterator[str]:
+        """Folders with complete DataFrames, below a root: a write's own, or one for each case."""
+        base = f"{FRAMES}/{table}"
+        for write in folders(self.spark, self.path(base, k)):
+            if is_complete(self.spark, self.path(f"{base}/{write}", k)):
+                yield f"{base}/{write}"
+                continue
+            for case in folders(self.spark, self.path(f"{base}/{write}", k)):
+                if case.startswith(CASE) and is_complete(self.spark, self.path(f"{base}/{write}/{case}", k)):
+                    yield f"{base}/{write}/{case}"
 
     def tables(self, root: int = 0) -> list[str]:
-        return sorted(x.rstrip("/").rsplit("/", 1)[1] for x in folders(self.spark, self.roots[root]))
+        return [t for t in folders(self.spark, self.roots[root]) if not t.startswith("_")]
 
-    def entries(self) -> list[CacheEntry]:
-        found = []
+    def entries_frame(self) -> DataFrame:
+        """``tier, entity, provenance, artifact_url, write`` of all results in all roots."""
+        kinds = "tier string, entity string, provenance string, artifact_url string, write string"
+        out = self.spark.createDataFrame([], kinds)
         for k, tier in enumerate(("local", "cloud")[: len(self.roots)]):
             for t in self.tables(k):
-                if t.startswith("_"):
-                    continue
-                for folder in folders(self.spark, self.path(t, k)):
-                    p = folder.rstrip("/").rsplit("/", 1)[1]
-                    if p.startswith("p="):
-                        found.append(CacheEntry(self, tier, t, p[2:], folder))
-        return sorted(found, key=lambda e: (e.tier, e.entity, e.provenance))
+                for w in self.writes(t, k):
+                    rows = self.spark.read.parquet(f"{self.path(t, k)}/{w}")
+                    has_text = "o0" in rows.columns and rows.schema["o0"].dataType["v"].dataType == T.StringType()
+                    frame = F.col("o0.c") == "frame" if has_text else F.lit(False)
+                    at = F.when(frame, F.concat(F.lit(self.path("", k)), F.col("o0.v") if has_text else F.lit(""))).otherwise(f"{self.path(t, k)}/{w}")
+                    own = rows.select(F.lit(tier).alias("tier"), F.lit(t).alias("entity"), F.col("p").alias("provenance"), at.alias("artifact_url"), F.lit(w).alias("write"))
+                    out = out.unionByName(own)
+        return out.dropDuplicates(["tier", "entity", "provenance"])
 
-    def entries_frame(self) -> DataFrame:
-        rows = [(e.tier, e.entity, e.provenance, e.artifact_url) for e in self.entries()]
-        return self.spark.createDataFrame(rows, "tier string, entity string, provenance string, artifact_url string")
+    def entries(self) -> list[CacheEntry]:
+        found = [CacheEntry(self, r.tier, r.entity, r.provenance, r.artifact_url) for r in self.entries_frame().collect()]
+        return sorted(found, key=lambda e: (e.tier, e.entity, e.provenance))
 
 
 @dataclass(frozen=True)
@@ -115,20 +191,47 @@ class CacheEntry:
     provenance: str
     artifact_url: str
 
+    def _writes(self) -> Iterator[tuple[str, DataFrame]]:
+        k = int(self.tier == "cloud")
+        for w in self.store.writes(self.entity, k):
+            path = f"{self.store.path(self.entity, k)}/{w}"
+            yield path, self.store.spark.read.parquet(path)
+
     def delete(self) -> bool:
-        """Whether there was something to delete."""
+        """Whether there was something to delete.
+
+        A DataFrame of its own folder goes first.  Where one folder holds the DataFrames of many
+        cases, it goes with the last of them.  Then the rows of each write are written anew
+        without this one.
+        """
+        store, k, found = self.store, int(self.tier == "cloud"), False
         try:
-            frames = f"{self.store.roots[self.tier == 'cloud'].rstrip('/')}/_frames/{self.entity}/{self.provenance}"
-            delete(self.store.spark, frames)
-            return delete(self.store.spark, self.artifact_url)
+            for path, rows in self._writes():
+                own = rows.where(F.col("p") == self.provenance).collect()
+                if not own:
+                    continue
+                found = True
+                rest = rows.where(F.col("p") != self.provenance)
+                is_last = rest.isEmpty()
+                for value in (v for n, v in own[0].asDict().items() if n.startswith("o") and v is not None and v["c"] == "frame"):
+                    folder, _, case = value["v"].partition("#")
+                    if not case or is_last:
+                        delete(store.spark, store.path(folder, k))
+                if not is_last:
+                    rest.write.parquet(f"{store.path(self.entity, k)}/w={uuid.uuid4().hex}")
+                delete(store.spark, path)
         except Exception as e:
             raise CacheEntryDeletionError(f"can't delete {self.artifact_url}: {e}") from e
+        return found
 
     def row(self) -> dict:
         try:
-            return self.store.spark.read.parquet(self.artifact_url).first().asDict()
+            for _, rows in self._writes():
+                if found := rows.where(F.col("p") == self.provenance).take(1):
+                    return found[0].asDict()
         except Exception as e:
             raise InvalidCacheStateError(f"{self.artifact_url} can't be read: {e}") from e
+        raise InvalidCacheStateError(f"{self.artifact_url} is not there")
 
 
 def provenance(parts: list) -> F.Column:

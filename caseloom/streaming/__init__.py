@@ -14,11 +14,13 @@ from ..values import FrameSource
 def feed(flow: Flow, entity: str, stream: DataFrame, wanted: str, sink: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:
     """Sets ``entity`` to each micro-batch and gives the frame of ``wanted`` to ``sink`` with the batch's id.
 
-    The batch's id names its value, so a batch that Spark repeats after a
-    failure finds its stored results.
+    The stream's and the batch's ids name its value, so a batch that Spark repeats
+    after a failure finds its stored results, and streams are told apart.
     """
 
     def batch(df: DataFrame, batch_id: int) -> None:
-        sink(flow.setting(entity, FrameSource(df, version=f"batch-{batch_id}")).frame(wanted), batch_id)
+        # Spark keeps a stream's id in its checkpoint, over restarts.
+        query = df.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId") or checkpoint
+        sink(flow.setting(entity, FrameSource(df, version=f"batch-{query}-{batch_id}")).frame(wanted), batch_id)
 
     return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -184,69 +184,68 @@ def test_tokens_tell_types_apart():
     assert fixed({1, 2, 3}, protocol.sets()).token == fixed({3, 2, 1}, protocol.sets()).token
 
 
-STATES = ("M", "D", "FS", "FM", "DS", "DJ", "FJ")
+# Ways in which a flow may know "fuel", some of them together with "price".
+KINDS = ("absent", "declared", "one value", "two values", "derived", "derived pair", "case pair")
 
 
-def one(kind, name):
+def knowing(kind, name):
     b = cl.FlowBuilder(name)
-    if kind == "M":
-        return b
-    if kind == "D":
-        b.declare("x")
-    elif kind == "FS":
-        b.assign("x", 1)
-    elif kind == "FM":
-        b.assign("x", values=[1, 2])
-    elif kind == "DS":
-
-        @b
-        def x():
-            return 3
-
-    elif kind == "DJ":
-
-        @b
-        @cl.outputs("x", "y")
-        def _():
-            return 4, 5
-
-    else:
-        b.declare("x")
-        b.declare("y")
-        b.add_case("x", 17, "y", 18)
+    if kind == "declared":
+        b.declare("fuel")
+    elif kind == "one value":
+        b.assign("fuel", "coal")
+    elif kind == "two values":
+        b.assign("fuel", values=["gas", "oil"])
+    elif kind == "derived":
+        b(cl.output("fuel")(lambda: "peat"))
+    elif kind == "derived pair":
+        b(cl.outputs("fuel", "price")(lambda: ("wood", 12)))
+    elif kind == "case pair":
+        b.declare("fuel")
+        b.declare("price")
+        b.add_case("fuel", "wind", "price", 0)
     return b
 
 
-# Outcomes by row (old) and column (new), in the order of STATES:
-# < old, ^ new, - declared, . missing, ! refused, X would split a joint group.
-GRIDS = {
-    "error": [". - ^ ^ ^ ^ ^", "- - ^ ^ ^ ^ ^"] + ["< < ! ! ! ! !"] * 5,
-    "old": [". - ^ ^ ^ ^ ^", "- - ^ ^ ^ ^ ^"] + ["< < < < < X X"] * 3 + ["< < < < < < <"] * 2,
-    "new": [". - ^ ^ ^ ^ ^", "- - ^ ^ ^ ^ ^"] + ["< < ^ ^ ^ ^ ^"] * 3 + ["< < X X X ^ ^"] * 2,
-}
-
-
-@pytest.mark.parametrize("keep", GRIDS)
-def test_merge_grid(keep):
-    for old, line in zip(STATES, GRIDS[keep]):
-        for new, wanted in zip(STATES, line.split()):
-            a, b = one(old, "old"), one(new, "new")
-            before, after = a._state.entities.get("x"), b._state.entities.get("x")
-            if wanted in "!X":
-                with pytest.raises(IncompatibleEntityError if wanted == "X" else ValueError):
-                    a.merge(b.build(), keep=keep)
-                assert a._state.entities.get("x") is before
-                continue
+def merged(old, new, keep):
+    """The side whose "fuel" must stay, or the error: what is absent or only declared gives way, then ``keep``
+    decides; and entities that vary together stay or go together."""
+    weak = ("absent", "declared")
+    if new in weak:
+        side = "new" if old == "absent" else "old"
+    elif old in weak:
+        side = "new"
+    elif keep == "error":
+        return ValueError
+    else:
+        side = keep
+    # "price" goes by the same rule; it is in a pair alone where the other side does not know it.
+    loser = old if side == "new" else new
+    if loser.endswith("pair"):
+        other = new if side == "new" else old
+        if not other.endswith("pair") and other not in weak:
+            return IncompatibleEntityError
+    return side
+
+
+@pytest.mark.parametrize("keep", ["error", "old", "new"])
+@pytest.mark.parametrize("old", KINDS)
+@pytest.mark.parametrize("new", KINDS)
+def test_merge_outcomes(keep, old, new):
+    a, b = knowing(old, "here"), knowing(new, "there")
+    mine, theirs = a._state.entities.get("fuel"), b._state.entities.get("fuel")
+    wanted = merged(old, new, keep)
+    if isinstance(wanted, type):
+        with pytest.raises(wanted):
             a.merge(b.build(), keep=keep)
-            got = a._state.entities.get("x")
-            if wanted == ".":
-                assert got is None
-            elif wanted == "-":
-                assert got.is_declared_only
-            elif wanted == "<":
-                assert got == before
-            else:
-                assert (got.group, got.function and got.function.call) == (after.group, after.function and after.function.call)
+        assert a._state.entities.get("fuel") is mine
+        return
+    a.merge(b.build(), keep=keep)
+    got, kept = a._state.entities.get("fuel"), mine if wanted == "old" else theirs
+    if kept is None:
+        assert got is None
+    else:
+        assert (got.group, got.function and got.function.call) == (kept.group, kept.function and kept.function.call)
 
 
 def test_merge_names():
