@@ -364,8 +364,12 @@ def main_text(page: str | None, weights: Weights) -> str:
 
 def labelled(pages: DataFrame, html_col: str = "html") -> list[str]:
     """At most ``LABELLED_PAGES`` pages that mark their article, the same ones on every run: those whose hashes are lowest."""
-    marked = pages.where(F.col(html_col).rlike(r"(?i)<(article|main)[\s>]"))
-    return [r[0] for r in marked.orderBy(F.xxhash64(html_col), html_col).select(html_col).limit(LABELLED_PAGES).collect()]
+    marked = pages.where(F.col(html_col).rlike(r"(?i)<(article|main)[\s>]")).select(F.xxhash64(html_col).alias("h"), F.col(html_col).alias("page"))
+    # Hashes first: tasks send the driver no pages but the chosen ones.
+    last = marked.select("h").distinct().orderBy("h").limit(LABELLED_PAGES).agg(F.max("h")).first()[0]
+    if last is None:
+        return []
+    return [r.page for r in marked.where(F.col("h") <= last).groupBy("h").agg(F.min("page").alias("page")).orderBy("h").collect()]
 
 
 def extract(pages: DataFrame, weights: Weights | None = None, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
