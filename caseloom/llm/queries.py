@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, html_extract, license_scan, ngram_join, packing, quality, secrets, token_counts, token_store
+from . import chat, decontaminate, html_extract, language, license_scan, ngram_join, packing, quality, repair, secrets, token_counts, token_store, vector_codes
 from ._common import read_table, scratch
 
 
@@ -90,6 +90,38 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+#: Of five parts of the documents, one is never learned from.
+FOLDS = 5
+
+
+def op11_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    # A null id counts as an empty one, which is held out.
+    held_out = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % FOLDS == 0
+    field = language.fit(docs.where(~held_out))
+    found = language.identify(docs, field)
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "n_words", "n_switches")
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.compress(read_table(spark, sf_dir, "embeddings"))
+
+
+def damaged(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The rows after damage by the checksum of ``conv_id:turn``, and the ids of dropped rows."""
+    name = F.concat_ws(":", *(F.coalesce(F.col(n).cast("string"), F.lit(" ")) for n in ("conv_id", "turn")))
+    rows = turns.select("conv_id", "turn", *(F.coalesce(n, F.lit(" ")).alias(n) for n in ("role", "text")), (F.crc32(name) % 20).alias("harm"))
+    text = F.when(F.col("harm") == 1, "").when(F.col("harm") == 2, F.regexp_replace("text", "[.!?]", "")).otherwise(F.col("text"))
+    role = F.when(F.col("harm") == 4, "user").otherwise(F.col("role"))
+    times = F.explode(F.when(F.col("harm") == 3, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0))))
+    left = rows.where("harm <> 0").select("conv_id", "turn", role.alias("role"), text.alias("text"), times.alias("time")).drop("time")
+    return left, rows.where("harm = 0").select("conv_id")
+
+
+def op13_structure_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.repair(*damaged(read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_chat_format": op1_chat_format,
@@ -103,6 +135,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_packing": op8_packing,
         "op9_html_extract": op9_html_extract,
         "op10_token_counts": op10_token_counts,
+        "op11_language_id": op11_language_id,
+        "op12_vector_codes": op12_vector_codes,
+        "op13_structure_repair": op13_structure_repair,
     }
 
 
@@ -195,6 +230,92 @@ from sets s left join kinds k on s.own = k.own and len(s.own) > 0 left join leas
 """
 
 
+# The rounds one by one, every part against every entry.
+_ROUND = """
+near{k} as (select rid, part, min(d * 256 + entry) as m from (
+  select rid, part, entry, sum((x - z) * (x - z)) as d from parts join books{k} using (part, place) group by rid, part, entry) group by rid, part),
+books{next} as (select part, entry, place, coalesce((s - ((s % n) + n) % n) // n, z) as z from books{k} left join (
+  select part, m % 256 as entry, place, sum(x) as s, count(*) as n from near{k} join parts using (rid, part) group by part, m % 256, place) using (part, entry, place))"""
+OP12_SQL = f"""
+with kept as (select row_number() over () as rid, vec_id, label, list_transform(embedding, lambda x: cast(floor(1024 * cast(x as double)) as bigint)) as v
+  from embeddings where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+places as (select rid, unnest(v) as x, generate_subscripts(v, 1) - 1 as i, len(v) // 4 as width from kept),
+parts as (select rid, x, i // width as part, i % width as place from places),
+books0 as (select part, entry, place, x as z from parts join (
+  select rid, row_number() over (order by vec_id, v) - 1 as entry from kept qualify entry < 256) using (rid)),
+{",".join(_ROUND.format(k=k, next=k + 1) for k in range(4))},
+last as (select rid, part, min(d * 256 + entry) as m from (
+  select rid, part, entry, sum((x - z) * (x - z)) as d from parts join books4 using (part, place) group by rid, part, entry) group by rid, part),
+coded as (select rid, string_agg(printf('%02x', cast(m % 256 as integer)), '' order by part) as code, cast(sum(m // 256) as bigint) as error from last group by rid),
+named as (select sha256(string_agg(cast(cast(z as bigint) as varchar), ',' order by part, entry, place)) as codebooks_sha256 from books4)
+select vec_id, code, error, cast(sum(error) over (partition by label) as bigint) as label_error, codebooks_sha256
+from kept join coded using (rid), named
+"""
+
+# CRC-32 of ASCII text: eight steps a bit for each byte.
+_CRC = """xor(4294967295, list_reduce(list_prepend(4294967295::bigint, list_transform(range(1, length(name) + 1), lambda i: ascii(name[i])::bigint)),
+  lambda c, b: list_reduce(list_prepend(xor(c, b), [0, 0, 0, 0, 0, 0, 0, 0]::bigint[]), lambda r, z: case when r & 1 = 1 then xor(r >> 1, 3988292384) else r >> 1 end)))"""
+
+
+def _step(state: str, cost: str, letter: str, line: str | None) -> str:
+    """A way's text (cost, letters, chr(1), repaired lines) with one edit more; the least text is the cheapest way, and of these the least letters."""
+    cut = f"instr({state}, chr(1))"
+    more = f" || case when {cut} = length({state}) then '' else chr(10) end || {line}" if line else ""
+    return (
+        f"case when {state} is not null then lpad(cast(cast({state}[1:9] as bigint) + {cost} as varchar), 9, '0')"
+        f" || {state}[10:{cut} - 1] || '{letter}' || {state}[{cut}:]{more} end"
+    )
+
+
+def _least(*ways: str) -> str:
+    return f"least({', '.join(ways)})"
+
+
+# A row is [role, text, must go, cut off]; a state list has the best way to each state before the row's own inserts.
+_INSERTED = f"""list_transform([list_transform([a], lambda w: [w[1], w[2], {_least('w[3]', *(_step(f'w[{k}]', '2', 'I', "'user:'") for k in (1, 2, 4)))}, w[4]])[1]],
+  lambda w: [w[1], w[2], w[3], {_least('w[4]', _step('w[3]', '2', 'I', "'assistant:'"))}])[1]"""
+
+
+def _kept(initial: str, *states: int) -> list[str]:
+    return [f"case when r[3] = '' and r[1][1:1] = '{initial}' then {_step(f'w[{k}]', 'cast(r[4] as bigint)', 'K', 'r[1] || chr(58) || r[2]')} end" for k in states]
+
+
+def _changed(role: str, *states: int) -> list[str]:
+    return [f"case when r[3] = '' then {_step(f'w[{k}]', '2 + cast(r[4] as bigint)', 'R', f'{chr(39)}{role}:{chr(39)} || r[2]')} end" for k in states]
+
+
+_ROW = f"""list_transform([{_INSERTED}], lambda w: [
+  {_step('w[1]', '3', 'D', None)}, {_least(_step('w[2]', '3', 'D', None), *_kept('s', 1))},
+  {_least(_step('w[3]', '3', 'D', None), *_kept('u', 1, 2, 4), *_changed('user', 1, 2, 4))},
+  {_least(_step('w[4]', '3', 'D', None), *_kept('a', 3), *_changed('assistant', 3))}])[1]"""
+
+OP13_SQL = f"""
+with named as (select conv_id, turn, coalesce(role, ' ') as role, coalesce(text, ' ') as text,
+    coalesce(cast(conv_id as varchar), ' ') || ':' || coalesce(cast(turn as varchar), ' ') as name from conversations),
+harmed as (select *, {_CRC} % 20 as harm from named),
+left_over as (select conv_id, turn, case when harm = 4 then 'user' else role end as role,
+    case when harm = 1 then '' when harm = 2 then regexp_replace(text, '[.!?]', '', 'g') else text end as text, unnest(case when harm = 3 then [0, 1] else [0] end) as time
+  from harmed where harm <> 0),
+rows as (select *, row_number() over (partition by conv_id order by turn nulls first, role, text, time) as k,
+    row_number() over (partition by conv_id, role, text order by turn nulls first, time) > 1 as seen from left_over),
+faults as (select *, case when not regexp_matches(text, '[^\x20\x09-\x0D]') then 'blank' when seen then 'duplicate'
+    when not regexp_matches(text, '[.!?][\x20\x09-\x0D]*\\z') then 'truncated' else '' end as fault,
+    lag(role[1:1]) over (partition by conv_id order by k) || role[1:1] as neighbours from rows),
+folded as (select conv_id, max(turn) - min(turn) + 1 - count(distinct turn) as gaps, count(*) filter (where fault = 'blank') as blank,
+    count(*) filter (where fault = 'duplicate') as duplicate, count(*) filter (where fault = 'truncated') as truncated,
+    count(*) filter (where neighbours not in ('su', 'ua', 'au')) as illegal,
+    list_reduce(list_prepend(['000000000' || chr(1), null, null, null]::varchar[],
+      list([role, text, case when fault in ('blank', 'duplicate') then 'x' else '' end, case when fault = 'truncated' then '1' else '0' end] order by k)),
+      lambda a, r: {_ROW}) as a
+  from faults group by conv_id),
+ended as (select *, list_transform([{_INSERTED}], lambda w: {_least('w[1]', 'w[4]')})[1] as best from folded)
+select o.conv_id, cast(coalesce(gaps, 0) as bigint) as gaps, coalesce(blank, 0) as blank, coalesce(duplicate, 0) as duplicate, coalesce(truncated, 0) as truncated,
+  coalesce(illegal, 0) as illegal, cast(coalesce(best[1:9], '0') as bigint) as cost, coalesce(best[10:instr(best, chr(1)) - 1], '') as audit,
+  sha256(coalesce(best[instr(best, chr(1)) + 1:], '')) as repaired_sha256
+from (select distinct conv_id from conversations) o left join ended e on o.conv_id is not distinct from e.conv_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     """The others have no SQL: it has no tokenizers, no xxhash64, no alignment; their tests compare with brute force."""
-    return {"op1_chat_format": OP1_SQL, "op3_base": OP3_BASE_SQL, "op4_secret_scan": OP4_SQL, "op6_ngram_join": OP6_SQL}
+    return {"op1_chat_format": OP1_SQL, "op3_base": OP3_BASE_SQL, "op4_secret_scan": OP4_SQL, "op6_ngram_join": OP6_SQL, "op12_vector_codes": OP12_SQL, "op13_structure_repair": OP13_SQL}
