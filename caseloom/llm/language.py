@@ -116,7 +116,7 @@ def probabilities(scores: np.ndarray, is_first: np.ndarray, moves: np.ndarray, b
     full = n_stretches * STRETCH
     seen = np.ones((full, k), np.float32)
     seen[:n] = np.exp(scores - scores.max(axis=1, keepdims=True))
-    new = np.zeros(full, bool)
+    new = np.ones(full, bool)  # what fills the last stretch up belongs to no sequence
     new[:n] = is_first
     seen, new = (x.reshape(n_stretches, STRETCH, *x.shape[1:]).swapaxes(0, 1) for x in (seen, new))
     a, start = np.exp(moves - moves.max()).astype(np.float32), np.exp(begins - begins.max()).astype(np.float32)

@@ -29,7 +29,7 @@ def run(spark, name):
 def test_sql(spark, name):
     got = entry.queries()[name](spark, SF_DIR)
     c = duckdb.connect()
-    for table in ("conversations", "documents"):
+    for table in ("conversations", "documents", "embeddings"):
         c.execute(f"create view {table} as select * from '{SF_DIR}/{table}.parquet'")
     wanted = c.execute(f"select {', '.join(got.columns)} from ({entry.oracle_sql()[name]})").fetchall()
     assert collections.Counter(map(tuple, got.collect())) == collections.Counter(wanted)
