@@ -5,7 +5,7 @@ from __future__ import annotations
 import inspect
 import itertools
 from collections.abc import Callable, Iterable
-from dataclasses import dataclass, replace
+from dataclasses import dataclass, field, replace
 from typing import Any
 
 from . import codecs
@@ -53,7 +53,7 @@ class Definition:
     persist: bool | None = None
     function: Function | None = None
     group: int | None = None
-    attached: tuple[int, tuple[tuple[tuple[str, ...], FixedValue], ...]] | None = None
+    attached: tuple[int, Keyed] | None = None  # a group of cases, and the entity's value for each case that has one
     default: bool = False
 
     @property
@@ -61,15 +61,54 @@ class Definition:
         return self.function is None and self.group is None and self.attached is None
 
 
+class Keyed:
+    """Items by key in the order in which they came.  It only grows: versions share one list, and each knows how much of it is its own."""
+
+    def __init__(self, items: Iterable[tuple[tuple[str, ...], Any]] = ()):
+        self._items = list(items)
+        self._at = {key: k for k, (key, _) in enumerate(self._items)}
+        self._n = len(self._items)
+
+    def __len__(self) -> int:
+        return self._n
+
+    def __iter__(self):
+        return itertools.islice(self._items, self._n)
+
+    def __contains__(self, key: tuple[str, ...]) -> bool:
+        return self._at.get(key, self._n) < self._n
+
+    def adding(self, key: tuple[str, ...], item: Any) -> Keyed:
+        """With one item more; in constant time for the newest version."""
+        if len(self._items) > self._n:  # a newer version has gone on from here
+            out = Keyed(self)
+        else:
+            out = Keyed()
+            out._items, out._at = self._items, self._at
+        out._items.append((key, item))
+        out._at[key] = len(out._items) - 1
+        out._n = self._n + 1
+        return out
+
+    def last(self) -> tuple[str, ...]:
+        """The key that came last."""
+        return self._items[self._n - 1][0]
+
+
 @dataclass(frozen=True)
 class Cases:
-    """Entities that vary together: their names in order and one tuple of values per case."""
+    """Entities that vary together: their names in order, and one tuple of values for each case by its tokens."""
 
     names: tuple[str, ...]
-    rows: tuple[tuple[FixedValue, ...], ...]
+    held: Keyed = field(default_factory=Keyed)
 
-    def tokens(self) -> list[tuple[str, ...]]:
-        return [tuple(v.token for v in row) for row in self.rows]
+    @property
+    def rows(self) -> list[tuple[FixedValue, ...]]:
+        return [row for _, row in self.held]
+
+    def values_of(self, name: str) -> Iterable[FixedValue]:
+        k = self.names.index(name)
+        return (row[k] for _, row in self.held)
 
 
 @dataclass(frozen=True)
@@ -93,9 +132,9 @@ class State:
     def single(self, name: str) -> Any:
         """The value of a fixed entity with one case, else None."""
         d = self.entities.get(name)
-        if d is None or d.group is None or len(self.groups[d.group].rows) != 1:
+        if d is None or d.group is None or len(self.groups[d.group].held) != 1:
             return None
-        return self.groups[d.group].rows[0][self.groups[d.group].names.index(name)].value
+        return next(iter(self.groups[d.group].values_of(name))).value
 
     def companions(self, name: str) -> set[str]:
         """Entities that are cleared, replaced or merged only together with this one."""
@@ -117,6 +156,11 @@ class State:
 
     def with_case(self, given: dict[str, Any]) -> tuple[State, int, tuple[str, ...]]:
         """One more case of the entities' joint group."""
+        state, gid = self.with_cases(tuple(given), [tuple(given.values())])
+        return state, gid, state.groups[gid].held.last()
+
+    def with_cases(self, given: tuple[str, ...], values: Iterable[tuple]) -> tuple[State, int | None]:
+        """More cases of the entities' joint group, in one step; without values nothing changes."""
         defs = [self.get(n) for n in given]
         for d in defs:
             if d.function is not None:
@@ -128,17 +172,23 @@ class State:
             raise IncompatibleEntityError(f"{sorted(given)} do not belong to one group of cases")
         (gid,) = gids
         if gid is None:
-            gid, group = next(_ids), Cases(tuple(sorted(given)), ())
+            gid, group = next(_ids), Cases(tuple(sorted(given)))
         else:
             group = self.groups[gid]
             if set(group.names) != set(given):
                 raise IncompatibleEntityError(f"cases of {list(group.names)} must name all of them, not {sorted(given)}")
-        row = tuple(fixed(given[n], self.get(n).codec) for n in group.names)
-        key = tuple(v.token for v in row)
-        if key in group.tokens():
-            raise IncompatibleEntityError(f"{given} is a case already")
-        groups = {**self.groups, gid: replace(group, rows=(*group.rows, row))}
-        return replace(self.having(*(replace(d, group=gid) for d in defs)), groups=groups), gid, key
+        order, kinds = [given.index(n) for n in group.names], [self.get(n).codec for n in group.names]
+        held = group.held
+        for own in values:
+            row = tuple(fixed(own[k], codec) for k, codec in zip(order, kinds))
+            key = tuple(v.token for v in row)
+            if key in held:
+                raise IncompatibleEntityError(f"{dict(zip(given, own))} is a case already")
+            held = held.adding(key, row)
+        if held is group.held:
+            return self, None
+        groups = {**self.groups, gid: replace(group, held=held)}
+        return replace(self.having(*(replace(d, group=gid) for d in defs)), groups=groups), gid
 
 
 @dataclass
@@ -154,10 +204,10 @@ class FlowCase:
         d = state.get(name)
         if d.function is not None or d.group is not None or d.attached is not None and d.attached[0] != self.group:
             raise IncompatibleEntityError(f"{name!r} does not vary with these cases")
-        rows = d.attached[1] if d.attached else ()
-        if any(k == self.key for k, _ in rows):
+        values = d.attached[1] if d.attached else Keyed()
+        if self.key in values:
             raise IncompatibleEntityError(f"{name!r} is set for this case already")
-        self.builder._state = state.having(replace(d, attached=(self.group, (*rows, (self.key, fixed(value, d.codec))))))
+        self.builder._state = state.having(replace(d, attached=(self.group, values.adding(self.key, fixed(value, d.codec)))))
         return self
 
 
@@ -219,8 +269,7 @@ class FlowBuilder:
             raise
 
     def _add(self, name: str, given: list[Any]) -> None:
-        for v in given:
-            self._state, *_ = self._state.with_case({name: v})
+        self._state, _ = self._state.with_cases((name,), ((v,) for v in given))
 
     def add_case(self, *names_and_values: Any) -> FlowCase:
         if not names_and_values or len(names_and_values) % 2:
@@ -265,8 +314,10 @@ class FlowBuilder:
         for g in notes.gathers:
             if g.into not in given:
                 raise ValueError(f"{function.__name__} has no argument {g.into!r} for its gathered frame")
-        if notes.kind == "agg" and len(notes.gathers) != 1:
-            raise AttributeValidationError("agg needs exactly one gather")
+        if notes.kind in ("agg", "streamed") and len(notes.gathers) != 1:
+            raise AttributeValidationError(f"{notes.kind} needs exactly one gather")
+        if notes.kind == "cases" and notes.gathers:
+            raise AttributeValidationError("cases are made of DataFrames and values, not of gathered ones")
         if notes.docs is not None and len(notes.docs) != len(names):
             raise ValueError(f"{len(names)} outputs need as many docs, not {len(notes.docs)}")
         if notes.changes_per_run and notes.memoize is False and notes.persist is False:

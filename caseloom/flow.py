@@ -8,7 +8,7 @@ import uuid
 from pathlib import Path
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .catalog import FlowBuilder, State
@@ -154,15 +154,17 @@ class Flow:
             raise ValueError(f"{name!r} is not persisted, but a persisted file is expected by mode {how!r}")
         codec, value = row[col_name("c", name)], row[col_name("v", name)]
         store = self._evaluator.settings.store
+        own = self._evaluator._table(d.function) if d.function else name
         if codec == "frame":
             folder, _, case = value.partition("#")
-            path = store.path(f"{files.FILES}/{case}/{name}.parquet") if case else store.locate(folder)
+            path = store.path(f"{files.FILES}/{own}/{row[col_name('h', name)]}/{name}.parquet") if case else store.locate(folder)
             if case and not files.is_complete(self.spark, path):
                 self._evaluator.frame_at(value).write.mode("overwrite").parquet(path)
         else:
             if codec is None:
                 codec, value = self._state.get(name).codec.encode(maps.plain(value))
-            path = store.path(f"{files.FILES}/{content_hash(codec, bytes(value))}/{name}.{extension_of(codec)}")
+            digest = content_hash(codec, bytes(value)) if d.function is None else row[col_name("h", name)]
+            path = store.path(f"{files.FILES}/{own}/{digest}/{name}.{extension_of(codec)}")
             files.put(self.spark, path, bytes(value))
         local = path.removeprefix("file://") if path.startswith("file:///") else path.removeprefix("file:")
         if how == "FileCopier":
@@ -338,6 +340,19 @@ class Cache:
     def frame(self) -> DataFrame:
         return self._store.entries_frame()
 
+    def delete(self, which: Column | DataFrame | None = None, tier: str = "local") -> int:
+        """Deletes results in one commit, however many, and says how many rows went.
+
+        ``which``: a condition on ``entity, p`` (the provenance), or a DataFrame of them; all if not given.
+        """
+        return self._store.delete(int(tier == "cloud"), F.lit(True) if which is None else which)
+
+    def merge(self) -> None:
+        """Merges the runs of each table, and removes what earlier merges have replaced."""
+        for k in range(len(self._store.roots)):
+            for t in self._store.tables(k):
+                self._store.merge_runs(t, k, at_least=2)
+
 
 class FileCopier:
     """Copies a stored file or folder to a path, or to a URI of any file system that Spark knows."""

@@ -113,8 +113,8 @@ class Evaluator:
         d = self.state.get(name)
         if d.group is not None:
             g = self.state.groups[d.group]
-            rows = [(k, row[g.names.index(name)]) for k, row in zip(g.tokens(), g.rows)]
-            names = g.names
+            k = g.names.index(name)
+            names, rows = g.names, [(key, row[k]) for key, row in g.held]
         elif d.attached is not None:
             names, rows = self.state.groups[d.attached[0]].names, list(d.attached[1])
         else:
@@ -122,7 +122,7 @@ class Evaluator:
         for _, v in rows:
             if v is not None and v.codec == "frame":
                 self.frames[f"fixed:{name}:{v.token}"] = v.value
-        return fixed_relation(self.spark, name, names, rows)
+        return fixed_relation(self.spark, name, names, rows, self.settings.store.cases if self.settings.store.roots else None)
 
     def _derived(self, f: Function) -> Relation:
         into = {g.into: (*g.over, *(n for n in g.also if n not in g.over)) for g in f.gathers}
@@ -183,7 +183,7 @@ class Evaluator:
     def _has_frames(self, name: str) -> bool:
         d = self.state.get(name)
         if d.function is None:
-            values = [v for row in self.state.groups[d.group].rows for v in row] if d.group is not None else []
+            values = self.state.groups[d.group].values_of(name) if d.group is not None else ()
             return any(v.codec == "frame" for v in values)
         return d.function.notes.kind in ("frame", "lifted") or name in self._frame_results
 
@@ -239,7 +239,7 @@ class Evaluator:
                 with self._resources(f):
                     made = compute(rows.dropDuplicates(["p"])).select("p", *(f"o{k}" for k in range(len(f.outputs))))
                     made = made.withColumn("minor", F.lit(minor)).withColumn("code", F.lit(code))
-                    store.append(table, made.select(*[x.name for x in store_schema]))
+                    store.append(table, made.select(*[x.name for x in store_schema]), len(f.outputs))
             except Exception as e:
                 raise self._as_own(e) from e
             have = store.read(table, store_schema)
