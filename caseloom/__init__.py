@@ -10,6 +10,7 @@ from .catalog import FlowBuilder  # noqa: F401
 from .decorators import (  # noqa: F401
     accepts,
     agg,
+    cases,
     changes_per_run,
     docs,
     expr,
@@ -23,12 +24,14 @@ from .decorators import (  # noqa: F401
     persist,
     pyplot,
     returns,
+    rollup,
     run_with,
+    streamed,
     typed,
     version,
     version_no_warnings,
 )
 from .flow import Flow  # noqa: F401
-from .values import FrameSource  # noqa: F401
+from .values import FileSource, FrameSource  # noqa: F401
 
 __version__ = "0.1.0"

@@ -40,6 +40,7 @@ class Notes:
     pyplot: str | None = None
     resources: tuple[tuple[str, Any], ...] | None = None
     lifts: tuple[str, ...] = ()
+    merges: tuple[tuple[str, ...], tuple[tuple[str, str], ...]] | None = None
 
 
 def notes_of(function: Callable) -> Notes:
@@ -143,7 +144,13 @@ def pyplot(name: str = "pyplot"):
 
 
 def run_with(**resources):
-    """Hints for the cluster, put on the function's Spark jobs as local properties ``caseloom.<name>``; ``pool`` is their scheduler pool."""
+    """What the function's Spark jobs need.
+
+    ``cpus`` and ``gpus`` (for each task), ``memory``, ``overhead`` and ``cores`` (of an executor, as ``"4g"``, ``"1g"``, 4)
+    make the profile of the stage that calls the function, where the cluster manager has stage-level scheduling; without
+    dynamic allocation Spark takes the tasks' part of it alone, and a local master none.  Everything is put on the jobs as
+    local properties ``caseloom.<name>`` too; ``pool`` is their scheduler pool.
+    """
     return lambda f: _note(f, "resources", tuple(sorted(resources.items())))
 
 
@@ -171,6 +178,34 @@ def lifted(*names: str):
     return lambda f: _note(f, "kind", "lifted", also={"lifts": tuple(map(entity_name, names))})
 
 
+def cases(f):
+    """The function gives a Spark DataFrame: each of its different rows is a case of the outputs, which vary together.
+
+    The cases stay a DataFrame, so there may be as many as there are users in a table.
+    """
+    return _note(f, "kind", "cases")
+
+
+def streamed(f):
+    """Under ``gather``: the function takes the group as an iterator of pandas frames of some rows each, and no group is held whole."""
+    return _note(f, "kind", "streamed")
+
+
+#: How states of a column are merged.
+MERGES = ("sum", "min", "max", "and", "or", "hll")
+
+
+def rollup(by: str | Sequence[str] = (), **merges: str):
+    """The function gives a DataFrame of states of a ``FileSource``: one row for each different ``by``, and columns that can be merged.
+
+    ``merges`` says how: sum, min, max, and, or, hll (sketches of ``hll_sketch_agg``).  States are kept with the
+    files that they were made from; when files are added, only those are read.
+    """
+    if wrong := {k: v for k, v in merges.items() if v not in MERGES}:
+        raise AttributeValidationError(f"{wrong}: states are merged by one of {MERGES}")
+    return lambda f: _note(f, "kind", "rollup", also={"merges": ((by,) if isinstance(by, str) else tuple(by), tuple(sorted(merges.items())))})
+
+
 def typed(spark_type: str):
     """The Spark type of what the function gives, so that ``expr`` and ``agg`` functions can use it."""
     return lambda f: _note(f, "returns_type", spark_type)

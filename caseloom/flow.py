@@ -95,11 +95,12 @@ class Flow:
         return node, rel, rel.df.where(~missing(rel.keys))
 
     def _get(self, name: str, collection: Any = None, mode: Any = object) -> Any:
+        out = None
         try:
-            return self._got(name, collection, mode)
+            out = self._got(name, collection, mode)
+            return out
         finally:
-            if collection not in ("frame",):
-                self._evaluator.end_request()
+            self._evaluator.end_request(out if isinstance(out, DataFrame) else None)
 
     def _got(self, name: str, collection: Any, mode: Any) -> Any:
         node, rel, df = self._rows(name)
@@ -129,8 +130,9 @@ class Flow:
         if kind == "series":
             import pandas as pd
 
-            roots = sorted(rel.keys)
-            index = [tuple(self._root_value(k, r[col_name("k", k)]) for k in roots) for r in rows]
+            roots = sorted(k for k in rel.keys if not self._evaluator._has_frames(k))
+            values = {k: self._root_values(k, {r[col_name("k", k)] for r in rows}) for k in roots}
+            index = [tuple(values[k][r[col_name("k", k)]] for k in roots) for r in rows]
             made = pd.MultiIndex.from_tuples([tuple(map(_Held, t)) for t in index], names=roots) if roots else None
             return pd.Series(out, index=made, name=name)
         return out
@@ -139,11 +141,14 @@ class Flow:
         known = {n: self._evaluator._value(row[col_name("c", n)], row[col_name("v", n)]) for n in node.entities()}
         return maps.argument(node, known)
 
-    def _root_value(self, name: str, token: str) -> Any:
-        d = self._state.get(name)
-        g = self._state.groups[d.group]
-        k = g.names.index(name)
-        return next(row[k].value for row in g.rows if row[k].token == token)
+    def _root_values(self, name: str, tokens: set[str]) -> dict[str, Any]:
+        """The values of a fixed entity, or of one whose cases were made from data, by their tokens."""
+        d, key = self._state.get(name), col_name("k", name)
+        if d.function is None:
+            return {v.token: v.value for v in self._state.groups[d.group].values_of(name)}
+        wanted = self.spark.createDataFrame([(t,) for t in tokens], f"`{key}` string")
+        rows = self._evaluator.relation(name).df.join(wanted, key).select(key, col_name("v", name)).distinct()
+        return {r[0]: maps.plain(r[1]) for r in rows.collect()}
 
     def _file(self, node, row, how: str) -> Any:
         if not isinstance(node, Name):
@@ -174,38 +179,59 @@ class Flow:
         return Path(local) if how == "path" else local
 
     def frame(self, name: str) -> DataFrame:
-        """All present cases: a column for each entity that they vary with, and the value or, for a DataFrame, its columns."""
+        """All present cases: a column for each entity that they vary with, and the value or, for a DataFrame, its columns.
+
+        What is neither stored nor memoized stays in executor memory as long as the DataFrame is held.
+        """
+        out = None
+        try:
+            out = self._frame(name)
+            return out
+        finally:
+            self._evaluator.end_request(out)
+
+    def _frame(self, name: str) -> DataFrame:
         node, rel, df = self._rows(name)
         held = {k for k in rel.keys if self._evaluator._has_frames(k)}  # sources are no columns
         names = list(dict.fromkeys(node.entities()))
         roots = sorted(rel.keys - held - set(names))
         for k in roots:
-            d, own = self._state.get(k), col_name("w", k)
-            if d.group is None:  # unset: no present case has it
-                df = df.withColumn(own, F.lit(None).cast("string"))
-                continue
-            g = self._state.groups[d.group]
-            rows = {(row[g.names.index(k)].token, str(row[g.names.index(k)].value)) for row in g.rows}
-            root = self._evaluator.relation(k)
-            if root.is_typed(k):
-                values = root.df.select(F.col(col_name("k", k)).alias(col_name("t", k)), F.col(col_name("v", k)).alias(own)).distinct()
-            else:
-                values = self.spark.createDataFrame(sorted(rows), ["t", "w"]).toDF(col_name("t", k), own)
-            df = df.join(values, F.col(col_name("k", k)).eqNullSafe(F.col(col_name("t", k))))
+            df = self._with_root(df, k)
         frames = [n for n in names if self._evaluator._has_frames(n)]
         if len(frames) > 1:
             raise ValueError(f"{frames} are DataFrames: ask for one of them at a time")
+        shown = [F.col(col_name("w", k)).alias(k) for k in roots]
         if frames:
+            scalars = [n for n in names if n not in frames]
+            pointer = F.col(col_name("v", frames[0]))
+            many = df.select(*shown, *(self._column(rel, n) for n in scalars), pointer.alias("pointer"))
+            folders = [r.f for r in many.select(F.substring_index("pointer", "#", 1).alias("f")).distinct().limit(files.FANOUT + 1).collect()]
+            if 0 < len(folders) <= files.FANOUT and many.where(~F.contains("pointer", F.lit("#"))).isEmpty():
+                return self._evaluator.beside(many, folders, [*roots, *scalars])
             rows = df.collect()
             if not rows:
                 raise UnsetEntityError(f"{name!r} has no value; unset: {self._unset(rel)}")
-            scalars = [n for n in names if n not in frames]
             given = [
                 {**{k: r[col_name("w", k)] for k in roots}, **{n: maps.decode(r[col_name("c", n)], r[col_name("v", n)]) for n in scalars}}
                 for r in rows
             ]
             return self._evaluator.together([r[col_name("v", frames[0])] for r in rows], given, [*roots, *scalars])
-        return df.select(*(F.col(col_name("w", k)).alias(k) for k in roots), *(self._column(rel, n) for n in names))
+        return df.select(*shown, *(self._column(rel, n) for n in names))
+
+    def _with_root(self, df: DataFrame, k: str) -> DataFrame:
+        """With the value of an entity that the cases vary with, as a column of its own."""
+        d, own, token = self._state.get(k), col_name("w", k), col_name("t", k)
+        if d.function is None and d.group is None:  # unset: no present case has it
+            return df.withColumn(own, F.lit(None).cast("string"))
+        root = self._evaluator.relation(k)
+        if root.is_typed(k):
+            values = root.df.select(F.col(col_name("k", k)).alias(token), F.col(col_name("v", k)).alias(own)).distinct()
+        else:
+            import pyarrow as pa
+
+            rows = {v.token: str(v.value) for v in self._state.groups[d.group].values_of(k)}
+            values = self.spark.createDataFrame(pa.table({"t": list(rows), "w": list(rows.values())})).toDF(token, own)
+        return df.join(values, F.col(col_name("k", k)).eqNullSafe(F.col(token)))
 
     def _unset(self, rel) -> str:
         unset = sorted(k for k in rel.keys if rel.df.where(F.col(col_name("k", k)).isNull()).take(1))

@@ -52,3 +52,15 @@ def gather_agg(rows: Relation, primary: frozenset[str], names: tuple[str, ...],
     df, delta = _grouped(rows, primary, names, [function(columns).alias(col_name("v", into))])
     df = df.withColumn(col_name("h", into), value_hash(F.col(col_name("v", into)))).withColumn(col_name("c", into), F.lit(None).cast("string"))
     return Relation(df, frozenset(delta), (into,))
+
+
+def gather_keys_of_stream(rows: Relation, primary: frozenset[str], names: tuple[str, ...], into: str) -> Relation:
+    """One row per group with a hash of its present cases that is the same in any order; partial sums, and no list of them."""
+    there = ~missing(primary)
+    content = F.when(there, F.xxhash64(*(col_name("h", n) for n in names)))
+    sums = [F.count(content).alias("n"), F.bit_xor(content).alias("x"), F.sum(content.cast("decimal(38,0)")).alias("s")]
+    df, delta = _grouped(rows, primary, names, sums)
+    digest = F.sha2(F.concat_ws("|", *(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("n", "x", "s"))), 256)
+    nothing = F.lit(None).cast("string")
+    df = df.select(*(col_name("k", k) for k in delta), digest.alias(col_name("h", into)), nothing.alias(col_name("v", into)), nothing.alias(col_name("c", into)))
+    return Relation(df, frozenset(delta), (into,))

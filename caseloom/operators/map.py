@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import itertools
+from collections.abc import Callable, Iterator
 from typing import Any
 
-from pyspark.sql import Column
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..codecs import DEFAULT, Codec, content_hash, load_as
 from ..descriptors import Group, Name, Node
@@ -62,32 +65,108 @@ def encoded(output: Node, codecs: dict[str, Codec], got: Any) -> list[tuple[str,
     return out
 
 
-def python_map(
+def caller(
     function: Callable,
     args: list[tuple[str, Node]],
+    values: list[str],
     frames: dict[str, tuple[str, ...]],
     output: Node,
     codecs: dict[str, Codec],
     describe: str,
-) -> Column:
-    """A column of one struct (codec, bytes, hash) per output.  One call per case, in the tasks of the case relation."""
-    values = [n for n in dict.fromkeys(e for _, node in args for e in node.entities()) if n not in frames]
-    n_out = len(output.entities())
+) -> Callable:
+    """A function of (value, codec) for each of ``values`` and of the gathered rows for each of ``frames``; gives a tuple of (codec, bytes, hash)."""
 
     def call(*given):
         known = {n: decode(given[2 * k + 1], given[2 * k]) for k, n in enumerate(values)}
         for k, (into, names) in enumerate(frames.items()):
             known[into] = gathered_frame(given[2 * len(values) + k], names)
-        try:
-            got = function(**{arg: argument(node, known) for arg, node in args})
-        except Exception as e:
-            raise RuntimeError(f"EntityComputationError: error while computing {describe}: {type(e).__name__}: {e}") from e
-        return tuple(encoded(output, codecs, got))
-
-    schema = T.StructType([T.StructField(f"o{k}", RESULT) for k in range(n_out)])
-    columns = [c for n in values for c in (F.col(col_name("v", n)), F.col(col_name("c", n)))] + [F.col(col_name("v", i)) for i in frames]
+        return called(function, args, known, output, codecs, describe)
+
+    return call
+
+
+def called(function: Callable, args: list[tuple[str, Node]], known: dict[str, Any], output: Node, codecs: dict[str, Codec], describe: str) -> tuple:
+    try:
+        got = function(**{arg: argument(node, known) for arg, node in args})
+    except Exception as e:
+        raise RuntimeError(f"EntityComputationError: error while computing {describe}: {type(e).__name__}: {e}") from e
+    return tuple(encoded(output, codecs, got))
+
+
+def result_schema(output: Node) -> T.StructType:
+    return T.StructType([T.StructField(f"o{k}", RESULT) for k in range(len(output.entities()))])
+
+
+def arrow_results(got: list[tuple], schema: T.StructType) -> list[pa.Array]:
+    """An Arrow column for each output of calls' results."""
+    names = RESULT.names
+    return [pa.array([dict(zip(names, one[k])) for one in got], f.type) for k, f in enumerate(to_arrow_schema(schema))]
+
+
+def python_map(
+    function: Callable,
+    args: list[tuple[str, Node]],
+    frames: dict[str, tuple[str, ...]],
+    output: Node,
+    codecs: dict[str, Codec],
+    describe: str,
+) -> Column:
+    """A column of one struct (codec, bytes, hash) per output.  One call per case, in the tasks of the case relation."""
+    values = value_names(args, frames)
+    call = caller(function, args, values, frames, output, codecs, describe)
+    columns = [F.col(c) for c in inputs(values, frames)]
     # Cases go to Python and back in Arrow batches; not to be called again where the optimizer would repeat an expression.
-    return F.udf(call, schema, useArrow=True).asNondeterministic()(*(columns or [F.lit(0), F.lit(None).cast("string")][:0]))
+    return F.udf(call, result_schema(output), useArrow=True).asNondeterministic()(*columns)
+
+
+def value_names(args: list[tuple[str, Node]], frames) -> list[str]:
+    return [n for n in dict.fromkeys(e for _, node in args for e in node.entities()) if n not in frames]
+
+
+def inputs(values: list[str], frames) -> list[str]:
+    return [c for n in values for c in (col_name("v", n), col_name("c", n))] + [col_name("v", i) for i in frames]
+
+
+def profiled_map(rows: DataFrame, function: Callable, args: list[tuple[str, Node]], frames: dict, output: Node, codecs: dict, describe: str, profile) -> DataFrame:
+    """As ``python_map``, in a stage that has a resource profile of its own."""
+    values, given = value_names(args, frames), inputs(value_names(args, frames), frames)
+    call, made = caller(function, args, values, frames, output, codecs, describe), result_schema(output)
+    schema = T.StructType([*rows.schema, *made])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns = [batch.column(c).to_pylist() for c in given]
+            got = [call(*one) for one in (zip(*columns) if columns else [()] * batch.num_rows)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *arrow_results(got, made)], names=schema.names)
+
+    return rows.mapInArrow(run, schema, profile=profile)
+
+
+def streamed_map(members: DataFrame, function: Callable, args: list[tuple[str, Node]], into: str, names: tuple[str, ...], output: Node, codecs: dict, describe: str) -> DataFrame:
+    """One call for each ``p``: the group's rows come in Arrow batches, and each becomes a pandas frame when the function asks for it.
+
+    A row that is not ``there`` only says that its group is.
+    """
+    values = value_names(args, (into,))
+    made = result_schema(output)
+    schema = T.StructType([T.StructField("p", T.StringType()), *made])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first = next(batches)
+
+        def frames():
+            for batch in itertools.chain([first], batches):
+                rows = [r for r in batch.to_pylist() if r["there"]]
+                if rows:
+                    yield gathered_frame(rows, names)
+
+        own = {n: decode(first.column(col_name("c", n))[0].as_py(), first.column(col_name("v", n))[0].as_py()) for n in values}
+        got = called(function, args, {**own, into: frames()}, output, codecs, describe)
+        for _ in batches:  # what the function did not ask for
+            pass
+        yield pa.RecordBatch.from_arrays([first.column("p").slice(0, 1), *arrow_results([got], made)], names=schema.names)
+
+    return members.groupBy("p").applyInArrow(run, schema)
 
 
 def expression_map(function: Callable, args: list[tuple[str, Node]]) -> Column:

@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import _parse_datatype_string
 
+from ..codecs import DEFAULT
 from ..values import FixedValue, spark_type
 from .relation import Relation, col_name
 
@@ -42,7 +43,7 @@ def fixed_relation(
     elif kind:
         held, codecs = [None if v is None else v.value for v in own], [None] * len(own)
     else:
-        held, codecs = [None if v is None else v.data for v in own], [v and v.codec for v in own]
+        held, codecs = [None if v is None else DEFAULT.encode(v.value)[1] if v.data is None else v.data for v in own], [v and v.codec for v in own]
     columns = [*([tokens[k] for tokens, _ in rows] for k in range(len(keys))), [v and v.token for v in own], held, codecs]
     names = [*(col_name("k", k) for k in keys), col_name("h", name), col_name("v", name), col_name("c", name)]
     texts = [T.StringType()] * len(keys) + [T.StringType(), v_type, T.StringType()]

@@ -12,10 +12,11 @@ from __future__ import annotations
 
 import logging
 import re
+import weakref
 from collections.abc import Iterator
 from concurrent.futures import ThreadPoolExecutor
 from contextlib import contextmanager
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from functools import reduce
 from typing import Any
 
@@ -28,15 +29,17 @@ from pyspark.sql.types import _parse_datatype_string
 from ..catalog import Function, State
 from ..codecs import DEFAULT, content_hash
 from ..descriptors import Name, Node
-from ..errors import CodeVersioningError, EntityComputationError, EntitySerializationError, EntityValueError
+from ..errors import CodeVersioningError, EntityComputationError, EntitySerializationError, EntityValueError, UnsetEntityError
 from ..functions.fingerprint import fingerprint, row_hash, value_hash
 from ..operators import map as maps
-from ..operators.gather import gather_agg, gather_frame
+from ..operators.gather import gather_agg, gather_frame, gather_keys_of_stream
 from ..operators.join import join_all
 from ..operators.relation import Relation, col_name, missing
 from ..operators.source import fixed_relation
-from ..values import spark_type
+from ..values import FileSource, spark_type
 from .code import code_hash
+from .resources import stage_profile
+from .states import States
 from .store import CASE, Store, provenance
 
 log = logging.getLogger("caseloom")
@@ -65,6 +68,7 @@ class Evaluator:
     settings: Settings
     relations: dict[str, Relation] = field(default_factory=dict)
     frames: dict[str, DataFrame] = field(default_factory=dict)
+    sources: dict[str, FileSource] = field(default_factory=dict)
     kept: list[DataFrame] = field(default_factory=list)
     brief: list[tuple[str, DataFrame]] = field(default_factory=list)
 
@@ -80,7 +84,7 @@ class Evaluator:
             return frozenset(self.state.groups[gid].names) if gid is not None else frozenset({name})
         f, path = d.function, (*path, name)
         gathered = set()
-        keys: set[str] = set()
+        keys: set[str] = set(f.outputs) if f.notes.kind == "cases" else set()
         for g in f.gathers:
             over = frozenset().union(*(self.keys_of(n, path) for n in g.over))
             also = frozenset().union(*(self.keys_of(n, path) for n in g.also))
@@ -122,18 +126,22 @@ class Evaluator:
         for _, v in rows:
             if v is not None and v.codec == "frame":
                 self.frames[f"fixed:{name}:{v.token}"] = v.value
+                if v.source is not None:
+                    self.sources[f"fixed:{name}:{v.token}"] = v.source
         return fixed_relation(self.spark, name, names, rows, self.settings.store.cases if self.settings.store.roots else None)
 
     def _derived(self, f: Function) -> Relation:
         into = {g.into: (*g.over, *(n for n in g.also if n not in g.over)) for g in f.gathers}
         if f.notes.kind == "agg":
             return self._aggregate(f)
+        if f.notes.kind == "cases":
+            return self._cases(f)
         parts = []
         for g in f.gathers:
             names = into[g.into]
             rows = join_all(self.spark, [self.relation(n) for n in names])
             primary = frozenset().union(*(self.relation(n).keys for n in g.over))
-            parts.append(gather_frame(rows, primary, names, g.into))
+            parts.append((gather_keys_of_stream if f.notes.kind == "streamed" else gather_frame)(rows, primary, names, g.into))
         own = dict.fromkeys([*(e for _, node in f.args for e in node.entities() if e not in into), *f.notes.lifts])
         parts += [self.relation(n) for n in own]
         joined = join_all(self.spark, parts)
@@ -146,7 +154,10 @@ class Evaluator:
         keys = [col_name("k", k) for k in sorted(joined.keys)]
         if f.notes.kind == "lifted":
             compute = lambda rows: self._lifted(f, rows)
-        elif f.notes.kind == "frame" or frames_in:
+        elif f.notes.kind == "streamed":
+            (g,) = f.gathers
+            compute = lambda todo: self._streamed(f, g.into, into[g.into], rows, primary, todo)
+        elif f.notes.kind in ("frame", "rollup") or frames_in:
             compute = lambda rows: self._on_driver(f, into, rows)
         elif f.notes.kind == "expr":
             compute = lambda rows: self._expression(f, rows)
@@ -185,7 +196,7 @@ class Evaluator:
         if d.function is None:
             values = self.state.groups[d.group].values_of(name) if d.group is not None else ()
             return any(v.codec == "frame" for v in values)
-        return d.function.notes.kind in ("frame", "lifted") or name in self._frame_results
+        return d.function.notes.kind in FRAME_KINDS or name in self._frame_results
 
     @property
     def _frame_results(self) -> set[str]:
@@ -268,7 +279,7 @@ class Evaluator:
 
     def _schema(self, f: Function, computed: T.StructType | None) -> T.StructType:
         kind = lambda k: maps.RESULT if computed is None else computed[f"o{k}"].dataType
-        if f.notes.kind in ("frame", "lifted") or self._frame_results & set(f.outputs):
+        if f.notes.kind in FRAME_KINDS or self._frame_results & set(f.outputs):
             kind = lambda k: FRAME_RESULT
         return T.StructType(
             [
@@ -298,15 +309,54 @@ class Evaluator:
     def _codecs(self, f: Function) -> dict:
         return {n: self.state.entities[n].codec if n in self.state.entities else DEFAULT for n in f.outputs}
 
-    def _in_tasks(self, f: Function, into: dict, rows: DataFrame) -> DataFrame:
-        function = f.call
+    @staticmethod
+    def _function(f: Function):
+        """What is called: a plotting function gives its figure."""
         if f.notes.pyplot:
             from ..sources.figures import drawn
 
-            function = drawn(f.call, f.notes.pyplot)
-        got = maps.python_map(function, list(f.args), into, f.output, self._codecs(f), str(f.output))
+            return drawn(f.call, f.notes.pyplot)
+        return f.call
+
+    def _in_tasks(self, f: Function, into: dict, rows: DataFrame) -> DataFrame:
+        given = (self._function(f), list(f.args), into, f.output, self._codecs(f), str(f.output))
+        if profile := stage_profile(self.spark, dict(f.notes.resources or ())):
+            return maps.profiled_map(rows, *given, profile)
+        got = maps.python_map(*given)
         return rows.withColumn("got", got).select("*", *(F.col(f"got.o{k}").alias(f"o{k}") for k in range(len(f.outputs))))
 
+    def _streamed(self, f: Function, into: str, names: tuple[str, ...], rows: Relation, primary: frozenset[str], todo: DataFrame) -> DataFrame:
+        """The members of the groups that are asked for, dealt by group."""
+        delta = [col_name("k", k) for k in sorted(rows.keys - primary)]
+        values = [c for n in maps.value_names(f.args, (into,)) for c in (col_name("v", n), col_name("c", n))]
+        own = [c for n in names for c in (col_name("v", n), col_name("c", n))]
+        members = rows.df.select(*(F.col(c).alias(f"m_{c}") for c in delta), *(F.col(c).alias(f"m_{c}") for c in own), (~missing(primary)).alias("there"))
+        wanted = todo.select(*delta, "p", *values)
+        joined = members.join(wanted, [F.col(f"m_{c}").eqNullSafe(F.col(c)) for c in delta]) if delta else members.crossJoin(wanted)
+        joined = joined.select("p", "there", *values, *(F.col(f"m_{c}").alias(c) for c in own if c not in values))
+        made = maps.streamed_map(joined, self._function(f), list(f.args), into, names, f.output, self._codecs(f), str(f.output))
+        return todo.join(made, "p")
+
+    def _cases(self, f: Function) -> Relation:
+        """Cases that a function made of data.  Its DataFrame is stored as others are, and stays one: no case is listed on the driver."""
+        inner = replace(f, output=Name("-".join(("cases", *f.outputs))), notes=replace(f.notes, kind="frame"))
+        made = self._derived(inner)
+        (name,) = inner.outputs
+        found = made.df.where(~missing(made.keys)).collect()  # one for each case of the function's arguments
+        keys = [col_name("k", k) for k in sorted(made.keys)]
+        if not found:
+            raise UnsetEntityError(f"cases of {', '.join(f.outputs)} need a value of each argument")
+        rows = self.together([r[col_name("v", name)] for r in found], [{k: r[k] for k in keys} for r in found], keys)
+        if wrong := [n for n in f.outputs if n not in rows.columns or rows.schema[n].dataType.typeName() == "binary"]:
+            raise EntityComputationError(f"error while computing {f.output}: the cases have no columns {wrong}, or binary ones")
+        rows = rows.select(*keys, *f.outputs).distinct()
+        own = [
+            c
+            for n in f.outputs
+            for c in (value_hash(F.col(n)).alias(col_name("k", n)), value_hash(F.col(n)).alias(col_name("h", n)), F.col(n).alias(col_name("v", n)), F.lit(None).cast("string").alias(col_name("c", n)))
+        ]
+        return Relation(rows.select(*keys, *own), made.keys | set(f.outputs), f.outputs)
+
     def _expression(self, f: Function, rows: DataFrame) -> DataFrame:
         value = maps.expression_map(f.call, list(f.args))
         values = [value] if isinstance(f.output, Name) else [v for _, v in maps.leaves(f.output, value)]
@@ -340,6 +390,15 @@ class Evaluator:
         made = {n: self.together([r[col_name("v", n)] for r in items], rows, scalars) for n in frames}
         return made if len(made) > 1 else made[frames[0]]
 
+    def beside(self, cases: DataFrame, folders: list[str], scalars: list[str]) -> DataFrame:
+        """The rows of the DataFrames that ``pointer`` names in a few folders of many cases each, with the scalars of their case; a join for each folder."""
+        parts = []
+        for folder in folders:
+            own = cases.where(F.substring_index("pointer", "#", 1) == folder).withColumn(CASE, F.substring_index("pointer", "#", -1)).drop("pointer")
+            rows = self.spark.read.parquet(self.settings.store.locate(folder))
+            parts.append(rows.drop(*scalars).join(own, CASE).drop(CASE))
+        return reduce(lambda a, b: a.unionByName(b), parts)
+
     def together(self, pointers: list[str], rows: list[dict[str, Any]], scalars: list[str]) -> DataFrame:
         """The rows of DataFrames, each with the scalars of its case as columns; what one write stored is one scan."""
         kinds = {n: spark_type([r[n] for r in rows if r[n] is not None]) for n in scalars}
@@ -404,7 +463,7 @@ class Evaluator:
 
         Cases do not depend on one another, so ``AT_ONCE`` of them are given to Spark together.
         """
-        cases = rows.collect()
+        cases, function = rows.collect(), self._function(f)
         if len(cases) > MANY_CASES:
             log.warning("%s has %d cases, each a plan of its own", self._table(f), len(cases))
         store = self.settings.store
@@ -416,8 +475,11 @@ class Evaluator:
                 for e in node.entities():
                     value = case[col_name("v", e)]
                     known[e] = self._gathered(value, into[e]) if e in into else self._value(case[col_name("c", e)], value)
+            call = function
+            if f.notes.kind == "rollup":
+                call = lambda **given: self._rolled_up(f, case, given)
             try:
-                got = f.call(**{a: maps.argument(node, known) for a, node in f.args})
+                got = call(**{a: maps.argument(node, known) for a, node in f.args})
             except Exception as e:
                 raise EntityComputationError(f"error while computing {f.output}: {type(e).__name__}: {e}") from e
             done = []
@@ -443,20 +505,35 @@ class Evaluator:
         with ThreadPoolExecutor(max(1, min(AT_ONCE, len(cases)))) as pool:
             # Each thread has the request's local properties.
             out = [w.result() for w in [pool.submit(inheritable_thread_target(one), case) for case in cases]]
-        is_frame = bool(self._frame_results & set(f.outputs)) or f.notes.kind == "frame"
+        is_frame = bool(self._frame_results & set(f.outputs)) or f.notes.kind in FRAME_KINDS
         kind = FRAME_RESULT if is_frame else maps.RESULT
         schema = T.StructType([T.StructField("p", T.StringType()), *(T.StructField(f"o{k}", kind) for k in range(len(f.outputs)))])
         return self.spark.createDataFrame(out, schema).join(rows.drop(*(f"o{k}" for k in range(len(f.outputs)))), "p")
 
+    def _rolled_up(self, f: Function, case, given: dict[str, Any]) -> DataFrame:
+        """States of a ``FileSource``: those kept of the files that are still there, and new ones of the files that are not among these."""
+        sources = {e: self.sources[case[col_name("v", e)]] for _, node in f.args for e in node.entities() if case[col_name("v", e)] in self.sources}
+        if len(sources) != 1 or not self.settings.store.roots:
+            raise EntityComputationError(f"{f.output}: a rollup takes one FileSource, and is stored")
+        ((entity, source),) = sources.items()
+        rest = [f"{e}={case[col_name('h', e)]}" for _, node in f.args for e in node.entities() if e != entity]
+        key = content_hash("rollup", "|".join([self._identity(f), source.path, *sorted(rest)]).encode())[:32]
+        by, merges = f.notes.merges
+        (argument,) = (a for a, node in f.args if node == Name(entity))
+        return States(self.settings.store, f"{self._table(f)}/{key}").merged(source, lambda df: f.call(**{**given, argument: df}), list(by), dict(merges))
+
     # --- ends
 
-    def end_request(self) -> None:
-        """Frees what was kept for one request only, and the relations built on it."""
-        for _, df in self.brief:
-            df.unpersist()
-        if self.brief:
+    def end_request(self, out: DataFrame | None = None) -> None:
+        """Frees what was kept for one request only, and the relations built on it; with ``out``, as soon as nobody holds that any more."""
+        held = [df for _, df in self.brief]
+        if held:
             self.relations.clear()
             self.brief.clear()
+        if out is not None and held:
+            weakref.finalize(out, _unpersist, held).atexit = False
+        else:
+            _unpersist(held)
 
     def release(self) -> None:
         """Gives back what is kept in executor memory."""
@@ -478,4 +555,13 @@ class Evaluator:
         )
 
 
+def _unpersist(frames: list[DataFrame]) -> None:
+    for df in frames:
+        try:
+            df.unpersist()
+        except Exception:  # the session may have ended before the last reference
+            log.debug("a cached frame could not be given back", exc_info=True)
+
+
+FRAME_KINDS = ("frame", "lifted", "rollup")
 FRAME_RESULT = T.StructType([T.StructField("c", T.StringType()), T.StructField("v", T.StringType()), T.StructField("h", T.StringType())])
