@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -13,7 +14,9 @@ from .plans.store import work_folder
 
 SEGMENTS = ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]
 STATUSES = ["F", "O"]
-MEASURES = {"width": [2, 3], "depth": [5, 7], "height": [10, 20], "stock": [1, 4]}
+PRIORITIES = ["1-URGENT", "2-HIGH", "3-MEDIUM", "5-LOW", "no such priority"]
+#: Four measures, each with the values that a column of a table has.
+MEASURES = {"width": ("lineitem", "l_linenumber"), "depth": ("part", "p_size"), "height": ("customer", "c_nationkey"), "stock": ("supplier", "s_nationkey")}
 
 
 def builder(spark: SparkSession, name: str) -> cl.FlowBuilder:
@@ -27,29 +30,46 @@ def source(b: cl.FlowBuilder, spark: SparkSession, sf_dir: str, table: str) -> N
     b.assign(table, cl.FrameSource(spark.read.parquet(f"{sf_dir}/{table}.parquet"), version=f"{sf_dir}/{table}"))
 
 
+def cases_of(b: cl.FlowBuilder, spark: SparkSession, sf_dir: str, name: str, table: str, column: str) -> None:
+    """An entity with a case for each different value of a table's column."""
+    if table not in b.build().all_entity_names():
+        source(b, spark, sf_dir, table)
+    b(cl.output(name)(cl.cases(cl.accepts(rows=table)(lambda rows: rows.select(F.col(column).alias(name))))))
+
+
 def fixed_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Values given in the program, each with what the table has of it; a value that it lacks is a case without rows."""
     b = builder(spark, "fixed")
-    b.assign("x", values=[1, 2, 3])
-    return b.build().frame("x")
+    source(b, spark, sf_dir, "orders")
+    b.assign("priority", values=PRIORITIES)
+
+    @b
+    @cl.lifted("priority")
+    def of_priority(cases, orders):
+        counted = orders.groupBy(F.col("o_orderpriority").alias("priority")).agg(F.count("*").alias("n_orders"))
+        return cases.join(counted, "priority").select("case_id", "n_orders")
+
+    return b.build().frame("of_priority")
 
 
 def derive_map(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A Python function of each supplier's key."""
     b = builder(spark, "map")
-    b.assign("x", values=[1, 2, 3])
+    cases_of(b, spark, sf_dir, "supplier_key", "supplier", "s_suppkey")
 
     @b
     @cl.typed("long")
-    def power(x):
-        return x**5
+    def digits(supplier_key):
+        return sum(map(int, str(supplier_key)))
 
-    return b.build().frame("power")
+    return b.build().frame("digits")
 
 
-def boxes(spark: SparkSession, name: str) -> cl.FlowBuilder:
-    """Four measures of two values each, and products of neighbouring ones."""
+def boxes(spark: SparkSession, sf_dir: str, name: str) -> cl.FlowBuilder:
+    """Four measures, and products of neighbouring ones."""
     b = builder(spark, name)
-    for measure, values in MEASURES.items():
-        b.assign(measure, values=values)
+    for measure, (table, column) in MEASURES.items():
+        cases_of(b, spark, sf_dir, measure, table, column)
 
     @b
     @cl.expr
@@ -70,11 +90,11 @@ def boxes(spark: SparkSession, name: str) -> cl.FlowBuilder:
 
 
 def derive_cartesian(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return boxes(spark, "cartesian").build().frame("ground")
+    return boxes(spark, sf_dir, "cartesian").build().frame("ground")
 
 
 def derive_shared_ancestor(spark: SparkSession, sf_dir: str) -> DataFrame:
-    b = boxes(spark, "ancestor")
+    b = boxes(spark, sf_dir, "ancestor")
 
     @b
     @cl.expr
@@ -84,24 +104,32 @@ def derive_shared_ancestor(spark: SparkSession, sf_dir: str) -> DataFrame:
     return b.build().frame("surface")
 
 
+#: Cases of two entities with a third one's value: a segment, an order's status, the least price that counts.
+LEAST = [("BUILDING", "F", 100_000), ("BUILDING", "O", 20_000), ("MACHINERY", "F", 0)]
+
+
 def case_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = builder(spark, "cases")
-    for n in ("crop", "month", "tons"):
+    source(b, spark, sf_dir, "orders")
+    source(b, spark, sf_dir, "customer")
+    for n in ("segment", "status", "least"):
         b.declare(n)
-    b.add_case("crop", "beet", "month", 9).then_set("tons", 40)
-    b.add_case("month", 9, "crop", "maize").then_set("tons", 11)
-    b.add_case("crop", "beet", "month", 10).then_set("tons", 25)
+    for segment, status, least in LEAST:
+        b.add_case("segment", segment, "status", status).then_set("least", least)
+    b.add_case("segment", "HOUSEHOLD", "status", "F")  # no least price: nothing is computed for it
 
     @b
-    @cl.expr
-    def harvest(crop, month, tons):
-        return F.concat_ws("/", crop, month, tons)
+    @cl.lifted("segment", "status", "least")
+    def large(cases, orders, customer):
+        joined = orders.join(customer, F.col("o_custkey") == F.col("c_custkey"))
+        kept = joined.join(cases, (F.col("c_mktsegment") == F.col("segment")) & (F.col("o_orderstatus") == F.col("status")) & (F.col("o_totalprice") >= F.col("least")))
+        return kept.groupBy("case_id").agg(F.count("*").alias("n_large"))
 
-    return b.build().frame("harvest")
+    return b.build().frame("large")
 
 
 def missing_inner(spark: SparkSession, sf_dir: str) -> DataFrame:
-    b = boxes(spark, "missing")
+    b = boxes(spark, sf_dir, "missing")
     b.clear_cases("depth")
 
     @b
@@ -117,8 +145,8 @@ def told(frame) -> str:
     return " ".join(":".join(map(str, r)) for r in sorted(frame.itertuples(index=False, name=None)))
 
 
-def gathered(spark: SparkSession, name: str, over, also=None, unset: str | None = None) -> DataFrame:
-    b = boxes(spark, name)
+def gathered(spark: SparkSession, sf_dir: str, name: str, over, also=None, unset: str | None = None) -> DataFrame:
+    b = boxes(spark, sf_dir, name)
     if unset:
         b.clear_cases(unset)
 
@@ -133,19 +161,19 @@ def gathered(spark: SparkSession, name: str, over, also=None, unset: str | None
 
 
 def gather_over(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return gathered(spark, "over", "depth")
+    return gathered(spark, sf_dir, "over", "depth")
 
 
 def gather_over_also(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return gathered(spark, "overalso", "width", ["ground", "depth"])
+    return gathered(spark, sf_dir, "overalso", "width", ["ground", "depth"])
 
 
 def gather_missing_empty(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return gathered(spark, "empty", "width", "depth", unset="width")
+    return gathered(spark, sf_dir, "empty", "width", "depth", unset="width")
 
 
 def gather_passthrough(spark: SparkSession, sf_dir: str) -> DataFrame:
-    b = boxes(spark, "pass")
+    b = boxes(spark, sf_dir, "pass")
 
     @b
     @cl.typed("string")
@@ -157,7 +185,7 @@ def gather_passthrough(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def gather_stacked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    b = boxes(spark, "stacked")
+    b = boxes(spark, sf_dir, "stacked")
 
     @b
     @cl.typed("string")
@@ -169,9 +197,38 @@ def gather_stacked(spark: SparkSession, sf_dir: str) -> DataFrame:
     return b.build().frame("listing")
 
 
+def gather_streamed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All events as one group, which its function reads batch by batch."""
+    b = builder(spark, "streamed")
+    source(b, spark, sf_dir, "events")
+
+    @b
+    @cl.cases
+    @cl.outputs("user", "event")
+    def _(events):
+        return events.select(F.col("user_id").alias("user"), F.col("event_id").alias("event"))
+
+    @b
+    @cl.expr
+    def kind(user, event):
+        return event % 7 + user % 2
+
+    @b
+    @cl.typed("string")
+    @cl.streamed
+    @cl.gather("event", "kind")
+    def sizes(gather_df):
+        n = total = 0
+        for part in gather_df:
+            n, total = n + len(part), total + int(part["kind"].sum())
+        return f"{n} events, {total}"
+
+    return b.build().frame("sizes")
+
+
 def tuple_outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = builder(spark, "tuples")
-    b.assign("x", values=[2, 3])
+    cases_of(b, spark, sf_dir, "x", "supplier", "s_suppkey")
     b.assign("y", 4)
 
     @b
@@ -183,6 +240,67 @@ def tuple_outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return b.build().frame("total, product, less")
 
 
+def cases_of_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One case for each nation and segment of the customers: the keys are a DataFrame, and one plan serves all of them."""
+    b = builder(spark, "nations")
+    source(b, spark, sf_dir, "customer")
+    source(b, spark, sf_dir, "orders")
+
+    @b
+    @cl.cases
+    @cl.outputs("nation", "segment")
+    def _(customer):
+        return customer.select(F.col("c_nationkey").alias("nation"), F.col("c_mktsegment").alias("segment"))
+
+    @b
+    @cl.lifted("nation", "segment")
+    def spent(cases, customer, orders):
+        sums = orders.join(customer, F.col("o_custkey") == F.col("c_custkey")).groupBy(F.col("c_nationkey").alias("nation"), F.col("c_mktsegment").alias("segment"))
+        sums = sums.agg(F.sum(F.col("o_totalprice").cast("decimal(18,2)")).cast("double").alias("price"))
+        return cases.join(sums, ["nation", "segment"]).select("case_id", "price")
+
+    return b.build().frame("spent")
+
+
+def cases_of_users(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One case for each user of the events, with two functions of it."""
+    b = builder(spark, "users")
+    source(b, spark, sf_dir, "events")
+    cases_of(b, spark, sf_dir, "user", "events", "user_id")
+
+    @b
+    @cl.lifted("user")
+    def kinds(cases, events):
+        counted = events.groupBy(F.col("user_id").alias("user")).agg(F.count("*").alias("n_events"), F.countDistinct("event_type").alias("n_kinds"))
+        return cases.join(counted, "user").select("case_id", "n_events", "n_kinds")
+
+    return b.build().frame("kinds")
+
+
+def incremental_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order states by status: the orders of the two lowest priorities are added later, and then only they are read."""
+    b, path = builder(spark, "added"), work_folder(spark, "added-orders")
+    rows = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderstatus", "o_orderpriority", "o_totalprice", "o_custkey")
+    late, out = F.col("o_orderpriority") >= "4", None
+    b.declare("orders")
+
+    @b
+    @cl.rollup(by="status", n_orders="sum", price="sum", largest="max")
+    def by_status(orders):
+        price = F.col("o_totalprice").cast("decimal(18,2)")
+        grouped = orders.groupBy(F.col("o_orderstatus").alias("status"))
+        return grouped.agg(F.count("*").alias("n_orders"), F.sum(price).alias("price"), F.max("o_totalprice").alias("largest"))
+
+    for part in (rows.where(~late), rows.where(late)):
+        part.write.mode("append").parquet(path)
+        b.set("orders", cl.FileSource(spark, path))
+        flow = b.build()
+        out = flow.frame("by_status")
+    batches = flow.cache.states("by_status")
+    last = batches.groupBy("batch").agg(F.sum("n_orders").alias("n_read")).orderBy(F.desc("batch")).limit(1)
+    return out.withColumn("price", F.col("price").cast("double")).crossJoin(F.broadcast(last.select("n_read")))
+
+
 def revenue_flow(spark: SparkSession, sf_dir: str, name: str = "revenue") -> cl.FlowBuilder:
     b = builder(spark, name)
     source(b, spark, sf_dir, "orders")
@@ -254,8 +372,8 @@ def doc_quality_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def gather_aggregate(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = builder(spark, "agg")
-    b.assign("x", values=list(range(1, 101)))
-    b.assign("y", values=[1, 2, 3])
+    cases_of(b, spark, sf_dir, "x", "supplier", "s_suppkey")
+    cases_of(b, spark, sf_dir, "y", "part", "p_size")
 
     @b
     @cl.expr
@@ -281,21 +399,23 @@ def flow_merge_override(spark: SparkSession, sf_dir: str) -> DataFrame:
         return x + 1
 
     other = cl.FlowBuilder("second")
-    other.assign("x", values=[5, 6])
+    cases_of(other, spark, sf_dir, "x", "supplier", "s_suppkey")
     b.merge(other.build(), keep="new")
     return b.build().frame("y")
 
 
 def setting_override(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = builder(spark, "setting")
-    b.assign("x", 2)
+    source(b, spark, sf_dir, "lineitem")
+    b.assign("most", 2)
 
     @b
-    @cl.typed("long")
-    def y(x):
-        return x + 1
+    @cl.lifted("most")
+    def small(cases, lineitem):
+        counted = lineitem.groupBy("l_quantity").agg(F.count("*").alias("n"))
+        return counted.join(cases, F.col("l_quantity") <= F.col("most")).groupBy("case_id").agg(F.sum("n").alias("n_small"))
 
-    return b.build().setting("x", values=[10, 20]).frame("y")
+    return b.build().setting("most", values=[10, 20]).frame("small")
 
 
 def cache_warm_equals_cold(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -311,19 +431,26 @@ def cache_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def dag_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return revenue_flow(spark, sf_dir, "dag").build().dag()[1]
+    """The edges of a flow, with the rows that the source of each has over all its cases."""
+    flow = revenue_flow(spark, sf_dir, "dag").build()
+    edges = flow.dag()[1]
+    sizes = [flow.frame(r.source).agg(F.lit(r.source).alias("source"), F.count("*").alias("n_rows")) for r in edges.select("source").distinct().collect()]
+    return edges.join(reduce(DataFrame.unionByName, sizes), "source")
 
 
-_BOXES = ", ".join(f"{n}({n}) as (select cast(v as bigint) from (values {', '.join(f'({v})' for v in own)}) t(v))" for n, own in MEASURES.items())
+_BOXES = ", ".join(f"{n}({n}) as (select distinct {column} from {table})" for n, (table, column) in MEASURES.items())
+_KEYS = "(select distinct s_suppkey from supplier) t(x)"
 _REVENUE = """select c_mktsegment as segment, cast(sum(cast(o_totalprice as decimal(18,2))) as double) as price, count(*) as n_orders
 from orders join customer on o_custkey = c_custkey where o_orderstatus in ('F', 'O') group by 1"""
 
 SQL = {
-    "fixed_values": "select cast(x as bigint) as x from (values (1), (2), (3)) t(x)",
-    "derive_map": "select cast(x as bigint) as x, cast(x * x * x * x * x as bigint) as power from (values (1), (2), (3)) t(x)",
+    "fixed_values": f"""select o_orderpriority as priority, count(*) as n_orders from orders where o_orderpriority in ({', '.join(f"'{x}'" for x in PRIORITIES)}) group by 1""",
+    "derive_map": """select s_suppkey as supplier_key, cast(list_sum(list_transform(string_split(cast(s_suppkey as varchar), ''), lambda c: cast(c as bigint))) as bigint) as digits
+        from (select distinct s_suppkey from supplier)""",
     "derive_cartesian": f"with {_BOXES} select width, depth, width * depth as ground from width, depth",
     "derive_shared_ancestor": f"with {_BOXES} select width, depth, height, 2 * width * depth + depth * height as surface from width, depth, height",
-    "case_table": "select crop, cast(month as bigint) as month, harvest from (values ('beet', 9, 'beet/9/40'), ('maize', 9, 'maize/9/11'), ('beet', 10, 'beet/10/25')) t(crop, month, harvest)",
+    "case_table": f"""select segment, status, cast(least as bigint) as least, count(*) as n_large from orders join customer on o_custkey = c_custkey
+        join (values {', '.join(map(str, LEAST))}) t(segment, status, least) on c_mktsegment = segment and o_orderstatus = status and o_totalprice >= least group by all""",
     "missing_inner": f"with {_BOXES} select depth, height, width, depth as surface from width, depth, height where false",
     "gather_over": f"with {_BOXES} select string_agg(depth, ' ' order by depth) as listing from depth",
     "gather_over_also": f"""with {_BOXES} select depth, string_agg(width || ':' || width * depth || ':' || depth, ' ' order by width) as listing
@@ -333,7 +460,13 @@ SQL = {
         from width, depth, height group by depth, height""",
     "gather_stacked": f"""with {_BOXES} select depth, height, cast(height * (select sum(stock) from stock) as bigint) || ' of ' ||
         cast(depth * (select sum(width) from width) as bigint) as listing from depth, height""",
-    "tuple_outputs": "select cast(x as bigint) as x, 4::bigint as y, (x + 4)::bigint as total, (x * 4)::bigint as product, (x - 4)::bigint as less from (values (2), (3)) t(x)",
+    "gather_streamed": """select count(*) || ' events, ' || cast(sum(event_id % 7 + user_id % 2) as bigint) as sizes from events""",
+    "tuple_outputs": f"select x, 4::bigint as y, x + 4 as total, x * 4 as product, x - 4 as less from {_KEYS}",
+    "cases_of_data": """select c_nationkey as nation, c_mktsegment as segment, cast(sum(cast(o_totalprice as decimal(18,2))) as double) as price
+        from orders join customer on o_custkey = c_custkey group by 1, 2""",
+    "cases_of_users": """select user_id as "user", count(*) as n_events, count(distinct event_type) as n_kinds from events group by 1""",
+    "incremental_states": """select o_orderstatus as status, count(*) as n_orders, cast(sum(cast(o_totalprice as decimal(18,2))) as double) as price, max(o_totalprice) as largest,
+        (select count(*) from orders where o_orderpriority >= '4') as n_read from orders group by 1""",
     "param_sweep_revenue": _REVENUE,
     "cache_warm_equals_cold": _REVENUE,
     "events_sessions_by_threshold": """with g as (select date_diff('microsecond', lag(ts) over (partition by user_id order by ts, event_id), ts) // 1000000 as gap from events)
@@ -342,12 +475,15 @@ SQL = {
     "doc_quality_sweep": """select cast(m as bigint) as min_chars, count(*) filter (where n_chars >= m and quality = 1) as true_pos,
         count(*) filter (where n_chars >= m and quality <> 1) as false_pos, count(*) filter (where n_chars < m and quality = 1) as false_neg
         from documents join labels using (doc_id), (values (500), (1000), (2000)) t(m) group by m""",
-    "gather_aggregate": "select cast(y as bigint) as y, cast(5050 * y as bigint) as total from (values (1), (2), (3)) t(y)",
-    "flow_merge_override": "select cast(x as bigint) as x, cast(x + 1 as bigint) as y from (values (5), (6)) t(x)",
-    "setting_override": "select cast(x as bigint) as x, cast(x + 1 as bigint) as y from (values (10), (20)) t(x)",
+    "gather_aggregate": f"select y, cast(y * (select sum(x) from {_KEYS}) as bigint) as total from (select distinct p_size from part) t(y)",
+    "flow_merge_override": f"select x, x + 1 as y from {_KEYS}",
+    "setting_override": "select cast(m as bigint) as most, count(*) as n_small from lineitem join (values (10), (20)) t(m) on l_quantity <= m group by 1",
     "cache_entries": "select 'local' as tier, entity, cast(n as bigint) as n_entries from (values ('revenue', 10), ('by_segment', 1)) t(entity, n)",
-    "dag_edges": """select * from (values ('orders', 'revenue'), ('customer', 'revenue'), ('segment', 'revenue'), ('status', 'revenue'),
-        ('segment', 'by_segment'), ('status', 'by_segment'), ('revenue', 'by_segment')) t(source, target)""",
+    "dag_edges": """with sizes(source, n_rows) as (select 'orders', count(*) from orders union all select 'customer', count(*) from customer
+        union all select 'segment', 5 union all select 'status', 2 union all select 'revenue', count(*) from (
+          select distinct c_mktsegment, o_orderstatus from orders join customer on o_custkey = c_custkey where o_orderstatus in ('F', 'O')))
+        select source, target, n_rows from sizes join (values ('orders', 'revenue'), ('customer', 'revenue'), ('segment', 'revenue'), ('status', 'revenue'),
+        ('segment', 'by_segment'), ('status', 'by_segment'), ('revenue', 'by_segment')) t(source, target) using (source)""",
 }
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import shutil
 import uuid
+from functools import reduce
 from pathlib import Path
 from typing import Any
 
@@ -19,6 +20,8 @@ from .operators import map as maps
 from .operators.relation import col_name, missing
 from .plans.evaluate import Evaluator, Settings
 from .plans import store as files
+from .plans.states import ROOT as STATES
+from .plans.states import States
 from .plans.store import Store, shared_root
 
 
@@ -373,6 +376,12 @@ class Cache:
         """
         return self._store.delete(int(tier == "cloud"), F.lit(True) if which is None else which)
 
+    def states(self, entity: str) -> DataFrame:
+        """The states that a ``rollup`` keeps, with the ``batch`` of files that each was made from."""
+        store = self._store
+        kept = [States(store, f"{entity}/{key}") for key in files.folders(store.spark, store.path(f"{STATES}/{entity}"))]
+        return reduce(DataFrame.unionByName, [s.rows(s.batches()) for s in kept])
+
     def merge(self) -> None:
         """Merges the runs of each table, and removes what earlier merges have replaced."""
         for k in range(len(self._store.roots)):
