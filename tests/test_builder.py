@@ -8,173 +8,140 @@ from caseloom.values import fixed
 from caseloom import protocol
 
 
+# How an orchard's flow may know an entity, and with which other ones it varies or is computed.
+ALONE = ("declared", "one", "several", "derived", "attached")
+TOGETHER = {"pair member": "slope", "output": "crates"}
+NAMES = {"declared": "fruit", "one": "year", "several": "trees", "derived": "harvest", "attached": "yield", "pair member": "soil", "output": "bushels"}
+
+
 @pytest.fixture
-def preset():
-    b = cl.FlowBuilder("preset")
-    b.declare("x")
-    b.assign("y", 1)
-    b.assign("z", values=[2, 3])
-    b.declare("p")
-    b.declare("q")
-    b.add_case("p", 4, "q", 5)
+def orchard():
+    b = cl.FlowBuilder("orchard")
+    for n in ("fruit", "soil", "slope", "yield"):
+        b.declare(n)
+    b.assign("year", 1987)
+    b.assign("trees", values=[120, 80])
+    b.add_case("soil", "loam", "slope", 7)
+    b.add_case("soil", "clay", "slope", 0).then_set("yield", 2.5)
 
     @b
-    def f(x, y):
-        return x + y
+    def harvest(trees, year):
+        return trees * year
 
     @b
-    @cl.outputs("y_plus", "y_plus_plus")
-    def _(y):
-        return y + 1, y + 2
+    @cl.outputs("bushels", "crates")
+    def _(harvest):
+        return harvest // 40, harvest // 12
 
     return b
 
 
 def values(b, name):
     d = b._state.get(name)
-    g = b._state.groups[d.group]
-    return {row[g.names.index(name)].value for row in g.rows}
-
-
-def test_declare_and_assign(preset):
-    for name in ("x", "y", "z", "f"):
-        with pytest.raises(AlreadyDefinedEntityError):
-            preset.declare(name)
-        with pytest.raises(AlreadyDefinedEntityError):
-            preset.assign(name, 1)
-    with pytest.raises(ValueError):
-        preset.assign("new", 1, values=[2])
-    with pytest.raises(ValueError):
-        preset.assign("new")
-    preset.assign("new", values=[1, 2])
-    assert values(preset, "new") == {1, 2}
-    with pytest.raises(IncompatibleEntityError):
-        preset.assign("twice", values=[1, 1])
-    assert "twice" not in preset._state.entities
-
-
-def test_set(preset):
-    for name in ("x", "y", "z", "f"):
-        preset.set(name, values=[5, 6])
-        assert values(preset, name) == {5, 6}
-    with pytest.raises(UndefinedEntityError):
-        preset.set("xxx", 9)
-    with pytest.raises(IncompatibleEntityError):
-        preset.set("p", 1)
-    preset.set("x", values=[])
-    assert preset._state.get("x").is_declared_only
-
-
-def test_add_case(preset):
-    preset.add_case("x", 7)
-    preset.add_case("x", 8)
-    assert values(preset, "x") == {7, 8}
-    preset.add_case("q", 6, "p", 4)
-    assert values(preset, "q") == {5, 6}
-    preset.declare("r")
-    for bad in (("f", 7), ("p", 7), ("p", 4, "q", 6), ("p", 1, "q", 2, "r", 3), ("p", 1, "r", 3), ("x", 1, "y", 2), ("y_plus", 2)):
-        with pytest.raises(IncompatibleEntityError):
-            preset.add_case(*bad)
-    with pytest.raises(UndefinedEntityError):
-        preset.add_case("xxx", 7)
-    with pytest.raises(ValueError):
-        preset.add_case("x")
-
-
-def test_then_set(preset):
-    for n in "abcd":
-        preset.declare(n)
-    preset.add_case("a", 1, "b", 2).then_set("c", 3)
-    case = preset.add_case("d", 1)
-    with pytest.raises(ValueError):
-        case.then_set("c", 1)
-    with pytest.raises(ValueError):
-        case.then_set("a", 1)
-    with pytest.raises(UndefinedEntityError):
-        case.then_set("xxx", 1)
-
-
-def test_clear_and_delete(preset):
-    with pytest.raises(IncompatibleEntityError):
-        preset.clear_cases("p")
-    preset.clear_cases("p", "q")
-    with pytest.raises(IncompatibleEntityError):
-        preset.clear_cases("y_plus")
-    preset.clear_cases("y_plus", "y_plus_plus")
-    preset.clear_cases("f")
-    preset.set("f", 10)
-    preset.delete("z")
-    with pytest.raises(UndefinedEntityError):
-        preset.delete("z")
-
-
-def test_build_checks(preset):
-    preset.build()
-    preset.delete("y")
-    with pytest.raises(UndefinedEntityError):
-        preset.build()
-    b = cl.FlowBuilder("circle")
-    b.declare("one")
-
-    @b
-    def two(one):
-        return one
-
-    @b
-    def one(two):
-        return two
-
+    return [v.value for v in b._state.groups[d.group].values_of(name)] if d.group is not None else None
+
+
+def outcome(act):
+    """The error's type, or None."""
+    try:
+        act()
+    except Exception as e:
+        return type(e)
+    return None
+
+
+@pytest.mark.parametrize("kind", NAMES)
+def test_each_kind_by_the_rule(orchard, kind):
+    """What varies or is computed together stays together; what is derived or attached has no cases of its own."""
+    b, name, apart = orchard, NAMES[kind], kind in ALONE
+    before = b._state
+    assert outcome(lambda: b.declare(name)) == outcome(lambda: b.assign(name, 5)) == AlreadyDefinedEntityError
+    may_have_cases = kind in ("declared", "one", "several")
+    assert outcome(lambda: b.add_case(name, "new")) == (None if may_have_cases else IncompatibleEntityError)
+    if may_have_cases:
+        old = {"declared": [], "one": [1987], "several": [120, 80]}[kind]
+        assert values(b, name) == [*old, "new"]
+        assert outcome(lambda: b.add_case(name, "new")) == IncompatibleEntityError
+        b._state = before
+    case = b.add_case("trees", 9)
+    assert outcome(lambda: case.then_set(name, "x")) == (None if kind == "declared" else IncompatibleEntityError)
+    b._state = before
+    for act in (lambda: b.set(name, "apple"), lambda: b.set(name, values=["apple", "pear"]), lambda: b.clear_cases(name)):
+        assert outcome(act) == (None if apart else IncompatibleEntityError)
+        assert values(b, name) in ([None, ["apple"], ["apple", "pear"]] if apart else [values(b, name)])
+        b._state = before
+    # An output may go alone, a member of a pair of cases may not.
+    assert outcome(lambda: b.delete(name)) == (IncompatibleEntityError if kind == "pair member" else None)
+    b._state = before
+    if not apart:
+        both = (name, TOGETHER[kind])
+        b.clear_cases(*both)
+        assert all(b._state.get(n).is_declared_only for n in both)
+        assert outcome(lambda: b.delete(*both)) is None and not set(both) & set(b._state.entities)
+
+
+def test_unknown_names(orchard):
+    b = orchard
+    case = b.add_case("trees", 3)
+    for act in (lambda: b.set("bark", 1), lambda: b.add_case("bark", 1), lambda: b.delete("bark"), lambda: b.clear_cases("bark"), lambda: case.then_set("bark", 1)):
+        assert outcome(act) == UndefinedEntityError
+
+
+def test_one_value_or_several(orchard):
+    for act in (lambda: orchard.assign("pest"), lambda: orchard.assign("pest", 1, values=[2]), lambda: orchard.set("year"), lambda: orchard.add_case("fruit"), lambda: orchard.add_case()):
+        assert outcome(act) == ValueError
+    assert outcome(lambda: orchard.assign("pest", values=["moth", "moth"])) == IncompatibleEntityError and "pest" not in orchard._state.entities
+    orchard.assign("pest", values=["moth", "mite"])
+    orchard.set("pest", values=[])
+    assert orchard._state.get("pest").is_declared_only
+
+
+def test_cases_name_their_whole_group(orchard):
+    b = orchard
+    b.add_case("slope", 3, "soil", "loam")  # in any order
+    assert values(b, "slope") == [7, 0, 3]
+    for bad in (("soil", "sand"), ("soil", "loam", "slope", 7), ("soil", "sand", "slope", 1, "fruit", "fig"), ("soil", "sand", "fruit", "fig"), ("fruit", "fig", "year", 1999)):
+        assert outcome(lambda bad=bad: b.add_case(*bad)) == IncompatibleEntityError
+    assert outcome(lambda: b.add_case("soil", 1, "soil", 2)) == ValueError
+    again = b.add_case("soil", "sand", "slope", 1)
+    again.then_set("yield", 1.5)
+    assert outcome(lambda: again.then_set("yield", 1.5)) == IncompatibleEntityError
+    assert [v.value for _, v in b._state.get("yield").attached[1]] == [2.5, 1.5]
+
+
+def test_what_is_built_is_whole(orchard):
+    orchard.build()
+    orchard.delete("year")
+    assert outcome(orchard.build) == UndefinedEntityError
+    ring = cl.FlowBuilder("ring")
+    ring(cl.output("seed")(lambda tree: tree))
+    assert outcome(ring.build) == UndefinedEntityError
+    ring(cl.output("tree")(lambda seed: seed))
     with pytest.raises(ValueError, match="circular"):
-        b.build()
+        ring.build()
 
 
-def test_functions(preset):
-    def given(x):
-        return x
+def test_functions_and_their_decorators(orchard):
+    def weight(trees):
+        return trees * 8
 
-    assert preset(given) is given
+    assert orchard(weight) is weight
     with pytest.raises(TypeError):
-        preset(lambda *args: 1)
-    with pytest.raises(ValueError):
-
-        @preset
-        @cl.gather("z", into="df")
-        def g(gather_df):
-            return 1
-
-    with pytest.raises(AttributeValidationError):
-
-        @cl.persist(True)
-        @cl.persist(False)
-        def h():
-            return 1
-
-    with pytest.raises(ValueError):
-
-        @cl.version(1)
-        @cl.version(2)
-        def k():
-            return 1
-
-    with pytest.raises(ValueError):
-
-        @preset
-        @cl.docs("one", "two")
-        def m():
-            return 1
-
+        orchard(lambda *trees: 1)
+    for wrap in (cl.gather("trees", into="rows"), cl.docs("a tree", "a bush")):
+        with pytest.raises(ValueError):
+            orchard(wrap(lambda gather_df: 1))
+    assert outcome(lambda: cl.persist(True)(cl.persist(False)(weight))) == AttributeValidationError
+    assert outcome(lambda: cl.version(1)(cl.version(2)(lambda: 1))) == ValueError
 
-def test_key_spaces(preset):
-    @preset
-    @cl.gather("z", "f")
-    def g(gather_df, y):
-        return 1
 
-    e = preset.build()
+def test_key_spaces(orchard):
+    orchard(cl.output("all_trees")(cl.gather("trees", "harvest")(lambda gather_df, soil: 1)))
+    state = orchard.build()._state
     from caseloom.plans.evaluate import Evaluator
 
-    keys = lambda n: set(Evaluator(None, e._state, None).keys_of(n))
-    assert keys("f") == {"x", "y"} and keys("p") == {"p", "q"} and keys("g") == {"x", "y"}
+    wanted = {"harvest": {"trees", "year"}, "crates": {"trees", "year"}, "soil": {"soil", "slope"}, "yield": {"soil", "slope"}, "all_trees": {"year", "soil", "slope"}, "fruit": {"fruit"}}
+    assert {n: set(Evaluator(None, state, None).keys_of(n)) for n in wanted} == wanted
 
 
 def test_tokens_tell_types_apart():
