@@ -13,9 +13,15 @@ and documents are never shuffled.
 Texts are compared with A-Z lower-cased and white space as spaces; characters
 are code points (those over 255 are folded to a byte for the filter only).
 
+A q-gram that an item has more than ``REPEATS`` times (indents, rules, fillers) is not
+counted: the item's bound and its budget are those of an item without them; so a place in
+a text meets few places of an item, whatever both repeat.  Pairs of places are made
+``PAIRS`` at a time in the order of the text, and bands that the text has passed are
+settled, so memory does not grow with what a text repeats.
+
 Nulls and edge cases: null or empty texts and items match nothing; an item too
-short for the budget gets the largest one with a positive bound, and one
-shorter than q must stand exactly; texts of any length are read whole; repeated
+short for the budget, or with too few q-grams that count, gets the largest one
+with a positive bound, and one with none must stand exactly; texts of any length are read whole; repeated
 documents are separate rows, repeated items one; items may have ids of any type,
 or none; of overlapping finds of an item the one with fewest edits, then the
 first, stays; empty tables give no rows.
@@ -37,6 +43,10 @@ Q = 8
 #: Edits allowed for each hundred characters of an item.
 EDIT_PERCENT = 8
 BLOCK_CHARS = 2_000_000
+#: An item's q-grams that it has more often than this are not counted.
+REPEATS = 4
+#: Pairs of places made at once.
+PAIRS = 2_000_000
 #: Characters of text handled at once.
 CHUNK_CHARS = 1 << 20
 _BITS = 22
@@ -66,29 +76,39 @@ def grams(data: bytes) -> np.ndarray:
     return np.ndarray((max(n, 0),), "<u8", data, 0, (1,))
 
 
-def budget(m: int) -> int:
-    """Edits allowed: the rate, as far as the lemma's bound stays positive."""
+def budget(m: int, uncounted: int = 0) -> int:
+    """Edits allowed in an item of ``m`` characters with so many q-grams that are not counted: the rate, of the characters
+    without theirs, as far as the lemma's bound stays positive."""
+    m -= uncounted
     return min(m * EDIT_PERCENT // 100, (m - Q) // Q) if m >= Q else 0
 
 
+def counted_places(codes: np.ndarray) -> np.ndarray:
+    """Places of the q-grams that an item does not repeat too often."""
+    _, at, n = np.unique(codes, return_inverse=True, return_counts=True)
+    return np.flatnonzero(n[at] <= REPEATS)
+
+
 class Index:
     """q-grams of a block of items, sorted, with their places."""
 
     def __init__(self, items: list[tuple[object, str]]):
         self.items = [(key, normal(text)) for key, text in items]
-        self.short = [k for k, (_, text) in enumerate(self.items) if 0 < len(text) < Q]
-        own = [(k, grams(folded(text))) for k, (_, text) in enumerate(self.items)]
-        codes = np.concatenate([np.zeros(0, "<u8"), *(g for _, g in own)])
-        item = np.concatenate([np.zeros(0, np.int64), *(np.full(len(g), k) for k, g in own)]).astype(np.int64)
-        place = np.concatenate([np.zeros(0, np.int64), *(np.arange(len(g)) for _, g in own)]).astype(np.int64)
+        own = [grams(folded(text)) for _, text in self.items]
+        places = [counted_places(g) for g in own]
+        kept = np.array([len(p) for p in places] or [0])
+        self.short = [k for k, (_, text) in enumerate(self.items) if text and not kept[k]]
+        codes = np.concatenate([np.zeros(0, "<u8"), *(g[p] for g, p in zip(own, places))])
+        item = np.repeat(np.arange(len(own)), kept[: len(own)])
+        place = np.concatenate([np.zeros(0, np.int64), *places]).astype(np.int64)
         order = np.argsort(codes, kind="stable")
         self.codes, first, self.count = np.unique(codes[order], return_index=True, return_counts=True)
         self.first, self.item, self.place = first, item[order], place[order]
         self.known = np.zeros(1 << _BITS, bool)
         self.known[(self.codes * _K) >> _SHIFT] = True
-        size = np.array([len(text) for _, text in self.items] or [0])
-        self.edits = np.array([budget(m) for m in size])
-        self.least = size - Q + 1 - Q * self.edits
+        self.size = np.array([len(text) for _, text in self.items] or [0])
+        self.edits = np.array([budget(int(m), max(0, int(m) - Q + 1 - int(n))) for m, n in zip(self.size, kept)])
+        self.least = kept - Q * self.edits
         self.band = self.edits + 1
 
     def regions(self, data: bytes) -> list[tuple[int, int, int]]:
@@ -100,17 +120,32 @@ class Index:
         found = np.minimum(np.searchsorted(self.codes, codes[at]), len(self.codes) - 1)
         real = self.codes[found] == codes[at]
         at, found = at[real], found[real]
+        edges = np.searchsorted(np.cumsum(self.count[found]), np.arange(0, int(self.count[found].sum()) + PAIRS, PAIRS)[1:])
+        out: list[tuple[int, int, int]] = []
+        bands, counts, begin = np.zeros(0, np.int64), np.zeros(0, np.int64), 0
+        for end in [*(np.minimum(edges, len(at) - 1) + 1).tolist(), len(at)]:
+            if end <= begin:
+                continue
+            new = self._bands(at[begin:end], found[begin:end])
+            bands, where = np.unique(np.concatenate([bands, new]), return_inverse=True)
+            counts = np.bincount(where, np.concatenate([counts, np.ones(len(new), np.int64)]), len(bands)).astype(np.int64)
+            item = bands >> 40
+            low = ((bands & ((1 << 40) - 1)) - (1 << 39)) * self.band[item]
+            # A band gets no more once the text is past the end of an item on its last diagonal.
+            here = int(at[end]) if end < len(at) else 1 << 62
+            settled = low + 2 * self.band[item] + self.size[item] < here
+            full = settled & (counts >= self.least[item])
+            out += zip(item[full].tolist(), low[full].tolist(), (low[full] + 2 * self.band[item[full]] - 1).tolist())
+            bands, counts, begin = bands[~settled], counts[~settled], end
+        return sorted(out)
+
+    def _bands(self, at: np.ndarray, found: np.ndarray) -> np.ndarray:
+        """The bands of every pair of a place in the text and one in an item: bands are two widths wide and start at each width."""
         count = self.count[found]
         k = np.repeat(self.first[found], count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
         item = self.item[k]
-        diagonal = np.repeat(at, count) - self.place[k]
-        low = diagonal // self.band[item]
-        bands = np.concatenate([low, low - 1])  # bands are two widths wide and start at each width
-        bands, counts = np.unique((np.concatenate([item, item]) << 40) + (bands + (1 << 39)), return_counts=True)
-        full = counts >= self.least[bands >> 40]
-        item = bands[full] >> 40
-        low = ((bands[full] & ((1 << 40) - 1)) - (1 << 39)) * self.band[item]
-        return list(zip(item.tolist(), low.tolist(), (low + 2 * self.band[item] - 1).tolist()))
+        low = (np.repeat(at, count) - self.place[k]) // self.band[item]
+        return (np.concatenate([item, item]) << 40) + (np.concatenate([low, low - 1]) + (1 << 39))
 
 
 def align(item: np.ndarray, text: np.ndarray, low: int, high: int, most: int) -> tuple[int, int, int] | None:

@@ -21,7 +21,7 @@ page: where it has more than ``HOLDS`` times the words outside such places, or
 a single article or main with more words than those.
 
 Nulls and edge cases: null or empty html gives an empty text; quotes open a
-value only behind an equals sign; unclosed elements last until their parent
+value only behind an equals sign; a line break is white space; unclosed elements last until their parent
 ends; broken references stay as they are; ties go to the earlier, longer region;
 pages of any length and depth are read whole in time that grows with their
 length; repeated rows are separate rows; an empty table gives no rows.
@@ -227,7 +227,12 @@ def _scan(page: str, lifted: set[str]) -> tuple[list[Event], Held]:
         if not (name := m[2]):
             continue
         name = name.lower()
+        if name == "br":  # white space inside a block
+            buffer.append(" ")
+            continue
         if name in RAW and not m[1]:
+            if name == "svg" and m[3].rstrip().endswith("/"):  # foreign elements may end themselves
+                continue
             end = _RAW_END[name].search(page, at)
             at = end.end() if end else n
             continue

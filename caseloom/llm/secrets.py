@@ -13,8 +13,8 @@ The counting is three aggregations with partial sums, first by (value, owner,
 repository), so a value that stands in a third of all texts shuffles as few rows
 as any other.  Its result is stored before it is joined back, so that the join
 is between two plain exchanges, which Spark splits at a hot value.  Texts are
-never shuffled.  Places are sums over blocks of about the square root of a
-text's matches.
+never shuffled.  Places are sums over blocks of a text's matches,
+about as many blocks as a block has matches.
 
 Nulls and edge cases: a null text is empty; a null owner or repository counts as
 one more owner or repository; repeated rows are separate rows but one repository
@@ -189,19 +189,19 @@ def masked(text: Column, spans: Column) -> Column:
 def redact_secrets(
     docs: DataFrame, text_col: str = "text", repo_cols: tuple[str, ...] = REPOSITORY, owner_col: str = OWNER, length_col: str | None = "n_chars"
 ) -> DataFrame:
-    """The documents with all reported spans masked; only rows with candidates of the further kind are joined."""
+    """The documents with the values that look live masked: a widely copied or stock example stays as it stands.
+
+    Only rows with candidates are joined.
+    """
     columns = docs.columns
     rows = _stored(docs, [F.col(c).alias(f"c_{k}") for k, c in enumerate(columns)], text_col, repo_cols, owner_col)
     text = f"c_{columns.index(text_col)}"
-    further = F.exists("spans", lambda s: s["kind"] == 3)
-    plain = rows.where(~further).withColumn("report", F.col("spans"))
-    judged = _with_live(rows.select("row_id", "repo", "owner", "spans")).select("row_id", "live")
-    other = rows.where(further).join(judged, "row_id")
-    other = other.withColumn(
-        "report",
-        F.transform(F.filter(F.arrays_zip("spans", "live"), lambda x: (x["spans"]["kind"] < 3) | x["live"]), lambda x: x["spans"]),
-    ).drop("live")
-    out = plain.unionByName(other).withColumn(text, masked(F.col(text), F.col("report")))
+    some = F.size("spans") > 0
+    # Stored, so that both sides of the join are plain and Spark knows their sizes.
+    judged = table(_with_live(rows.select("row_id", "repo", "owner", "spans").where(some)).select("row_id", "live"), "secret-verdicts")
+    live = F.transform(F.filter(F.arrays_zip("spans", "live"), lambda x: x["live"]), lambda x: x["spans"])
+    other = rows.where(some).join(judged, "row_id").withColumn("report", live).drop("live")
+    out = rows.where(~some).withColumn("report", F.col("spans")).unionByName(other).withColumn(text, masked(F.col(text), F.col("report")))
     if length_col in columns:
         at = f"c_{columns.index(length_col)}"
         kind = docs.schema[length_col].dataType
