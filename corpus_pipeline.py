@@ -25,7 +25,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Masks the reported secrets; every document stays."""
+    """Masks the secrets that look live over the whole corpus; every document stays."""
     return secrets.redact_secrets(docs)
 
 
