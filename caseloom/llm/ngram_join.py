@@ -358,7 +358,9 @@ def _frequent_members(rows: DataFrame) -> DataFrame:
     stats = rows.groupBy("key").agg(
         F.min(F.when(F.col("small"), F.struct("spare", "node")))["node"].alias("pivot"), F.count("*").alias("n")
     )
-    return rows.join(stats.where("n > 1 and pivot is not null"), "key").select("key", "node", "pivot", "small")
+    # Stored, so that both sides of the join are plain exchanges, which Spark splits at a hot key.
+    stats = table(stats.where("n > 1 and pivot is not null").select("key", "pivot"), "frequent-pivots")
+    return rows.join(stats, "key").select("key", "node", "pivot", "small")
 
 
 # --- 4. verification --------------------------------------------------------------
@@ -491,9 +493,11 @@ def _placed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
     # Pairs under one key that the pivots left in different components.
     placed = members.join(of_node, "node", "left").select("key", "node", "pivot", "small", F.coalesce("component", "node").alias("c"))
+    placed = table(placed, "placed-members")
     spread = placed.groupBy("key").agg(F.min("c").alias("least"), F.max("c").alias("most"), F.count("*").alias("n"))
     open_keys = spread.where("least <> most and n > 2").select("key", F.ceil(F.col("n") / KEY_PART).cast("int").alias("parts"))
-    rest = table(placed.where("node <> pivot").join(open_keys, "key").select("key", "node", "small", "c", "parts"), "open")
+    # Both sides are stored: Spark splits the join at a key of very many members.
+    rest = table(placed.where("node <> pivot").join(table(open_keys, "open-keys"), "key").select("key", "node", "small", "c", "parts"), "open")
     rest = rest.join(nodes.select("node", "n_shingles", *SKETCH), "node")
     # Members of a large key are dealt to parts, each compared with the whole key in a task of its own.
     x = rest.where("small").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")).alias("x")
