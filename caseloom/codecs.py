@@ -25,6 +25,8 @@ class Codec:
 
     name = "base"
     extension = "bin"
+    #: The Spark type that holds the values, so that Columns can compute with them; None: they are held as bytes.
+    spark_type: str | None = None
 
     def accepts(self, value: Any) -> bool:
         return True
@@ -49,6 +51,18 @@ class Codec:
         except Exception as e:
             raise EntitySerializationError(f"{self.name} can't write {value!r}: {e}") from e
 
+    def hold(self, value: Any) -> Any:
+        """What Spark holds of a value, beside the codec's name."""
+        return self.encode(value)[1]
+
+    def release(self, held: Any) -> Any:
+        """The value of what ``hold`` gave."""
+        return self.load(bytes(held))
+
+    def written(self, held: Any) -> bytes:
+        """The bytes of a file of what ``hold`` gave."""
+        return self.dump(self.release(held))
+
     def __call__(self, function):
         from .decorators import _note
 
@@ -168,6 +182,88 @@ class Numpy(Codec):
         return np.load(io.BytesIO(data), allow_pickle=False)
 
 
+#: Spark's type of each element type of a tensor.
+ELEMENTS = {"bool": "boolean", "int8": "tinyint", "int16": "smallint", "int32": "int", "int64": "bigint", "float32": "float", "float64": "double"}
+
+
+class Tensor(Numpy):
+    """An array as ``struct<shape, dtype, data>``: Columns can compute with it, and Python functions get the array.
+
+    ``data`` has the elements row by row.  Arrays of another element type are cast where none of their values
+    changes; ``shape``, with None for any length, must be that of the array.
+    """
+
+    name = "tensor"
+
+    def __init__(self, dtype: str = "float64", shape: tuple[int | None, ...] | None = None):
+        if dtype not in ELEMENTS:
+            raise ValueError(f"a tensor's elements are of one of {sorted(ELEMENTS)}, not {dtype!r}")
+        self.dtype, self.shape = dtype, shape if shape is None else tuple(shape)
+        self.spark_type = f"struct<shape:array<bigint>,dtype:string,data:array<{ELEMENTS[dtype]}>>"
+
+    def _cast(self, value):
+        """The array with the codec's elements; None if a value would change."""
+        import numpy as np
+
+        if value.dtype == self.dtype:
+            return value
+        if value.dtype.kind not in "biuf" or not np.can_cast(value.dtype, self.dtype, "same_kind"):
+            return None
+        with np.errstate(all="ignore"):
+            made = value.astype(self.dtype)
+            back = made.astype(value.dtype)
+        floats = value.dtype.kind == "f"
+        same = np.array_equal(made, value, equal_nan=floats) and np.array_equal(back, value, equal_nan=floats)
+        return made if same else None
+
+    def accepts(self, value):
+        if not super().accepts(value):
+            return False
+        if self.shape is not None and (len(self.shape) != value.ndim or any(n is not None and n != m for n, m in zip(self.shape, value.shape))):
+            return False
+        return self._cast(value) is not None
+
+    def dump(self, value):
+        return super().dump(self._cast(value))
+
+    def hold(self, value):
+        return {"shape": list(value.shape), "dtype": self.dtype, "data": self._cast(value).ravel().tolist()}
+
+    def release(self, held):
+        import numpy as np
+
+        return np.array(held["data"], held["dtype"]).reshape(tuple(held["shape"]))
+
+    def written(self, held):
+        return super().dump(self.release(held))
+
+
+class Category(Codec):
+    """One of the given labels, in their order, as ``struct<code, label>``: the greatest of a column is the last in that order."""
+
+    name, extension, spark_type = "category", "json", "struct<code:int,label:string>"
+
+    def __init__(self, *labels: str):
+        if len(set(labels)) != len(labels) or not all(type(x) is str for x in labels):
+            raise ValueError("labels are different strings")
+        self.labels = labels
+
+    def accepts(self, value):
+        return type(value) is str and (not self.labels or value in self.labels)
+
+    def dump(self, value):
+        return _json.dumps(value).encode()
+
+    def load(self, data):
+        return _json.loads(data)
+
+    def hold(self, value):
+        return {"code": self.labels.index(value), "label": value}
+
+    def release(self, held):
+        return held["label"]
+
+
 class Image(Codec):
     """A PIL image, or PNG bytes where PIL is not installed."""
 
@@ -315,7 +411,7 @@ class AnyOf(Codec):
 
 
 DEFAULT = AnyOf(Json(), GeoFrame(), PandasFrame(), Image(), Numpy(), Sets(), Picklable())
-_BY_NAME = {c.name: c for c in (*DEFAULT.codecs, Dillable(), Yaml(), Paths())}
+_BY_NAME = {c.name: c for c in (*DEFAULT.codecs, Dillable(), Yaml(), Paths(), Tensor(), Category())}
 
 
 def register(codec: Codec) -> Codec:
@@ -330,6 +426,20 @@ def load_as(name: str, data: bytes) -> Any:
     return _BY_NAME[name].load(bytes(data))
 
 
+def release_as(name: str, held: Any) -> Any:
+    """The value of what Spark holds under a codec's name: bytes, or what is of the codec's Spark type."""
+    if held is None or isinstance(held, (bytes, bytearray, memoryview)):
+        return None if held is None else load_as(name, held)
+    if name not in _BY_NAME:
+        raise UnsupportedSerializedValueError(f"no codec is named {name!r}")
+    return _BY_NAME[name].release(held)
+
+
+def bytes_of(name: str, held: Any) -> bytes:
+    """The bytes of a file of the value."""
+    return bytes(held) if isinstance(held, (bytes, bytearray, memoryview)) else _BY_NAME[name].written(held)
+
+
 def extension_of(name: str) -> str:
     return _BY_NAME[name].extension
 

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .catalog import FlowBuilder, State
-from .codecs import content_hash, extension_of
+from .codecs import Category, bytes_of, content_hash, extension_of
 from .descriptors import Name, entity_name, parse
 from .errors import UnsetEntityError
 from .operators import map as maps
@@ -171,9 +171,10 @@ class Flow:
         else:
             if codec is None:
                 codec, value = self._state.get(name).codec.encode(maps.plain(value))
-            digest = content_hash(codec, bytes(value)) if d.function is None else row[col_name("h", name)]
+            value = bytes_of(codec, value)
+            digest = content_hash(codec, value) if d.function is None else row[col_name("h", name)]
             path = store.path(f"{files.FILES}/{own}/{digest}/{name}.{extension_of(codec)}")
-            files.put(self.spark, path, bytes(value))
+            files.put(self.spark, path, value)
         local = path.removeprefix("file://") if path.startswith("file:///") else path.removeprefix("file:")
         if how == "FileCopier":
             return FileCopier(Path(local) if "://" not in local else local, self.spark)
@@ -228,7 +229,7 @@ class Flow:
             return df.withColumn(own, F.lit(None).cast("string"))
         root = self._evaluator.relation(k)
         if root.is_typed(k):
-            values = root.df.select(F.col(col_name("k", k)).alias(token), F.col(col_name("v", k)).alias(own)).distinct()
+            values = root.df.select(F.col(col_name("k", k)).alias(token), self._column(root, k).alias(own)).distinct()
         else:
             import pyarrow as pa
 
@@ -243,9 +244,11 @@ class Flow:
     def _column(self, rel, name: str):
         """The value as a Spark type; codec bytes of JSON numbers and strings are read by Spark itself."""
         value = F.col(col_name("v", name))
+        d = self._state.get(name)
         if rel.is_typed(name):
+            if isinstance(d.codec, Category):
+                return value["label"].alias(name, metadata={"ordered_categories": list(d.codec.labels)})
             return value.alias(name)
-        d = self._state.get(name)
         kind = d.function.notes.returns_type if d.function else None
         text = F.when((F.col(col_name("c", name)) != "json") | (value != F.lit(b"null")), value.cast("string"))  # a null value is null
         return (F.from_json(F.concat(F.lit('{"v":'), text, F.lit("}")), f"v {kind}")["v"] if kind else text).alias(name)

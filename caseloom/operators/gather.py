@@ -45,12 +45,12 @@ def gather_frame(rows: Relation, primary: frozenset[str], names: tuple[str, ...]
     return Relation(df, frozenset(delta), (into,))
 
 
-def gather_agg(rows: Relation, primary: frozenset[str], names: tuple[str, ...], into: str, function: Callable) -> Relation:
-    """The function's aggregate of each group's present cases, with partial sums before the shuffle."""
+def gather_agg(rows: Relation, primary: frozenset[str], names: tuple[str, ...], into: str, function: Callable, codec: str | None = None) -> Relation:
+    """The function's aggregate of each group's present cases, with partial sums before the shuffle; ``codec`` names that of the result, if it has one."""
     there = ~missing(primary)
     columns = {n: F.when(there, F.col(col_name("v", n))) for n in names}
     df, delta = _grouped(rows, primary, names, [function(columns).alias(col_name("v", into))])
-    df = df.withColumn(col_name("h", into), value_hash(F.col(col_name("v", into)))).withColumn(col_name("c", into), F.lit(None).cast("string"))
+    df = df.withColumn(col_name("h", into), value_hash(F.col(col_name("v", into)))).withColumn(col_name("c", into), F.lit(codec).cast("string"))
     return Relation(df, frozenset(delta), (into,))
 
 

@@ -11,8 +11,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import _parse_datatype_string
 
-from ..codecs import DEFAULT, Codec, content_hash, load_as
+from ..codecs import DEFAULT, Codec, content_hash, release_as
 from ..descriptors import Group, Name, Node
 from ..errors import EntityValueError
 from .relation import col_name
@@ -20,6 +21,17 @@ from .relation import col_name
 RESULT = T.StructType([T.StructField("c", T.StringType()), T.StructField("v", T.BinaryType()), T.StructField("h", T.StringType())])
 
 
+def result_type(codec: Codec) -> T.StructType:
+    """A result's struct, its value as bytes or as the Spark type that the codec says."""
+    return RESULT if codec.spark_type is None else T.StructType([RESULT["c"], T.StructField("v", _parse_datatype_string(codec.spark_type)), RESULT["h"]])
+
+
+def one_result(codec: Codec, value: Any) -> tuple[str, Any, str]:
+    """The codec's name, what is held of the value, and its hash."""
+    name, data = codec.encode(value)
+    return name, data if codec.spark_type is None else codec.hold(value), content_hash(name, data)
+
+
 def plain(value: Any) -> Any:
     """Rows from Spark as plain dicts and lists."""
     if isinstance(value, T.Row):
@@ -30,7 +42,7 @@ def plain(value: Any) -> Any:
 
 
 def decode(codec: str | None, value: Any) -> Any:
-    return plain(value) if codec is None else load_as(codec, value)
+    return plain(value) if codec is None else release_as(codec, value)
 
 
 def argument(node: Node, values: dict[str, Any]) -> Any:
@@ -57,12 +69,8 @@ def gathered_frame(items: list, names: tuple[str, ...]):
     return pd.DataFrame({n: pd.Series([r[k] for r in rows], dtype=None if rows else object) for k, n in enumerate(names)}, columns=list(names))
 
 
-def encoded(output: Node, codecs: dict[str, Codec], got: Any) -> list[tuple[str, bytes, str]]:
-    out = []
-    for name, value in leaves(output, got):
-        codec, data = codecs.get(name, DEFAULT).encode(value)
-        out.append((codec, data, content_hash(codec, data)))
-    return out
+def encoded(output: Node, codecs: dict[str, Codec], got: Any) -> list[tuple[str, Any, str]]:
+    return [one_result(codecs.get(name, DEFAULT), value) for name, value in leaves(output, got)]
 
 
 def caller(
@@ -93,8 +101,8 @@ def called(function: Callable, args: list[tuple[str, Node]], known: dict[str, An
     return tuple(encoded(output, codecs, got))
 
 
-def result_schema(output: Node) -> T.StructType:
-    return T.StructType([T.StructField(f"o{k}", RESULT) for k in range(len(output.entities()))])
+def result_schema(output: Node, codecs: dict[str, Codec]) -> T.StructType:
+    return T.StructType([T.StructField(f"o{k}", result_type(codecs.get(n, DEFAULT))) for k, n in enumerate(output.entities())])
 
 
 def arrow_results(got: list[tuple], schema: T.StructType) -> list[pa.Array]:
@@ -116,7 +124,7 @@ def python_map(
     call = caller(function, args, values, frames, output, codecs, describe)
     columns = [F.col(c) for c in inputs(values, frames)]
     # Cases go to Python and back in Arrow batches; not to be called again where the optimizer would repeat an expression.
-    return F.udf(call, result_schema(output), useArrow=True).asNondeterministic()(*columns)
+    return F.udf(call, result_schema(output, codecs), useArrow=True).asNondeterministic()(*columns)
 
 
 def value_names(args: list[tuple[str, Node]], frames) -> list[str]:
@@ -130,7 +138,7 @@ def inputs(values: list[str], frames) -> list[str]:
 def profiled_map(rows: DataFrame, function: Callable, args: list[tuple[str, Node]], frames: dict, output: Node, codecs: dict, describe: str, profile) -> DataFrame:
     """As ``python_map``, in a stage that has a resource profile of its own."""
     values, given = value_names(args, frames), inputs(value_names(args, frames), frames)
-    call, made = caller(function, args, values, frames, output, codecs, describe), result_schema(output)
+    call, made = caller(function, args, values, frames, output, codecs, describe), result_schema(output, codecs)
     schema = T.StructType([*rows.schema, *made])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -148,7 +156,7 @@ def streamed_map(members: DataFrame, function: Callable, args: list[tuple[str, N
     A row that is not ``there`` only says that its group is.
     """
     values = value_names(args, (into,))
-    made = result_schema(output)
+    made = result_schema(output, codecs)
     schema = T.StructType([T.StructField("p", T.StringType()), *made])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

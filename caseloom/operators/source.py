@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import _parse_datatype_string
 
-from ..codecs import DEFAULT
+from ..codecs import DEFAULT, Codec
 from ..values import FixedValue, spark_type
 from .relation import Relation, col_name
 
@@ -25,10 +25,11 @@ def fixed_relation(
     keys: tuple[str, ...],
     rows: Iterable[tuple[tuple[str | None, ...], FixedValue | None]],
     stored: Callable[[str, Callable[[], DataFrame]], DataFrame] | None = None,
+    codec: Codec = DEFAULT,
 ) -> Relation:
     """One row for each case: its tokens in the order of ``keys`` and its value (None: the entity is unset there).
 
-    Values that one Spark type holds are put in as they are; others as their codec's bytes; a DataFrame
+    Values that one Spark type holds, be it their codec's, are put in as they are; others as their codec's bytes; a DataFrame
     as the name under which the flow holds it.  The table goes to Spark as Arrow columns: no literal and
     no call for each value.  ``stored`` keeps a large one as Parquet under a name.
     """
@@ -36,10 +37,13 @@ def fixed_relation(
     values = [v for _, v in rows if v is not None]
     kind = spark_type([v.value for v in values]) if values and all(v.codec == "json" for v in values) else None
     frames = any(v.codec == "frame" for v in values)
-    v_type = _parse_datatype_string(kind) if kind else T.StringType() if frames or not values else T.BinaryType()
+    typed = codec.spark_type if values and all(v.codec == codec.name for v in values) else None
+    v_type = _parse_datatype_string(kind or typed) if kind or typed else T.StringType() if frames or not values else T.BinaryType()
     own = [v for _, v in rows]
     if frames:
         held, codecs = [v and f"fixed:{name}:{v.token}" for v in own], [v and "frame" for v in own]
+    elif typed:
+        held, codecs = [v and codec.hold(v.value) for v in own], [v and v.codec for v in own]
     elif kind:
         held, codecs = [None if v is None else v.value for v in own], [None] * len(own)
     else:

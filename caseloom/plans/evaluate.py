@@ -128,7 +128,8 @@ class Evaluator:
                 self.frames[f"fixed:{name}:{v.token}"] = v.value
                 if v.source is not None:
                     self.sources[f"fixed:{name}:{v.token}"] = v.source
-        return fixed_relation(self.spark, name, names, rows, self.settings.store.cases if self.settings.store.roots else None)
+        codec = self.state.entities[name].codec if name in self.state.entities else DEFAULT
+        return fixed_relation(self.spark, name, names, rows, self.settings.store.cases if self.settings.store.roots else None, codec)
 
     def _derived(self, f: Function) -> Relation:
         into = {g.into: (*g.over, *(n for n in g.also if n not in g.over)) for g in f.gathers}
@@ -188,8 +189,9 @@ class Evaluator:
         rows = join_all(self.spark, [self.relation(n) for n in names])
         primary = frozenset().union(*(self.relation(n).keys for n in g.over))
         (out,) = f.outputs
-        made = lambda columns: maps.typed_result(f.call(**{g.into: columns}), f.notes.returns_type)
-        return gather_agg(rows, primary, names, out, made)
+        codec = self._codecs(f)[out]
+        made = lambda columns: maps.typed_result(f.call(**{g.into: columns}), codec.spark_type or f.notes.returns_type)
+        return gather_agg(rows, primary, names, out, made, codec.name if codec.spark_type else None)
 
     def _has_frames(self, name: str) -> bool:
         d = self.state.get(name)
@@ -220,6 +222,8 @@ class Evaluator:
             parts.append(code_hash(f.call))
         if f.notes.changes_per_run:
             parts.append(self.settings.run_id)
+        # What Spark holds of a value depends on how its codec was declared.
+        parts += [f"{n}:{c.name}{sorted(vars(c).items())}" for n, c in self._codecs(f).items() if c.spark_type]
         return "/".join(parts)
 
     def _table(self, f: Function) -> str:
@@ -278,7 +282,8 @@ class Evaluator:
         return computed.select(*keys, "p", *(c for k, n in enumerate(f.outputs) for c in self._parts(k, n)))
 
     def _schema(self, f: Function, computed: T.StructType | None) -> T.StructType:
-        kind = lambda k: maps.RESULT if computed is None else computed[f"o{k}"].dataType
+        codecs = self._codecs(f)
+        kind = lambda k: maps.result_type(codecs[f.outputs[k]]) if computed is None else computed[f"o{k}"].dataType
         if f.notes.kind in FRAME_KINDS or self._frame_results & set(f.outputs):
             kind = lambda k: FRAME_RESULT
         return T.StructType(
@@ -360,9 +365,11 @@ class Evaluator:
     def _expression(self, f: Function, rows: DataFrame) -> DataFrame:
         value = maps.expression_map(f.call, list(f.args))
         values = [value] if isinstance(f.output, Name) else [v for _, v in maps.leaves(f.output, value)]
+        codecs = self._codecs(f)
         for k, v in enumerate(values):
-            v = maps.typed_result(v, f.notes.returns_type)
-            rows = rows.withColumn(f"o{k}", F.struct(F.lit(None).cast("string").alias("c"), v.alias("v"), value_hash(v).alias("h")))
+            codec = codecs[f.outputs[k]]
+            v = maps.typed_result(v, codec.spark_type or f.notes.returns_type)
+            rows = rows.withColumn(f"o{k}", F.struct(F.lit(codec.name if codec.spark_type else None).cast("string").alias("c"), v.alias("v"), value_hash(v).alias("h")))
         return rows
 
     def frame_at(self, pointer: str) -> DataFrame:
@@ -498,16 +505,16 @@ class Evaluator:
                         self.frames[pointer] = v
                         done.append(("frame", pointer, case["p"]))
                 else:
-                    codec, data = self._codecs(f)[n].encode(v)
-                    done.append((codec, data, content_hash(codec, data)))
+                    done.append(maps.one_result(self._codecs(f)[n], v))
             return (case["p"], *done)
 
         with ThreadPoolExecutor(max(1, min(AT_ONCE, len(cases)))) as pool:
             # Each thread has the request's local properties.
             out = [w.result() for w in [pool.submit(inheritable_thread_target(one), case) for case in cases]]
         is_frame = bool(self._frame_results & set(f.outputs)) or f.notes.kind in FRAME_KINDS
-        kind = FRAME_RESULT if is_frame else maps.RESULT
-        schema = T.StructType([T.StructField("p", T.StringType()), *(T.StructField(f"o{k}", kind) for k in range(len(f.outputs)))])
+        codecs = self._codecs(f)
+        kinds = [FRAME_RESULT if is_frame else maps.result_type(codecs[n]) for n in f.outputs]
+        schema = T.StructType([T.StructField("p", T.StringType()), *(T.StructField(f"o{k}", kind) for k, kind in enumerate(kinds))])
         return self.spark.createDataFrame(out, schema).join(rows.drop(*(f"o{k}" for k in range(len(f.outputs)))), "p")
 
     def _rolled_up(self, f: Function, case, given: dict[str, Any]) -> DataFrame:
