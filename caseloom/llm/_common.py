@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 from contextlib import contextmanager
+from typing import Any
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -57,9 +59,35 @@ def arrow_batches(spark: SparkSession, rows: int) -> Iterator[None]:
         spark.conf.set(key, before)
 
 
+#: What a Python worker keeps from task to task, by name.
+_kept: dict[str, Any] = {}
+
+
+def kept(name: str, make: Callable[[], Any]) -> Any:
+    """What ``make`` gives, made once in a worker; what a worker kept under another name goes."""
+    if name not in _kept:
+        _kept.clear()
+        _kept[name] = make()
+    return _kept[name]
+
+
+def give_back() -> None:
+    """Freed blocks that the worker's earlier stages left with Arrow's and the C library's allocators go back to the machine."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the GNU C library
+    if trim is not None:
+        trim(0)
+
+
+def begin_stage() -> None:
+    """For stages that keep nothing in the worker: what earlier ones kept goes."""
+    _kept.clear()
+    give_back()
+
+
 def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
     """Rows as tuples of Python values, a part of a batch at a time; begins by giving back memory that the worker's last stage left."""
-    pa.default_memory_pool().release_unused()
+    give_back()
     for batch in batches:
         for at in range(0, batch.num_rows, IN_ROWS):
             yield from zip(*(c.to_pylist() for c in batch.slice(at, IN_ROWS).columns))

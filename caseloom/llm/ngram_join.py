@@ -43,7 +43,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import arrow_batches, table, to_batch
+from ._common import arrow_batches, begin_stage, table, to_batch
 from .components import connected_components
 from .shingles import mix, set_id, shingle_sets
 
@@ -93,6 +93,7 @@ def flush_tokens(bits: int) -> int:
 
 
 def _columns(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list]]:
+    begin_stage()
     for b in batches:
         yield b.column(0).to_pylist(), b.column(1).to_pylist()
 
@@ -120,6 +121,7 @@ def may_link(a: str, b: str):
 def _digest(batches):
     arrow = pa.schema([(name, pa.int64()) for name in ("doc_id", "text_key", "n_shingles", "node", *SKETCH)])
     none = [None] * len(SKETCH)
+    begin_stage()
     for batch in batches:
         keys, texts, text_keys = (c.to_pylist() for c in batch.columns)
         sets = zip(keys, text_keys, shingle_sets(texts))
@@ -414,11 +416,13 @@ def links_exactly(a: np.ndarray, b: np.ndarray) -> bool:
 
 def _verify(batches):
     arrow = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+    begin_stage()
     for batch in batches:
+        # The sets are read where they lie in the batch.
         rows = [
-            (a, b)
-            for a, b, x, y in zip(*(c.to_pylist() for c in batch.columns))
-            if links_exactly(np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8"))
+            (a.as_py(), b.as_py())
+            for a, b, x, y in zip(*batch.columns)
+            if links_exactly(np.frombuffer(x.as_buffer(), "<u8"), np.frombuffer(y.as_buffer(), "<u8"))
         ]
         if rows:
             yield to_batch(rows, arrow)

@@ -15,12 +15,13 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable
-from functools import lru_cache
 from struct import pack
 from typing import Any
 
 import numpy as np
 
+from ._common import kept
+
 #: Bound of both generations together: some 80 MB.
 MEMO_ENTRIES = 500_000
 #: Longer pre-tokens are not kept.
@@ -111,7 +112,6 @@ class Ids:
         return b"".join(map(self.memo.__getitem__, parts))
 
 
-@lru_cache(maxsize=4)
 def ids(path: str) -> Ids:
-    """One per Python worker and vocabulary."""
-    return Ids(path)
+    """One per Python worker, until it works for a stage with another vocabulary or without any."""
+    return kept(path, lambda: Ids(path))
