@@ -128,7 +128,7 @@ def case_table(spark: SparkSession, sf_dir: str) -> DataFrame:
         kept = joined.join(cases, (F.col("c_mktsegment") == F.col("segment")) & (F.col("o_orderstatus") == F.col("status")) & (F.col("o_totalprice") >= F.col("least")))
         return kept.groupBy("case_id").agg(F.count("*").alias("n_large"))
 
-    return b.build().frame("large")
+    return b.build().frame("large, least")
 
 
 def missing_inner(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -35,3 +35,11 @@ def test_oracle(spark, views, name):
 def test_entry(spark):
     if os.path.isdir(SF_DIR):
         assert entry.entry(spark).count() == 5
+
+
+def test_case_table_has_all_columns_of_its_sql(spark, views):
+    wanted = views.execute(entry.oracle_sql()["case_table"])
+    columns = [d[0] for d in wanted.description]
+    got = entry.queries()["case_table"](spark, SF_DIR)
+    assert sorted(got.columns) == sorted(columns)
+    assert plain(tuple(r) for r in got.select(*columns).collect()) == plain(wanted.fetchall())
