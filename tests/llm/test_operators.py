@@ -379,6 +379,28 @@ def test_quality_tells_junk(spark):
         assert r.kept == (not r.base_failed and score[r.doc_id] >= least - 1e-12)
 
 
+def test_quality_is_fitted_on_all_trusted_documents(spark):
+    rnd = random.Random(3)
+    vocabulary = ["".join(rnd.choices("abcdefgh", k=3)) for _ in range(80)]
+    rows = [(k, " ".join(rnd.choices(vocabulary, k=3))) for k in range(20_300)]
+    rows += [(k, " ".join(rnd.choices(vocabulary, k=60))) for k in range(20_300, 20_360)]
+    trusted = {k for k, _ in rows if k % 20 or k < 20_300}
+    labels = spark.createDataFrame([(k, 1, 0) for k in trusted], "doc_id long, quality int, toxic int")
+    score, least = brute_scores(rows, trusted)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    for threshold in (before, "-1"):  # trusted ids that fit into memory, and such as do not
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+        try:
+            got = quality.quality_rules(docs, labels).collect()
+        finally:
+            spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+        assert len(got) == len(rows)
+        for r in got:
+            assert r.score == pytest.approx(score[r.doc_id], abs=1e-12)
+            assert r.kept == (not r.base_failed and score[r.doc_id] >= least - 1e-12)
+
+
 # --- benchmark passages -----------------------------------------------------------
 
 
