@@ -752,3 +752,20 @@ def test_pipeline_on_a_fixture(spark, tmp_path):
     for _, stage in corpus_pipeline.STAGES[:-1]:
         docs = stage(spark, docs, str(tmp_path))
         assert docs.columns == frame.columns
+
+
+def test_pipeline_keeps_trusted_documents_however_many(spark, tmp_path):
+    import corpus_pipeline
+    import xxhash
+
+    rnd = random.Random(5)
+    words = lambda n: " ".join(rnd.choices(["".join(p) for p in zip("abcdefgh", "hgfedcba")], k=n))
+    signed = lambda h: h - (1 << 64) if h >> 63 else h
+    ids = sorted(range(20_300), key=lambda k: signed(xxhash.xxh64_intdigest(k.to_bytes(8, "little"), 42)))
+    odd = " ".join(f"#{k}" for k in range(60))
+    rows = [(k, words(60)) for k in ids[:20]] + [(k, words(5)) for k in ids[20:-1]] + [(ids[-1], odd)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    spark.createDataFrame([(k, 1, 0) for k in ids], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    kept = {r.doc_id for r in corpus_pipeline.quality_rules(spark, docs, str(tmp_path)).collect()}
+    judged = quality.quality_rules(docs, spark.read.parquet(str(tmp_path / "labels.parquet"))).where("not base_failed").collect()
+    assert ids[-1] in kept and kept == {r.doc_id for r in judged}
