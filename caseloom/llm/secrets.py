@@ -13,7 +13,8 @@ The counting is three aggregations with partial sums, first by (value, owner,
 repository), so a value that stands in a third of all texts shuffles as few rows
 as any other.  Its result is stored before it is joined back, so that the join
 is between two plain exchanges, which Spark splits at a hot value.  Texts are
-never shuffled.  Places are sums over blocks of a text's matches,
+never shuffled.  Where the rows to mask are what was kept of a corpus, that corpus
+can be given: owners of the copies that went still count.  Places are sums over blocks of a text's matches,
 about as many blocks as a block has matches.
 
 Nulls and edge cases: a null text is empty; a null owner or repository counts as
@@ -128,11 +129,15 @@ def ownership(rows: DataFrame) -> DataFrame:
     )
 
 
-def _with_live(rows: DataFrame) -> DataFrame:
-    """Adds ``live``: for each span of a row, in order, whether its value looks live.  ``rows`` has row_id and is stored."""
+def _with_live(rows: DataFrame, more: DataFrame | None = None) -> DataFrame:
+    """Adds ``live``: for each span of a row, in order, whether its value looks live.  ``rows`` has row_id and is stored.
+
+    ``more``: stored rows whose owners count too.  Distinct owners are counted, so rows may be in both.
+    """
     own = rows.where(F.size("spans") > 0)
+    counted = own if more is None else own.select("repo", "owner", "spans").unionByName(more.select("repo", "owner", "spans"))
     each = own.select("row_id", F.posexplode("spans").alias("k", "s")).select("row_id", "k", "s.value", "s.stock")
-    held = table(ownership(own), "secret-owners")
+    held = table(ownership(counted), "secret-owners")
     live = ~F.col("stock") & (F.col("n_owners") <= MAX_OWNERS) & (F.col("n_repos") <= MAX_REPOS)
     judged = (
         each.join(held, "value")
@@ -187,18 +192,25 @@ def masked(text: Column, spans: Column) -> Column:
 
 
 def redact_secrets(
-    docs: DataFrame, text_col: str = "text", repo_cols: tuple[str, ...] = REPOSITORY, owner_col: str = OWNER, length_col: str | None = "n_chars"
+    docs: DataFrame,
+    text_col: str = "text",
+    repo_cols: tuple[str, ...] = REPOSITORY,
+    owner_col: str = OWNER,
+    length_col: str | None = "n_chars",
+    corpus: DataFrame | None = None,
 ) -> DataFrame:
     """The documents with the values that look live masked: a widely copied or stock example stays as it stands.
 
+    ``corpus``: the documents whose owners count as well, with the same names of columns; none: ``docs`` alone.
     Only rows with candidates are joined.
     """
     columns = docs.columns
     rows = _stored(docs, [F.col(c).alias(f"c_{k}") for k, c in enumerate(columns)], text_col, repo_cols, owner_col)
     text = f"c_{columns.index(text_col)}"
     some = F.size("spans") > 0
+    more = None if corpus is None else _stored(corpus, [], text_col, repo_cols, owner_col)
     # Stored, so that both sides of the join are plain and Spark knows their sizes.
-    judged = table(_with_live(rows.select("row_id", "repo", "owner", "spans").where(some)).select("row_id", "live"), "secret-verdicts")
+    judged = table(_with_live(rows.select("row_id", "repo", "owner", "spans").where(some), more).select("row_id", "live"), "secret-verdicts")
     live = F.transform(F.filter(F.arrays_zip("spans", "live"), lambda x: x["live"]), lambda x: x["spans"])
     other = rows.where(some).join(judged, "row_id").withColumn("report", live).drop("live")
     out = rows.where(~some).withColumn("report", F.col("spans")).unionByName(other).withColumn(text, masked(F.col(text), F.col("report")))

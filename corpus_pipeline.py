@@ -25,8 +25,8 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Masks the secrets that look live over the whole corpus; every document stays."""
-    return secrets.redact_secrets(docs)
+    """Masks the secrets that look live over the whole corpus, owners of dropped documents included; every document stays."""
+    return secrets.redact_secrets(docs, corpus=read_table(spark, sf_dir, "documents"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

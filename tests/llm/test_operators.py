@@ -769,3 +769,29 @@ def test_pipeline_keeps_trusted_documents_however_many(spark, tmp_path):
     kept = {r.doc_id for r in corpus_pipeline.quality_rules(spark, docs, str(tmp_path)).collect()}
     judged = quality.quality_rules(docs, spark.read.parquet(str(tmp_path / "labels.parquet"))).where("not base_failed").collect()
     assert ids[-1] in kept and kept == {r.doc_id for r in judged}
+
+
+def test_pipeline_counts_owners_over_all_documents(spark, tmp_path):
+    import corpus_pipeline
+
+    rnd = random.Random(11)
+    vocabulary = ["".join(rnd.choices("abcdefgh", k=5)) for _ in range(400)]
+    text = lambda: " ".join(rnd.choices(vocabulary, k=80))
+    shared, item, own = (f"AKIA{c * 16}" for c in "QRS")
+    copied, leak = f"{text()} {shared}", text()
+    rows = [(k, copied, f"s{k}") for k in range(secrets.MAX_OWNERS + 1)]  # one of them is kept
+    rows += [(10 + k, f"{item} {k}", f"s{k}") for k in range(secrets.MAX_OWNERS)] + [(20, f"{text()} {item}", "s9")]  # the short ones go
+    rows += [(30, f"{text()} {own}", "s0"), (31, text(), "s1"), (32, f"{text()} {leak} {own}", "s2")]
+    frame = spark.createDataFrame([(k, t, "en", s, len(t)) for k, t, s in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    frame.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(k, 1, 0) for k, _, _ in rows], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame([(0, leak)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    docs = frame
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, str(tmp_path))
+    text_of = {k: t for k, t, _ in rows}
+    wanted = {k: text_of[k] for k in (0, 20, 31)} | {30: text_of[30].replace(own, secrets.MASK)}
+    assert {r.doc_id: r.text for r in docs.collect()} == wanted
+    # Documents that the corpus lacks count as well.
+    lone = frame.where("doc_id = 30")
+    assert [r.text for r in secrets.redact_secrets(lone, corpus=frame.where("doc_id = 31")).collect()] == [wanted[30]]
