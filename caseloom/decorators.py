@@ -148,7 +148,7 @@ def run_with(**resources):
 
     ``cpus`` and ``gpus`` (for each task), ``memory``, ``overhead`` and ``cores`` (of an executor, as ``"4g"``, ``"1g"``, 4)
     make the profile of the stage that calls the function, where the cluster manager has stage-level scheduling; without
-    dynamic allocation Spark takes the tasks' part of it alone, and a local master none.  Everything is put on the jobs as
+    dynamic allocation Spark takes the tasks' part of it alone, of GPUs only where executors have as many, and a local master none.  Everything is put on the jobs as
     local properties ``caseloom.<name>`` too; ``pool`` is their scheduler pool.
     """
     return lambda f: _note(f, "resources", tuple(sorted(resources.items())))

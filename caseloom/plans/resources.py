@@ -21,7 +21,8 @@ def is_supported(spark: SparkSession) -> bool:
 def stage_profile(spark: SparkSession, wanted: dict[str, Any]) -> ResourceProfile | None:
     """The profile, or None where nothing is wanted or the master has no stage-level scheduling; the jobs' local properties are then all there is.
 
-    Executors can be asked for only where they come and go: without dynamic allocation their part is left out.
+    Executors can be asked for only where they come and go: without dynamic allocation their part is left out, and so is what
+    a task needs of GPUs that the executors were not started with, as Spark refuses such a stage.
     """
     wanted = {k: v for k, v in wanted.items() if k in (*TASK, *EXECUTOR)}
     if not wanted:
@@ -31,6 +32,9 @@ def stage_profile(spark: SparkSession, wanted: dict[str, Any]) -> ResourceProfil
         return None
     builder, tasks, executors = ResourceProfileBuilder(), TaskResourceRequests(), ExecutorResourceRequests()
     dynamic = spark.conf.get("spark.dynamicAllocation.enabled", "false") == "true"
+    there = float(spark.conf.get("spark.executor.resource.gpu.amount", "0"))
+    if not dynamic and wanted.get("gpus") and float(wanted["gpus"]) > there:
+        log.warning("executors have %g GPUs and not %s; 'gpus' is only a property of the jobs", there, wanted.pop("gpus"))
     if "cpus" in wanted:
         tasks = tasks.cpus(int(wanted["cpus"]))
     if "gpus" in wanted:

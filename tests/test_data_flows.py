@@ -397,6 +397,42 @@ def test_stage_has_its_profile(tmp_path):
     assert "CPUS [2, 2] [1, 1]" in ran.stdout, ran.stdout[-500:] + "\n".join(said)[-3000:]
 
 
+@pytest.mark.parametrize("there, given", [(0, 0), (1, 1)])
+def test_stage_has_gpus_where_executors_do(tmp_path, there, given):
+    """On a cluster without GPUs a function that would have one is called all the same; with one, each call has it."""
+    script = tmp_path / "gpus.sh"
+    script.write_text("""#!/bin/sh\necho '{"name": "gpu", "addresses": ["7"]}'\n""")
+    script.chmod(0o755)
+    own = {"spark.worker.resource.gpu.amount": 1, "spark.worker.resource.gpu.discoveryScript": script, "spark.executor.resource.gpu.amount": 1}
+    program = textwrap.dedent(f"""
+        from pyspark.sql import SparkSession
+        import caseloom as cl
+        spark = (SparkSession.builder.master("local-cluster[1,2,1024]").config("spark.executor.memory", "1g").config("spark.ui.enabled", "false")
+            .config("spark.sql.shuffle.partitions", "2").config("spark.checkpoint.dir", "{tmp_path}").config("spark.driver.host", "127.0.0.1")
+            .config(map={ {k: str(v) for k, v in own.items()} if there else {} }).getOrCreate())
+        b = cl.FlowBuilder("gpus")
+        b.assign("x", values=[1, 2])
+        def gpus(x):
+            from pyspark import TaskContext
+            return sum(len(r.addresses) for r in TaskContext.get().resources().values())
+        b(cl.output("one")(cl.run_with(pool="small", gpus=1)(gpus)))
+        print("GPUS", b.build().get("one", list))
+    """)
+    import pyspark
+
+    home = tmp_path / "home"
+    (home / "work").mkdir(parents=True)
+    for p in Path(pyspark.__file__).parent.iterdir():
+        if p.name != "work":
+            (home / p.name).symlink_to(p)
+    (tmp_path / "program.py").write_text(program)
+    env = {k: v for k, v in os.environ.items() if not k.startswith(("SPARK_", "PYSPARK_"))}
+    env |= {"SPARK_LOCAL_IP": "127.0.0.1", "SPARK_HOME": str(home), "PYSPARK_PYTHON": sys.executable, "SPARK_SCALA_VERSION": "2.13"}
+    ran = subprocess.run([sys.executable, str(tmp_path / "program.py")], capture_output=True, text=True, timeout=300, env=env)
+    said = [x for x in ran.stderr.splitlines() if not x.lstrip().startswith("at ")]
+    assert f"GPUS [{given}, {given}]" in ran.stdout, ran.stdout[-500:] + "\n".join(said)[-3000:]
+
+
 def test_frames_are_given_back(builder, spark):
     cached = lambda: spark.sparkContext._jsc.sc().getPersistentRDDs().size()
     gc.collect()
